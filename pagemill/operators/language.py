@@ -67,18 +67,16 @@ def identify(texts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], min
     """
     weights, floors = model
     long_enough = texts.filter(F.length("text") > min_chars)
-    letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
-    grams = long_enough.select(key, letters.alias("letters"), F.explode(_words(F.col("text"))).alias("word")).select(
-        key, "letters", F.explode(_trigrams(F.col("word"))).alias("gram")
+    grams = long_enough.select(key, F.explode(_words(F.col("text"))).alias("word")).select(
+        key, F.explode(_trigrams(F.col("word"))).alias("gram")
     )
-    sums = (
-        grams.join(F.broadcast(weights), "gram").groupBy(key, "language")
-        .agg(F.sum("weight").alias("matched"), F.max("letters").alias("letters"))
-        .join(F.broadcast(floors), "language")
-        .withColumn("total", F.col("matched") + F.col("letters") * F.col("floor"))
-    )
-    # Equal sums fall to the language first in the alphabet.
-    named = sums.groupBy(key).agg(F.min_by("language", F.struct(-F.col("total"), "language")).alias("language"))
-    return texts.select(key).join(named, key, "left").select(
-        key, F.coalesce("language", F.lit(UNKNOWN)).alias("language")
+    sums = grams.join(F.broadcast(weights), "gram").groupBy(key, "language").agg(F.sum("weight").alias("matched"))
+    # Counted per text, not beside its words, where it would be counted again for each word.
+    letters = texts.select(key, F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("letters"))
+    total = F.col("matched") + F.col("letters") * F.col("floor")
+    return (
+        letters.join(sums, key, "left").join(F.broadcast(floors), "language", "left")
+        # Equal sums fall to the language first in the alphabet.
+        .groupBy(key).agg(F.min_by("language", F.struct(-total, "language")).alias("language"))
+        .select(key, F.coalesce("language", F.lit(UNKNOWN)).alias("language"))
     )
