@@ -406,9 +406,9 @@ def index_cycle(spark, folder):
     after, index = corpus.index_cycle(pages, raw_html.store_rows(raw), index, as_of())
     return after.select("url", F.round("readability_score", 6).alias("reading_ease"),
                         F.col("indexed_at").isNotNull().alias("indexed")).join(
-        index.select("url", F.length("body_text").alias("body_chars"), F.sha2("body_text", 256).alias("body_hash")),
+        index.select("url", F.length("body_text").cast("long").alias("body_chars"), F.sha2("body_text", 256).alias("body_hash")),
         "url", "left",
-    ).select("url", "reading_ease", "indexed", F.coalesce("body_chars", F.lit(0)).alias("body_chars"),
+    ).select("url", "reading_ease", "indexed", F.coalesce("body_chars", F.lit(0).cast("long")).alias("body_chars"),
              text_or_dash(F.col("body_hash")).alias("body_hash"))
 
 
