@@ -365,8 +365,7 @@ ORACLES = {
           when regexp_matches(c, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then substr(c, 1, length(c) - 1) else c end as b from c)
       select id as doc_id, regexp_replace(b, '^(.*[aeiouy].*)y$', '\\1i') as term,
         string_agg(pos::varchar, ' ' order by pos) as positions from e group by 1, 2""",
-    "search_postings": f"""with {DOCS}, {POSTINGS} select term, id, field, string_agg(pos::varchar, ' ' order by pos) as positions
-      from post group by 1, 2, 3""",
+    "search_postings": f"with {DOCS}, {POSTINGS} select term, id, field, pos::int as pos from post",
     "search_typo": f"with {DOCS}, {POSTINGS}, {QUERY} select word, term, typos::int as typos from near",
     "search_ranked": f"""with {RANKED} select qid, place, id, url, domain, language, words, typos::bigint as typos,
         proximity::bigint as proximity, attribute, exact, rank_score from rk""",

@@ -25,9 +25,12 @@ AGENT = "CorpusBot/1.0"
 WHOLE_PAGE = html.CODE_SKIP  # keep links in navigation blocks
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return tables.read_table(spark, f"{folder}/{name}.parquet")
+    return tables.read_table(spark, f"{folder}/{name}.parquet", spread_by=TEXT_KEYS.get(name))
 
 
 def as_of() -> Column:
@@ -460,9 +463,7 @@ def _search(spark, folder):
 
 
 def search_postings(spark, folder):
-    return indexing.postings(_search_documents(spark, folder)).select(
-        "term", "id", "field", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions")
-    )
+    return indexing.postings(_search_documents(spark, folder))
 
 
 def search_typo(spark, folder):

@@ -164,8 +164,8 @@ def hrefs(html: Column, skip: list[str] = BODY_SKIP) -> Column:
 
 def outgoing_links(url: Column, html: Column, skip: list[str] = BODY_SKIP) -> Column:
     """Resolved, normalised and valid link targets of one page, duplicates kept."""
-    absolute = F.transform(hrefs(html, skip), lambda h: let(urls.resolve_href(url, h), urls.normalize_url))
-    return F.filter(absolute, urls.is_valid_url)
+    absolute = urls.resolve_all(url, hrefs(html, skip))
+    return F.filter(F.transform(absolute, urls.normalize_url), urls.is_valid_url)
 
 
 def needs_render(html: Column) -> Column:

@@ -127,7 +127,10 @@ def _resolve_parts(base: Column, href: Column, b: Column, r: Column) -> Column:
 
 def resolve_href(base: Column, href: Column) -> Column:
     """Absolute address that ``href`` names on the page ``base`` (an http or https address)."""
-    return let(
-        F.struct(_parts(_clean(base)).alias("b"), _parts(_clean(href)).alias("r")),
-        lambda both: _resolve_parts(base, href, both["b"], both["r"]),
-    )
+    return let(_parts(_clean(base)), lambda b: let(_parts(_clean(href)), lambda r: _resolve_parts(base, href, b, r)))
+
+
+def resolve_all(base: Column, hrefs: Column) -> Column:
+    """``resolve_href`` for an array of references; the base is taken apart once."""
+    one = lambda b: lambda h: let(_parts(_clean(h)), lambda r: _resolve_parts(base, h, b, r))
+    return let(_parts(_clean(base)), lambda b: F.transform(hrefs, one(b)))

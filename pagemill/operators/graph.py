@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.session import cut_lineage
+from pagemill.sources.buckets import bucketed
 
 # Damping factor and number of rounds of the page rank.
 DAMPING = 0.85
@@ -40,8 +41,8 @@ def pagerank(
 
     Only nodes that have links hand score on. All rounds but the last therefore run on
     the edges between such nodes; link targets that were never crawled enter in the last
-    round alone. The edges are laid out by source once, and a round shuffles only the
-    partial sums per target.
+    round alone. Edges and nodes are stored in buckets by source, so a round shuffles
+    only the partial sums per target.
 
     A source with very many links would fill one partition. The few sources above
     ``hot_degree`` are split off: their edges stay spread out and meet their scores, at
@@ -54,46 +55,46 @@ def pagerank(
     base = (1.0 - damping) / count
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    sources = cut_lineage(
-        edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")).repartition(parts, "id")
-    )
+    sources = bucketed(edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")), "id", parts)
     hot = sources.filter(F.col("links_out") > hot_degree).orderBy(F.desc("links_out"), "id").limit(MAX_HOT_NODES)
-    has_hot = not hot.isEmpty()
-    hot_ids = F.broadcast(cut_lineage(hot).select(F.col("id").alias("source_id"))) if has_hot else None
+    hot_ids = None
+    if not hot.isEmpty():
+        hot_ids = F.broadcast(cut_lineage(hot).select(F.col("id").alias("source_id")))
 
-    def layout(some_edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        if not has_hot:
-            return some_edges.repartition(parts, "source_id"), None
-        cold = some_edges.join(hot_ids, "source_id", "left_anti").repartition(parts, "source_id")
-        return cold, some_edges.join(hot_ids, "source_id", "left_semi")
+    def split(some_edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        if hot_ids is None:
+            return some_edges, None
+        return some_edges.join(hot_ids, "source_id", "left_anti"), some_edges.join(hot_ids, "source_id", "left_semi")
 
-    def inbound(laid_out: tuple[DataFrame, DataFrame | None], state: DataFrame) -> DataFrame:
+    def received(cold: DataFrame, spread: DataFrame | None, state: DataFrame) -> DataFrame:
         shares = state.select(F.col("id").alias("source_id"), (F.col("score") / F.col("links_out")).alias("share"))
-        cold, spread = laid_out
-        sent = cold.join(shares, "source_id").select("target_id", "share")
+        # Hashing the shares of a partition leaves its edges as they are stored, unsorted.
+        sent = cold.join(shares.hint("shuffle_hash"), "source_id").select("target_id", "share")
         if spread is not None:
             hot_shares = F.broadcast(shares.join(hot_ids, "source_id", "left_semi"))
             sent = sent.union(spread.join(hot_shares, "source_id").select("target_id", "share"))
         return sent.groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("received"))
 
-    score = F.lit(base) + F.lit(damping) * F.coalesce("received", F.lit(0.0))
+    score = (F.lit(base) + F.lit(damping) * F.coalesce("received", F.lit(0.0))).alias("score")
+    if iterations == 0:
+        return nodes.select("id", F.lit(1.0 / count).alias("score"))
     state = sources.withColumn("score", F.lit(1.0 / count))
     if iterations > 1:
-        inner = edges.join(sources.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(
-            "source_id", "target_id"
-        )
-        cold, spread = layout(inner)
-        inner_edges = cut_lineage(cold), None if spread is None else cut_lineage(spread)
-        for done in range(1, iterations):
-            state = sources.join(inbound(inner_edges, state), "id", "left").select(
-                "id", "links_out", score.alias("score")
-            )
-            if done % checkpoint_every == 0:
-                state = cut_lineage(state)
-    last = inbound(layout(edges.select("source_id", "target_id")), state) if iterations > 0 else None
-    if last is None:
-        return nodes.select("id", F.lit(1.0 / count).alias("score"))
-    return nodes.select("id").join(last, "id", "left").select("id", score.alias("score"))
+        inner = edges.join(sources.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+        cold, spread = split(inner.select("source_id", "target_id"))
+        cold = bucketed(cold, "source_id", parts)
+        spread = None if spread is None else cut_lineage(spread)
+        rounds = iterations
+        if spread is None and cold.isEmpty():
+            # No page links to another page that links on: from the first round on, nothing moves.
+            state, rounds = sources.withColumn("score", F.lit(base)), 1
+        for done in range(1, rounds):
+            inbound = received(cold, spread, state)
+            state = sources.join(inbound.hint("shuffle_hash"), "id", "left").select("id", "links_out", score)
+            if done % checkpoint_every == 0 and done < rounds - 1:
+                state = bucketed(state, "id", parts)
+    last = received(*split(edges.select("source_id", "target_id")), state)
+    return nodes.select("id").join(last, "id", "left").select("id", score)
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:

@@ -90,27 +90,41 @@ def term_vectors(docs: DataFrame, key: str) -> DataFrame:
     """
     stop = F.lit(text.STOP_WORDS)
     whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    tokens = docs.select(key, F.posexplode(text.words(F.lower(whole))).alias("pos", "word")).filter(
+    # The texts are spread by key before they are cut, which is less to shuffle than their
+    # words, and the words of a document are then grouped where they are.
+    tokens = docs.select(key, whole.alias("content")).repartition(key).select(
+        key, F.posexplode(text.words(F.lower("content"))).alias("pos", "word")
+    ).filter(
         ~F.array_contains(stop, F.col("word"))
     )
-    # All words of a document are in one task already, so the map side builds whole groups.
     return tokens.groupBy(key, text.stem(F.col("word")).alias("term")).agg(
         F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions")
     )
 
 
 def postings(docs: DataFrame, key: str = "id") -> DataFrame:
-    """Search postings ``(term, key, field, positions)`` over the searchable fields.
+    """Search postings ``(term, key, field, pos)``: one row per word of the searchable fields.
 
     Terms are folded words without stemming. ``field`` is the rank of the field, 0 best.
+    Building them needs no shuffle: nothing is collected per term or document, so a term
+    that is in every document is just many rows.
     """
     fields = F.array(*[
         F.struct(F.lit(i).alias("field"), F.coalesce(F.col(name), F.lit("")).alias("content"))
         for i, name in enumerate(FIELDS)
     ])
     tokens = docs.select(key, F.inline(fields)).select(
-        key, "field", F.posexplode(text.words(F.col("content"))).alias("pos", "word")
-    )
-    return tokens.groupBy(text.fold(F.col("word")).alias("term"), key, "field").agg(
-        F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions")
+        key, "field", F.posexplode(text.words(text.fold(F.col("content")))).alias("pos", "term")
     )
+    return tokens.select("term", key, "field", (F.col("pos") + 1).alias("pos"))
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """Store postings in term order, so that a search reads only the files of its terms.
+
+    The order goes on to the document and position, which spreads a frequent term over as
+    many files as it needs.
+    """
+    keys = [c for c in rows.columns if c != "term"]
+    ordered = rows.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys)
+    ordered.write.mode("overwrite").parquet(path)

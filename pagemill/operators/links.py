@@ -58,7 +58,7 @@ def drop_dangling_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
     ids = pages.select("id")
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(
         ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"
-    )
+    ).select("source_id", "target_id")
 
 
 def load_links(page_ids: DataFrame, outlinks: DataFrame) -> tuple[DataFrame, DataFrame]:

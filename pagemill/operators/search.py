@@ -152,7 +152,7 @@ def _proximity(candidates: DataFrame, answers: DataFrame, postings: DataFrame) -
     places = (
         postings.join(sized(answers), "term")
         .join(candidates.select("qid", "id"), ["qid", "id"], "left_semi")
-        .select("qid", "id", "field", "slot", F.explode("positions").alias("pos"))
+        .select("qid", "id", "field", "slot", "pos")
     )
     # Word number s takes part in the pair (s - 1, s) and in the pair (s, s + 1).
     sides = places.select(
@@ -259,10 +259,11 @@ def results(ranked: DataFrame, answers: DataFrame, documents: DataFrame) -> Data
     """Result rows of ranked hits: url, title, snippet, meta description and score.
 
     An empty snippet falls back to the meta description. The hits are ``top_k`` per query;
-    if few enough they are broadcast to the documents, so bodies are not shuffled.
+    if few enough they are broadcast to the documents, so bodies are not shuffled, and
+    either way other documents are dropped before their bodies are worked on.
     """
     terms = answers.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hits = ranked.select("qid", "place", "id", "rank_score").join(terms, "qid")
+    hits = cut_lineage(ranked.select("qid", "place", "id", "rank_score").join(terms, "qid"))
     found = documents.select("id", "url", "title", "meta_description", "body_text").join(sized(hits), "id")
     meta = F.coalesce("meta_description", F.lit(""))
     shown = snippet(F.coalesce("body_text", F.lit("")), F.col("terms"))

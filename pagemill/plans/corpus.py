@@ -27,7 +27,8 @@ def load_corpus(
 ) -> tuple[DataFrame, DataFrame]:
     """Page table and edges after loading ``raw(url, html, order)`` into ``existing``.
 
-    ``crawled_at`` may use the column ``seq``, the value of ``order``.
+    ``crawled_at`` may use the column ``seq``, the value of ``order``. Both results are
+    stored in the shared folder.
     """
     # Every extraction of a page happens in one projection; the page table and the link
     # graph both start from its stored result.
@@ -40,7 +41,7 @@ def load_corpus(
     pages = cut_lineage(page_table.upsert(existing, extracted.drop("targets")))
     stubs, edges = links.load_links(pages.select("id", "url"), extracted.select("url", "targets"))
     seen = extracted.agg(F.max("crawled_at")).scalar()
-    return page_table.add_stubs(pages, stubs, seen), edges
+    return cut_lineage(page_table.add_stubs(pages, stubs, seen)), cut_lineage(edges)
 
 
 def index_cycle(

@@ -6,9 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, spread_by: str | None = None
+) -> DataFrame:
+    """A Parquet table.
+
+    ``spread_by`` names a unique key. A table of fewer splits than there are cores, as one
+    row group is, is then spread by it, so that text work does not run in one task. A table
+    of many splits is read as it lies, without a shuffle.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(path)
+    table = reader.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by is None or table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, spread_by)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
