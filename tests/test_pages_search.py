@@ -103,8 +103,8 @@ def test_search_order_filters_and_limits(spark):
     order = {}
     for r in sorted(ranked.collect(), key=lambda r: (r.qid, r.place)):
         order.setdefault(r.qid, []).append(r.id)
-    # Both words found exactly; the nearer pair first; then the pair with an error; then one word.
-    assert order[1] == [1, 2, 3, 5]
+    # Both words found exactly, the nearer pair (2 words apart, then 4) first; a pair with an error; one word.
+    assert order[1] == [2, 1, 3, 5]
     assert order[2] == [3] and order[3] == [1, 2]
     assert 4 not in order and 5 not in order and 6 not in order
     row = {(r.qid, r.id): r for r in ranked.collect()}
