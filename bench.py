@@ -29,8 +29,6 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
-        # The tables are single small files: split them so that every core reads a part.
-        "spark.sql.files.maxPartitionBytes": "2m", "spark.sql.files.openCostInBytes": "64k",
     })
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/pages.parquet").count()

@@ -55,8 +55,9 @@ def pagerank(
     base = (1.0 - damping) / count
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    sources = bucketed(edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")), "id", parts)
-    hot = sources.filter(F.col("links_out") > hot_degree).orderBy(F.desc("links_out"), "id").limit(MAX_HOT_NODES)
+    degrees = cut_lineage(edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")))
+    sources = bucketed(degrees, "id", parts)
+    hot = degrees.filter(F.col("links_out") > hot_degree).orderBy(F.desc("links_out"), "id").limit(MAX_HOT_NODES)
     hot_ids = None
     if not hot.isEmpty():
         hot_ids = F.broadcast(cut_lineage(hot).select(F.col("id").alias("source_id")))
@@ -80,7 +81,8 @@ def pagerank(
         return nodes.select("id", F.lit(1.0 / count).alias("score"))
     state = sources.withColumn("score", F.lit(1.0 / count))
     if iterations > 1:
-        inner = edges.join(sources.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+        # Both sides of this join are shuffled, so that a target of very many links is split.
+        inner = edges.join(degrees.select(F.col("id").alias("target_id")), "target_id", "left_semi")
         cold, spread = split(inner.select("source_id", "target_id"))
         cold = bucketed(cold, "source_id", parts)
         spread = None if spread is None else cut_lineage(spread)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.functions.binding import let
+from pagemill.session import cut_lineage
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -83,8 +84,8 @@ def rules_for_agent(rules: DataFrame, agent: str) -> DataFrame:
 def allowed(candidates: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     """``candidates`` with a column ``allowed`` for their ``url``.
 
-    Each host has one row of rules, so a host with very many urls is a plain skewed join,
-    which adaptive execution splits. The first rule in file order whose path starts the
+    Each host has one row of rules, and the rows are stored first: a host with very many urls
+    is then a join of two shuffled tables, whose large partition adaptive execution splits. The first rule in file order whose path starts the
     url's path decides; a host without rules allows everything.
     """
     rest = F.regexp_replace(_unquote(F.col("url")), r"^[^:/?#]*://[^/?#]*", "")
@@ -92,7 +93,7 @@ def allowed(candidates: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     matching = F.filter("rules", lambda r: (r["path"] == "*") | F.startswith("path", r["path"]))
     return (
         candidates.withColumn("base_url", urls.base_url(F.col("url"))).withColumn("path", path)
-        .join(rules_for_agent(rules, agent), "base_url", "left")
+        .join(cut_lineage(rules_for_agent(rules, agent)), "base_url", "left")
         .withColumn("allowed", F.coalesce(F.get(matching, F.lit(0))["allow"], F.lit(True)))
         .drop("base_url", "path", "rules")
     )

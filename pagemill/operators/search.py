@@ -129,7 +129,7 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
     slots = query_terms(queries)
     words = slots.select("word").distinct()
     if typos:
-        terms = match_terms(words, postings.select("term").distinct())
+        terms = match_terms(cut_lineage(words), cut_lineage(postings.select("term").distinct()))
     else:
         terms = words.select("word", F.col("word").alias("term"), F.lit(0).alias("typos"))
     answers = cut_lineage(slots.join(terms, "word").select("qid", "slot", "term", "typos"))
@@ -175,9 +175,15 @@ def rank(queries: DataFrame, answers: DataFrame, matches: DataFrame, postings: D
     Proximity is the third rule, so it can only order documents that tie on the first two.
     Documents with ``top_k`` better ones by those two are out before positions are read.
     """
-    first_rules = Window.partitionBy("qid").orderBy(F.desc("words"), "typos")
-    candidates = matches.withColumn("tier", F.rank().over(first_rules)).filter(F.col("tier") <= top_k).drop("tier")
-    candidates = cut_lineage(candidates)
+    # Documents are counted per value of the first two rules. These tiers are few, so they
+    # can be put in order per query where the documents, which may all tie, could not.
+    tiers = matches.groupBy("qid", "words", "typos").agg(F.count("*").alias("n"))
+    better = Window.partitionBy("qid").orderBy(F.desc("words"), "typos").rowsBetween(Window.unboundedPreceding, -1)
+    open_tiers = cut_lineage(
+        tiers.withColumn("ahead", F.coalesce(F.sum("n").over(better), F.lit(0))).filter(F.col("ahead") < top_k)
+        .select("qid", "words", "typos")
+    )
+    candidates = cut_lineage(matches.join(sized(open_tiers), ["qid", "words", "typos"], "left_semi"))
     pairs = query_terms(queries).groupBy("qid").agg((F.count("*") - 1).alias("pairs"))
     scored = (
         candidates.join(_proximity(candidates, answers, postings), ["qid", "id"], "left")

@@ -14,9 +14,11 @@ from pagemill.session import cut_lineage
 def distinct_pages(raw: DataFrame, order: str) -> DataFrame:
     """One row per normalised url, the first in ``order``, as ``(url, html, seq)``."""
     normal = raw.select(urls.normalize_url(F.col("url")).alias("url"), "html", F.col(order).alias("seq"))
-    repeated = normal.groupBy("url").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n")).filter("n > 1")
-    # Only the repeated urls travel, so the html is not shuffled unless very many repeat.
-    return normal.join(sized(repeated.drop("n")), "url", "left").filter(
+    counted = normal.groupBy("url").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
+    # Only the repeated urls travel, so the html is not shuffled unless very many repeat. They
+    # are stored, so that then both sides are shuffled and a url of very many copies is split.
+    repeated = cut_lineage(counted.filter("n > 1").drop("n"))
+    return normal.join(sized(repeated), "url", "left").filter(
         F.col("first_seq").isNull() | (F.col("seq") == F.col("first_seq"))
     ).drop("first_seq")
 
