@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import quality, simhash
-from pagemill.llm.common import table
+import corpus_pipeline
+from pagemill.llm import ann, chat, mixing, packing, pii, quality, simhash, warc
+from pagemill.llm.common import stored, table
+from pagemill.session import work_path
+
+#: Production mix: the weights of the sources in turn, and the most copies of a document.
+WEIGHTS, MAX_REPEATS = [5.0, 2.0, 1.0], 3
+
+
+def byte_encoder() -> packing.Encoder:
+    """Public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    return packing.Encoder(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten nearest vectors, by Euclidean distance, of every row whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
 def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +35,19 @@ def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived and read back: what its record and its full payload say."""
+    place = work_path(spark, "archive")
+    warc.write(table(spark, folder, "pages"), place, min_revisit_bytes=1000)
+    stores = warc.payloads(spark, place).select(
+        "digest", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")
+    )
+    records = warc.read_headers(spark, place).join(stores, "digest")
+    return records.select("id", "type", "payload_bytes", "payload_digest", "refers_to").toDF(
+        "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"
+    )
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every document by rules learned from ``labels.quality``."""
     result, _ = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"])
@@ -22,10 +55,107 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return result.select("doc.doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one of control strings, formatted by their layout and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("completion"))).alias("record")
+    )
+    made = chat.format_records(chat.records_of(table(spark, folder, "conversations")).unionByName(extra))
+    read = made.withColumn("turns", chat.parsed(F.col("text"))).withColumn("learned", chat.under_loss(F.col("text"), F.col("loss")))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_vector_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces packed into sequences of 1,024 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), byte_encoder())
+
+
+def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document the mix takes; sources weigh 5, 2, 1 in turn."""
+    rows = mixing.rows_of(table(spark, folder, "documents"), ["doc_id"])
+    places = stored(mixing.placed(rows, WEIGHTS, MAX_REPEATS), "mix")
+    drawn = mixing.dealt(places, block_words=20_000, shard_words=2_000_000).groupBy("row").agg(F.sum("size").alias("taken"))
+    found = places.join(drawn, "row", "left").join(rows.select("row", "doc.doc_id"), "row")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: fixed patterns, and spans the trained field adds."""
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc.doc_id", *[n(kind) for kind in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
+    "op6_chat_format": op6_chat_format,
+    "op8_vector_best_fit": op8_vector_best_fit,
+    "op9_source_mix": op9_source_mix,
+    "op10_personal_data": op10_personal_data,
+    "pipeline": corpus_pipeline.run,
 }
 
 #: DuckDB statements for those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Exact search: on a table of fewer vectors than the search takes from the leaves, the forest's answer is this one.
+    "op1_nearest_neighbours": """
+        with points as (
+            select vec_id, embedding::double[] as v from embeddings
+            where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+              and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+        ),
+        pairs as (
+            select q.vec_id as query_id, p.vec_id,
+                   sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (p.v[i] - q.v[i]) * (p.v[i] - q.v[i])), lambda a, b: a + b)) as score
+            from points q join points p on q.vec_id <> p.vec_id where q.vec_id % 100 = 0
+        ),
+        ranked as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from pairs)
+        select query_id, rank, vec_id, score from ranked where rank <= 10
+    """,
+    "op9_source_mix": r"""
+        with sized as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                   md5('0:' || doc_id::varchar) as h
+            from documents
+        ),
+        sources as (
+            select source, sum(size)::bigint as source_size,
+                   [5.0::double, 2.0, 1.0][1 + (row_number() over (order by source is null, source) - 1) % 3] as weight
+            from sized group by source
+        ),
+        ratios as (select *, (3 * source_size)::double as cap, (3 * source_size)::double / weight as ratio from sources),
+        filled as (
+            select *, ((sum(source_size) over ())::double
+                       - coalesce(sum(cap) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0))
+                      / sum(weight) over (order by ratio, source is null, source rows between current row and unbounded following) as level
+            from ratios
+        ),
+        targets as (
+            select source, source_size, least(cap, (max(level) filter (where level <= ratio) over ()) * weight) as target from filled
+        ),
+        placed as (
+            select *, coalesce(sum(size) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as start
+            from sized
+        )
+        select p.doc_id, p.size::bigint as size, t.source_size, t.target,
+               case when p.size = 0 then 0 else
+                   p.size * least(3, greatest(0, floor((t.target - p.start - p.size / 2) / t.source_size)::bigint + 1))
+               end::bigint as taken
+        from placed p join targets t on p.source is not distinct from t.source
+    """,
+}
