@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import ann, chat, mixing, packing, pii, quality, simhash, warc
+from pagemill.llm import ann, chat, mixing, packing, pii, quality, simhash, substring, toxicity, warc
 from pagemill.llm.common import stored, table
 from pagemill.session import work_path
 
@@ -55,6 +55,18 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return result.select("doc.doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op5_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of three of four ids."""
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    seen = F.coalesce(remainder != 2, F.lit(True))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, table(spark, folder, "labels").select("doc_id", "toxic"), seen)
+    score = F.col("score")
+    return found.select("doc.doc_id", "score").select(
+        "doc_id", (~seen).alias("held_out"), "score", (score >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one of control strings, formatted by their layout and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -71,6 +83,12 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that 13-word windows share with a smaller document."""
+    found = substring.deduplicated(table(spark, folder, "documents").select("doc_id", "text"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_vector_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces packed into sequences of 1,024 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), byte_encoder())
@@ -103,13 +121,23 @@ QUERIES = {
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxic_spans": op5_toxic_spans,
     "op6_chat_format": op6_chat_format,
+    "op7_fm_index_dedup": op7_fm_index_dedup,
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_source_mix": op9_source_mix,
     "op10_personal_data": op10_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 
+def _escaped_sql(text: str) -> str:
+    """SQL of a text with doubled backslashes and every control string broken after its first character."""
+    out = f"replace({text}, '\\', '\\\\')"
+    for said in chat.CONTROL:
+        out = f"replace({out}, '{said}', '{said[0]}\\{said[1:]}')"
+    return out
+
+
 #: DuckDB statements for those that SQL can express.
 ORACLES: dict[str, str] = {
     # Exact search: on a table of fewer vectors than the search takes from the leaves, the forest's answer is this one.
@@ -127,6 +155,45 @@ ORACLES: dict[str, str] = {
         ranked as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from pairs)
         select query_id, rank, vec_id, score from ranked where rank <= 10
     """,
+    "op3_warc_archive": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        k as (select *, strlen(body) as payload_bytes, max(page_id) over (partition by body) as last from p)
+        select page_id, payload_bytes, sha1(body) as payload_digest,
+               case when payload_bytes < 1000 or page_id = last then 'response' else 'revisit' end as record_type,
+               case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
+        from k
+    """,
+    "op6_chat_format": f"""
+        with said as (
+            select conv_id, turn, role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        made as (
+            select *, length('{chat.START}') + length({_escaped_sql("role")}) + 1 + length({_escaped_sql("text")}) + {len(chat.END)} as n
+            from said
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(n)::bigint as formatted_chars
+        from made group by conv_id
+    """,
+    "op7_fm_index_dedup": r"""
+        with split as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        places as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from split where len(ws) >= 13),
+        windows as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from places),
+        firsts as (select k, min(doc_id) as least from windows group by k),
+        gone as (
+            select distinct doc_id, i + j as p from windows join firsts using (k), (select unnest(range(13)) as j) where least < doc_id
+        ),
+        words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from split),
+        kept as (
+            select doc_id, count(g.p) as n_removed, string_agg(word, ' ' order by w.p) filter (g.p is null) as kept
+            from words w left join gone g using (doc_id, p) group by doc_id
+        )
+        select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from split left join kept using (doc_id)
+    """,
     "op9_source_mix": r"""
         with sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
