@@ -7,15 +7,24 @@ from pyspark.sql import functions as F
 
 from pagemill.session import work_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word, for Spark's regular expressions; ``bytes.split()`` cuts UTF-8 at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: computed once, and safe from lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: computed once, and safe from lost executors.
+
+    The shuffle files of the job go with its end, since no later one reads them.
+    """
+    spark, path = df.sparkSession, work_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

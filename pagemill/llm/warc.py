@@ -73,13 +73,16 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
         F.concat(F.lit("Content-Length: "), (F.lit(len(http)) + F.when(revisit, 0).otherwise(F.col("size"))).cast("string")),
     ]
     head = F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF + http))
-    marked.withColumn("type", kind).select("digest", head.alias("header")).write.parquet(f"{folder}/headers")
-    # Bytes travel once, to meet the row that stands for its digest.
-    one = rows.join(
-        stores.select(F.col("first_id").alias("f_id"), F.col("first_url").alias("f_url"), "digest"),
-        F.col("id").eqNullSafe(F.col("f_id")) & (F.col("url") == F.col("f_url")) & (F.sha2("body", 256) == F.col("digest")),
+    marked.withColumn("type", kind).select("digest", head.alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
+    # Bytes travel once, to meet the row that stands for their digest; equal rows are dropped where they meet.
+    def keyed(rows: DataFrame, id: str, url: str, *more: Column) -> DataFrame:
+        return rows.select(F.col(id).isNull().alias("none"), F.coalesce(id, F.lit(0)).alias("id"), F.col(url).alias("url"), *more)
+
+    keys = ["none", "id", "url", "digest"]
+    one = keyed(rows, "id", "url", F.sha2("body", 256).alias("digest"), F.col("body")).join(
+        keyed(stores, "first_id", "first_url", F.col("digest")), keys, "left_semi"
     )
-    one.select("digest", "body").dropDuplicates(["digest"]).write.parquet(f"{folder}/payloads")
+    one.dropDuplicates(keys).select("digest", "body").write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
