@@ -4,11 +4,14 @@
   node splits at the median of the projection on the difference of two random members.
 * ``index`` sends every vector of the table, not the sample alone, down all trees. Equal vectors are one row with
   their smallest ids, so copies fill no leaf.
-* ``search`` walks all trees for a query through one priority queue ordered by the smallest margin on the way, and
-  takes leaves until they hold ``search_rows`` vectors.
+* ``walk`` goes through all trees for a query by one priority queue. A leaf's place in it is the sum of squared margins
+  where its path leaves the query's side, which bounds its distance from below. Leaves are taken until they hold ``search_rows`` vectors.
 * Leaves and the queries that visit them meet by an equality join. A leaf with many vectors or visitors is cut
-  into cells of bounded size, so no leaf is one task; each cell gives its best ``k`` by exact distance, and the
-  best of all cells are the answer.
+  into cells of bounded size, so no leaf is one task; cells are dealt to groups of about ``GROUP_ROWS`` rows. A group gives the best ``k``
+  of each of its queries by exact distance, and the best of all groups are the answer.
+
+``search_rows`` fits vectors without any structure, of which the nearest ten of 50,000 are hardly nearer than the
+rest: 0.95 of them are found. Vectors of real models need fewer.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components and vectors of another length than
 the most frequent (the smaller of two as frequent) take no part, nor do rows of null id. Of rows that share
@@ -26,20 +29,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pagemill.llm.common import stored
 
 #: Vectors and visitors of one cell.
 CELL_ROWS, CELL_VISITS = 4096, 1024
+GROUP_ROWS = 20_000
 
 
 @dataclass(frozen=True)
 class Settings:
     n_trees: int = 16
-    leaf_rows: int = 64
+    leaf_rows: int = 32
     sample_rows: int = 65_536
-    search_rows: int = 6_000
+    search_rows: int = 24_000
     seed: int = 7
 
 
@@ -93,27 +98,33 @@ def grow(sample: np.ndarray, leaf_rows: int, seed: list[int]) -> Tree:
 
 
 def walk(forest: list[Tree], sizes: list[np.ndarray], query: np.ndarray, rows: int) -> list[tuple[int, int]]:
-    """Leaves (tree, leaf) by the smallest margin on the way to them, until they hold ``rows`` vectors."""
+    """Leaves (tree, leaf) by the squared margins on the way to them, until they hold ``rows`` vectors."""
     margins = [tree.normals @ query - tree.thresholds for tree in forest]
-    queue = [(-np.inf, t, 0 if len(tree.thresholds) else -1) for t, tree in enumerate(forest)]
+    queue = [(0.0, t, 0 if len(tree.thresholds) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
     found, held = [], 0
     while queue and held < rows:
-        worst, t, node = heapq.heappop(queue)
+        cost, t, node = heapq.heappop(queue)
         if node < 0:
             held += int(sizes[t][-1 - node])
             found.append((t, -1 - node))
             continue
         margin = float(margins[t][node])
         near, far = forest[t].children[node][int(margin > 0)], forest[t].children[node][int(margin <= 0)]
-        heapq.heappush(queue, (worst, t, int(near)))
-        heapq.heappush(queue, (max(worst, abs(margin)), t, int(far)))
+        heapq.heappush(queue, (cost, t, int(near)))
+        heapq.heappush(queue, (cost + margin * margin, t, int(far)))
     return found
 
 
+def numbers(df: DataFrame, vector: str) -> str:
+    """Single-precision vectors are stored as such, which loses nothing; distances are always in double precision."""
+    kind = df.schema[vector].dataType
+    return "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+
+
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` and ``v`` (array of doubles) of the rows that take part."""
-    v = F.col(f"`{vector}`").cast("array<double>")
+    """``id`` and ``v`` (array of floats, as they come, or of doubles) of the rows that take part."""
+    v = F.col(f"`{vector}`").cast(f"array<{numbers(df, vector)}>")
 
     def bad(x: Column) -> Column:
         return x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -129,7 +140,11 @@ def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
 def fit(vectors: DataFrame, settings: Settings) -> list[Tree]:
     """The forest of a sample: the ``sample_rows`` vectors of the smallest hashes."""
     spark = vectors.sparkSession
-    rows = vectors.orderBy(F.xxhash64("class", F.lit(settings.seed)), "class").limit(settings.sample_rows).select("v").collect()
+    share = min(1.0, settings.sample_rows / max(1, vectors.count()))
+    drawn = vectors.withColumn("h", F.xxhash64("class", F.lit(settings.seed)))
+    # Few more than wanted pass the filter, so what tasks hand to the limit is of its size.
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) <= int(1.1 * share * (1 << 20)) + 1)
+    rows = drawn.orderBy("h", "class").limit(settings.sample_rows).select("v").collect()
     if not rows:
         return []
     sample = spark.sparkContext.broadcast(np.array([r[0] for r in rows], dtype=np.float32))
@@ -171,11 +186,12 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                vectors = np.stack(batch["v"].to_numpy())
+                vectors = np.stack(batch["v"].to_numpy()).astype(np.float64)
                 for t, tree in enumerate(shared.value):
                     yield pd.DataFrame({"tree": t, "leaf": tree.leaves(vectors), "class": batch["class"], "v": batch["v"]})
 
-    entry = "tree int, leaf long, class long, v array<double>"
+    kind = numbers(df, vector)
+    entry = f"tree int, leaf long, class long, v array<{kind}>"
     index = classes.select("class", "v").mapInPandas(route, entry)
     index = stored(index, "forest")
     counts = index.groupBy("tree", "leaf").count().collect()  # at most n_trees * sample_rows rows
@@ -188,49 +204,54 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
         for batch in batches:
             out = []
             for qid, v in zip(batch["query_id"], batch["qv"]):
-                out += [(qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v), settings.search_rows)]
+                out += [(qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v, dtype=np.float64), settings.search_rows)]
             yield pd.DataFrame(out, columns=["query_id", "tree", "leaf", "qv"])
 
     asked = points.join(queries.select(F.col(f"`{key}`").cast("long").alias("id")).distinct(), "id").select(
         F.col("id").alias("query_id"), F.col("v").alias("qv")
     )
     asked = asked.repartition(max(spark.sparkContext.defaultParallelism, points.rdd.getNumPartitions()), "query_id")
-    visits = stored(asked.mapInPandas(visit, "query_id long, tree int, leaf long, qv array<double>"), "visits")
-    cells = index.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL_ROWS).alias("rows")).join(
-        visits.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / CELL_VISITS).alias("columns")), ["tree", "leaf"]
-    )
+    visits = stored(asked.mapInPandas(visit, f"query_id long, tree int, leaf long, qv array<{kind}>"), "visits")
+    cells = index.groupBy("tree", "leaf").agg(F.count("*").alias("n")).join(
+        visits.groupBy("tree", "leaf").agg(F.count("*").alias("m")), ["tree", "leaf"]
+    ).withColumn("rows", F.ceil(F.col("n") / CELL_ROWS)).withColumn("columns", F.ceil(F.col("m") / CELL_VISITS))
     cells = stored(cells, "cells")
+    held = cells.agg(F.sum(F.col("n") * F.col("columns") + F.col("m") * F.col("rows"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("tree", "leaf", "r", "c"), F.lit(max(1, held // GROUP_ROWS)))
     # A row of the index is in one row of cells, a visit in one column; each is copied along the other side.
     left = index.join(cells, ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64("class"), F.col("rows"))).withColumn(
         "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))
-    ).select("tree", "leaf", "r", "c", "class", "v")
+    ).select("tree", "leaf", "r", "c", "class", "v", group.alias("group"))
     right = visits.join(cells, ["tree", "leaf"]).withColumn("c", F.pmod(F.xxhash64("query_id"), F.col("columns"))).withColumn(
         "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
-    ).select("tree", "leaf", "r", "c", "query_id", "qv")
+    ).select("tree", "leaf", "r", "c", "query_id", "qv", group.alias("group"))
 
     def rerank(rows: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        keys, out = ["tree", "leaf", "r", "c"], [pd.DataFrame({"query_id": [], "class": [], "score": []})]
         if len(rows) and len(visitors):
-            vectors, ids = np.stack(rows["v"].to_numpy()), rows["class"].to_numpy()
-            for qid, qv in zip(visitors["query_id"], visitors["qv"]):
-                score = distances(vectors, np.asarray(qv))
-                best = np.lexsort((ids, score))[: k + 1]
-                out += [(qid, ids[i], score[i]) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "class", "score"])
-
-    keys = ["tree", "leaf", "r", "c"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "query_id long, class long, score double")
+            vectors, asked = (np.stack(x.to_numpy()).astype(np.float64) for x in (rows["v"], visitors["qv"]))
+            ids, query_ids, here = rows["class"].to_numpy(), visitors["query_id"].to_numpy(), rows.groupby(keys).indices
+            for cell, who in visitors.groupby(keys).indices.items():
+                if cell in here:
+                    score = distances(vectors[here[cell]], asked[who])
+                    far = np.partition(score, min(k, score.shape[1] - 1), axis=1)[:, min(k, score.shape[1] - 1)]
+                    q, v = np.nonzero(score <= far[:, None])
+                    out.append(pd.DataFrame({"query_id": query_ids[who[q]], "class": ids[here[cell][v]], "score": score[q, v]}))
+        found = pd.concat(out).drop_duplicates(["query_id", "class"]).sort_values(["query_id", "score", "class"])
+        return found.groupby("query_id").head(k + 1).astype({"query_id": "int64", "class": "int64"})
+
+    found = left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(rerank, "query_id long, class long, score double")
     best = _best(found.distinct(), ["score", "class"], k + 1)
     spread = best.join(_smallest(members, k + 1), "class").withColumn("vec_id", F.explode("ids")).filter("vec_id <> query_id")
     ranked = _best(spread.select("query_id", "vec_id", "score"), ["score", "vec_id"], k)
     return ranked.select("query_id", F.col("n").alias("rank"), "vec_id", "score")
 
 
-def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, summed in the order of the components."""
-    total = np.zeros(len(vectors))
+def distances(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Euclidean distances, a row for each query, in double precision and summed in the order of the components."""
+    total = np.zeros((len(queries), len(vectors)))
     for j in range(vectors.shape[1]):
-        total += (vectors[:, j] - query[j]) ** 2
+        total += (vectors[:, j] - queries[:, j, None]) ** 2
     return np.sqrt(total)
 
 
