@@ -30,6 +30,8 @@ from pagemill.llm.common import WORD, stored
 
 #: More sources than this are an error: their quotas are sent to every task.
 MAX_SOURCES = 100_000
+#: What tells a row from all others that differ.
+KEY = ["h", "h2"]
 #: Hex digits of the hash that make a bucket inside a source.
 BUCKET_DIGITS = 3
 
@@ -60,17 +62,20 @@ def targets(sizes: DataFrame, weights: list[float], max_repeats: int = 3) -> Dat
     return ranked.select("source", "source_size", F.least("cap", F.col("at") * F.col("weight")).alias("target"))
 
 
+def _keyed(df: DataFrame, seed: int) -> list[Column]:
+    """Key of a row: ``h`` orders by id, ``h2`` is a hash of all columns. Equal rows have equal keys."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    return [h.alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h2")]
+
+
 def rows_of(df: DataFrame, keep: list[str], *, text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """A stored table with ``doc`` (the columns ``keep``), ``row`` (a number of its own), ``source``, ``size`` and the order ``h``, ``h2``.
+    """A stored table with ``doc`` (the columns ``keep``), ``row`` (a number of its own), ``source``, ``size`` and the key.
 
-    All later steps work on the short columns; texts meet them again by ``row``.
+    All steps work on its short columns; a caller that keeps no texts here meets them again by the key.
     """
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col(f"`{source}`").alias("source"),
-        words_in(F.col(f"`{text}`")).alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("h"),
-        F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)).alias("h2"),
-        F.monotonically_increasing_id().alias("row"),
+        words_in(F.col(f"`{text}`")).alias("size"), *_keyed(df, seed), F.monotonically_increasing_id().alias("row"),
     )
     return stored(rows, "sizes")
 
@@ -145,9 +150,12 @@ def draw(rng, counts, want: int):
 def mix(df: DataFrame, weights: list[float], *, text: str = "text", source: str = "source", max_repeats: int = 3,
         block_words: int = 20_000, shard_words: int = 2_000_000, seed: int = 0) -> DataFrame:
     """A row per taken copy: ``doc``, ``size``, ``copy`` (from 0), ``shard`` and ``place`` (order by it inside a shard)."""
-    rows = rows_of(df, df.columns, text=text, source=source, seed=seed)
+    rows = rows_of(df, ["doc_id"], text=text, source=source, seed=seed)
     taken = stored(placed(rows, weights, max_repeats), "mix")
-    return dealt(taken, block_words=block_words, shard_words=shard_words, seed=seed).join(rows.select("row", "doc"), "row")
+    copies = dealt(taken, block_words=block_words, shard_words=shard_words, seed=seed)
+    # Equal rows are one here; the copies of each of them find it.
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), *_keyed(df, seed)).dropDuplicates(KEY)
+    return copies.join(rows.select("row", *KEY), "row").join(whole, KEY).select("doc", "size", "copy", "shard", "place")
 
 
 def dealt(taken: DataFrame, *, block_words: int, shard_words: int, seed: int = 0) -> DataFrame:
@@ -185,4 +193,4 @@ def dealt(taken: DataFrame, *, block_words: int, shard_words: int, seed: int = 0
 def mixed_rows(df: DataFrame, weights: list[float], **options) -> DataFrame:
     """The mix with ``df``'s columns, a row per copy, in shards that are shuffled inside."""
     rows = mix(df, weights, **options)
-    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select("doc.*")
+    return rows.repartition("shard").sortWithinPartitions("shard", "place").select("doc.*")
