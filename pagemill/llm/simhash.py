@@ -117,9 +117,12 @@ def keep_one(df: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, text: st
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
     # A component without any id is one component per fingerprint at least; it keeps a row as well.
     chosen = groups.groupBy(F.coalesce("component_id", "f"), F.col("component_id").isNull()).agg(F.min(first).alias("row")).select(
-        F.col("row.doc_id").alias("chosen_id"), F.col("row.text_key").alias("chosen_key")
+        F.col("row.none").alias("none"), F.coalesce("row.doc_id", F.lit(0)).alias("id"), F.col("row.text_key").alias("key")
     )
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), text_key(F.col(text)).alias("key"))
-    kept = rows.join(chosen, F.col("doc.doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("key") == F.col("chosen_key")), "left_semi")
-    kept = kept.select("doc.*", F.col("doc.doc_id").alias("row_id"), F.col("key").alias("row_key"))
-    return kept.dropDuplicates(["row_id", "row_key"]).drop("row_id", "row_key")
+    # Texts are shuffled once: equal rows are dropped where the join has put them.
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"), F.col("doc_id").isNull().alias("none"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"), text_key(F.col(text)).alias("key"),
+    )
+    keys = ["none", "id", "key"]
+    return rows.join(chosen, keys, "left_semi").dropDuplicates(keys).select("doc.*")
