@@ -176,15 +176,32 @@ def _best_condition(cells: list[tuple], cuts: dict[str, list[float]]) -> tuple[f
     return best
 
 
+def _margin(rule: list[tuple[int, bool, int]], cells: list[tuple], cuts: dict[str, list[float]], spare: float) -> list[Condition]:
+    """The rule with each threshold halfway to the farthest one that loses at most the share ``spare`` of its bad rows.
+
+    Clean rows near a boundary stay clean.
+    """
+    bad, out = _total([c for c in cells if _covers(rule, c)])[0], []
+    for at, (f, above, cut) in enumerate(rule):
+        edge, far = cuts[FEATURES[f]], cut
+        while 0 <= (step := far + (1 if above else -1)) < len(edge):
+            moved = [*rule[:at], (f, above, step), *rule[at + 1:]]
+            if _total([c for c in cells if _covers(moved, c)])[0] < (1 - spare) * bad:
+                break
+            far = step
+        out.append(Condition(FEATURES[f], above, (edge[cut] + edge[far]) / 2))
+    return out
+
+
 def learn(
     measured: DataFrame, good: Column, key: Column, *,
-    max_rules: int = 12, max_conditions: int = 3, min_precision: float = 0.9, min_bad: int = 2,
+    max_rules: int = 12, max_conditions: int = 3, min_precision: float = 0.9, min_bad: int = 5, spare: float = 0.02,
 ) -> RuleList:
     """Rules that reject, by sequential covering over labelled rows.
 
     A rule grows on two thirds of the rows by information gain, is pruned on the rest from its end, and
-    is taken while at least ``min_precision`` of what it rejects, in both parts together, is bad. All
-    labelled rows count. ``good`` is 1, 0 or null; ``key`` deals rows into the two parts.
+    is taken while at least ``min_precision`` of what it rejects, in both parts together, is bad. Its thresholds
+    then move away from the good rows (``spare``). All labelled rows count. ``good`` is 1, 0 or null; ``key`` deals rows into the two parts.
     """
     labelled = measured.select(*FEATURES, good.cast("int").alias("good"), key.alias("key")).filter(
         F.col("good").isin(0, 1)
@@ -212,7 +229,7 @@ def learn(
         bad, fine = _total([c for c in cells if _covers(rule, c)])
         if bad < min_bad or bad < min_precision * (bad + fine):
             break
-        rules.append([Condition(FEATURES[f], above, cuts[FEATURES[f]][cut]) for f, above, cut in rule])
+        rules.append(_margin(rule, cells, cuts, spare))
         cells = [c for c in cells if not _covers(rule, c)]
     return RuleList(rules)
 
