@@ -237,11 +237,12 @@ def _variants(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[st
     """The snippet, and for one span each the spellings that the fixed patterns miss."""
     yield text, spans
     for n, (start, end, kind) in enumerate(spans):
-        span, digits = text[start:end], _digits(text[start:end])
-        other = {
-            "phone": [span[1:], re.sub(r"[ ().-]+", ".", span[1:])],
-            "card": ["-".join(re.findall(r".{1,4}", digits)), digits[:-1] + str((int(digits[-1] or 0) + 3) % 10)],
-        }.get(kind, [])
+        span, other = text[start:end], []
+        if kind == "phone":
+            other = [span[1:], re.sub(r"[ ().-]+", ".", span[1:])]
+        elif kind == "card":
+            digits = _digits(span)
+            other = ["-".join(re.findall(r".{1,4}", digits)), digits[:-1] + str((int(digits[-1]) + 3) % 10)]
         for new in other:
             shift = len(new) - len(span)
             moved = [(s + shift * (s > start), e + shift * (e >= end), k) for s, e, k in spans]
