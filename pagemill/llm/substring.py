@@ -9,8 +9,9 @@ in step, which gives the matching statistics: for each window's end the longest
 again, up to the window's width. Intervals of full matches give the smallest document of a window.
 
 What keeps it in proportion:
-* Anchors that occur in one document only cannot hold a duplicate and are dropped before any text moves.
-* Equal segments are one row with their smallest document, combined before the shuffle, so copies cost nothing.
+* Equal texts are one class, of which the smallest document alone is searched; the others are removed whole.
+* Anchors that occur in one class only cannot hold a duplicate and are dropped before any text moves.
+* Equal segments are one row with their smallest document, combined before the shuffle.
 * An anchor of more than ``HOT`` places (a stock phrase in many contexts) is cut into single windows that are dealt by their
   own hash, so no shard grows with it.
 
@@ -28,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored, text_key
+from pagemill.llm.common import stored
 
-WIDTH, GRAM, HOT = 13, 6, 4096
+WIDTH, GRAM, HOT = 13, 4, 4096
 #: Words of one shard, about.
 SHARD_WORDS = 400_000
-PLACE = "doc_id long, text_key long, start int, n int"
+PLACE = "doc_id long, k1 long, k2 long, start int, n int"
 
 
 class WordHashes(dict):
@@ -168,13 +169,16 @@ def smallest_documents(contents: list[bytes], owners: np.ndarray, width: int = W
 
 
 def _rows(df: DataFrame, text: str) -> DataFrame:
+    """``doc_id``, ``text`` and its hashes ``k1`` and ``k2``: equal texts are a class."""
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"), text_key(content).alias("text_key"))
+    return df.select(
+        F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("k1"),
+        F.xxhash64(F.lit(7), content).alias("k2"),
+    )
 
 
-def removable(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``text_key`` and ``starts``: first words of the windows that also start in a smaller document."""
-    rows = _rows(df, text).filter("doc_id is not null")
+def _places(rows: DataFrame, width: int) -> DataFrame:
+    """Segments of every text: class ``k1``, ``start`` and ``anchor``."""
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -182,37 +186,39 @@ def removable(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFram
             found = [segments(hashes(content.encode().split(), known), width) for content in batch["text"]]
             of = np.repeat(np.arange(len(batch)), [len(start) for start, _, _ in found])
             if len(of):
-                start, n, anchor = (np.concatenate(x) for x in zip(*found))
-                yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].to_numpy()[of], "text_key": batch["text_key"].to_numpy()[of],
-                    "start": start, "n": n, "anchor": anchor,
-                })
-
-    places = stored(rows.mapInPandas(anchored, f"{PLACE}, anchor long"), "anchors")
-    shared = places.groupBy("anchor").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.count("*") > HOT).alias("hot")
-    ).filter("least < most").select("anchor", "hot")
-    live = places.join(shared, "anchor").groupBy("doc_id", "text_key").agg(
-        F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("parts")
-    )
+                start, _, anchor = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"k1": batch["k1"].to_numpy()[of], "start": start, "anchor": anchor})
+
+    return rows.select("text", "k1").mapInPandas(anchored, "k1 long, start int, anchor long")
+
+
+def _pieces(chosen: DataFrame, width: int) -> DataFrame:
+    """The live segments (``parts``) of the chosen texts with their words; those of hot anchors as single windows."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
             out = []
-            for doc, key, content, parts in zip(batch["doc_id"], batch["text_key"], batch["text"], batch["parts"]):
+            for doc, k1, k2, content, parts in zip(batch["doc_id"], batch["k1"], batch["k2"], batch["text"], batch["parts"]):
                 ids = hashes(content.encode().split(), known)
+                starts, sizes, anchors = segments(ids, width)
                 own = _grams(ids, width).view(np.int64) if any(p["hot"] for p in parts) else None
-                for p in {(p["start"], p["n"], p["anchor"], p["hot"]) for p in parts}:
-                    start, n, anchor, hot = p
-                    if hot:
-                        out += [(doc, key, at, 1, own[at], ids[at: at + width].tobytes()) for at in range(start, start + n)]
+                for p in parts:
+                    start, i = p["start"], int(np.searchsorted(starts, p["start"]))
+                    if i == len(starts) or starts[i] != start:
+                        continue  # of another text with the same first hash
+                    n = int(sizes[i])
+                    if p["hot"]:
+                        out += [(doc, k1, k2, at, 1, own[at], ids[at: at + width].tobytes()) for at in range(start, start + n)]
                     else:
-                        out.append((doc, key, start, n, anchor, ids[start: start + n + width - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "start", "n", "shard_key", "content"])
+                        out.append((doc, k1, k2, start, n, anchors[i], ids[start: start + n + width - 1].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "k1", "k2", "start", "n", "shard_key", "content"])
 
-    pieces = stored(rows.join(live, ["doc_id", "text_key"]).mapInPandas(cut, f"{PLACE}, shard_key long, content binary"), "segments")
-    distinct = stored(pieces.groupBy("shard_key", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
+    return chosen.mapInPandas(cut, f"{PLACE}, shard_key long, content binary")
+
+
+def _smallest(distinct: DataFrame, width: int) -> DataFrame:
+    """``least_docs``, the smallest document of each window, of the segments that it matters for, by an index per shard."""
     words = distinct.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     shards = max(1, words // 8 // SHARD_WORDS)
 
@@ -223,17 +229,38 @@ def removable(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFram
         keep = [i for i, (f, a, b) in enumerate(zip(found, frame["least"], frame["most"])) if a < b or (f < a).any()]
         return pd.DataFrame({
             "shard_key": frame["shard_key"].iloc[keep].to_numpy(), "segment": frame["segment"].iloc[keep].to_numpy(),
-            "least_docs": [found[i] for i in keep],
+            "least_docs": pd.Series([found[i] for i in keep], dtype=object),
         })
 
     sharded = distinct.withColumn("segment", F.xxhash64("content")).withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    least = sharded.groupBy("shard").applyInPandas(indexed, "shard_key long, segment long, least_docs array<long>")
-    spots = pieces.select("doc_id", "text_key", "start", "n", "shard_key", F.xxhash64("content").alias("segment"))
+    return sharded.groupBy("shard").applyInPandas(indexed, "shard_key long, segment long, least_docs array<long>")
+
+
+def removable(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+    """A row per class of equal texts: ``k1``, ``k2``, ``head`` (its smallest document) and ``starts``.
+
+    ``starts`` are the first words of the head's windows that also start in a smaller document; null if there is
+    none. All windows of the other documents of a class start in its head. Each step is a stored table, so that its
+    shuffle files do not outlive it.
+    """
+    rows = _rows(df, text).filter("doc_id is not null")
+    heads = stored(rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("head")), "heads")
+    places = stored(_places(rows, width), "anchors")
+    shared = stored(places.groupBy("anchor").agg(
+        F.min("k1").alias("least"), F.max("k1").alias("most"), (F.count("*") > HOT).alias("hot")
+    ).filter("least < most").select("anchor", "hot"), "shared")
+    live = stored(places.join(shared, "anchor").groupBy("k1").agg(F.collect_set(F.struct("start", "hot")).alias("parts")), "live")
+    wanted = heads.join(live, "k1").withColumnRenamed("head", "doc_id")
+    pieces = stored(_pieces(rows.join(wanted, ["k1", "k2", "doc_id"]), width), "segments")
+    distinct = stored(pieces.groupBy("shard_key", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
+    least = stored(_smallest(distinct, width), "least")
+    spots = pieces.select("doc_id", "k1", "k2", "start", "n", "shard_key", F.xxhash64("content").alias("segment"))
     hit = spots.join(least, ["shard_key", "segment"])
     covered = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("least_docs", j) < F.col("doc_id"))
-    return hit.select("doc_id", "text_key", F.transform(covered, lambda j: F.col("start") + j).alias("starts")).filter(
+    starts = hit.select("k1", "k2", F.transform(covered, lambda j: F.col("start") + j).alias("starts")).filter(
         F.size("starts") > 0
-    ).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    ).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return stored(heads.join(starts, ["k1", "k2"], "left"), "removable")
 
 
 def covered_words(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -246,20 +273,24 @@ def covered_words(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 def deduplicated(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the remaining words, joined by a space) of every document."""
-    found = removable(df, text, width).withColumnRenamed("doc_id", "of_doc").withColumnRenamed("text_key", "of_key")
-    joined = _rows(df, text).join(found, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_key")), "left")
+    joined = _rows(df, text).join(removable(df, text, width), ["k1", "k2"], "left")
+    is_copy = F.coalesce(F.col("head") < F.col("doc_id"), F.lit(False))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, starts, copies in batches:
             out = []
-            for content, at in zip(texts, starts):
+            for content, at, copy in zip(texts, starts, copies):
                 words = content.encode().split()
                 n = len(words)
-                if at is not None:
+                if copy and n >= width:
+                    words = []
+                elif at is not None:
                     gone = covered_words(n, np.asarray(at, dtype=np.int64), width)
                     words = [w for w, g in zip(words, gone) if not g]
                 out.append((n, n - len(words), b" ".join(words).decode()))
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", kept("text", "starts").alias("x")).select("doc_id", "x.n_words", "x.n_removed", "x.kept")
+    # A document without an id loses nothing.
+    own = F.when(F.col("doc_id").isNotNull(), F.col("starts"))
+    return joined.select("doc_id", kept("text", own, is_copy).alias("x")).select("doc_id", "x.n_words", "x.n_removed", "x.kept")
