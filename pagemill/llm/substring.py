@@ -37,48 +37,87 @@ SHARD_WORDS = 400_000
 PLACE = "doc_id long, k1 long, k2 long, start int, n int"
 
 
-class WordHashes(dict):
-    """Signed 64-bit hash of a word, remembered."""
+#: Bytes of texts that are hashed together.
+CHUNK = 1 << 20
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word, 1)
-        value -= (value >> 63) << 64
-        self[word] = value
-        return value
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
 
-def hashes(words: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64, remembered up to a chunk's length."""
+    if not _powers or len(_powers[0]) < n:
+        bases = [_BASE, pow(_BASE, -1, 1 << 64)]
+        tables = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in bases]
+        if n > 4 * CHUNK:
+            return tables
+        _powers[:] = tables
+    return _powers
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, the text of each word, and the first word of each text.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over the joined texts, and its length.
+    """
+    raw = [x.encode() for x in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    begin, end = edges[::2], edges[1::2]
+    up, down = _power_tables(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
+    ids = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    first_byte = np.cumsum([0] + [len(x) + 1 for x in raw])
+    of = np.searchsorted(first_byte, begin, side="right") - 1
+    return ids, of, np.searchsorted(of, np.arange(len(texts)))
+
+
+def chunks(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``CHUNK`` characters; a longer text is a range of its own."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        if size and size + len(x) > CHUNK:
+            yield start, i
+            start, size = i, 0
+        size += len(x)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def _grams(ids: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words."""
-    ids = ids.view(np.uint64)
-    total = np.zeros(len(ids) - size + 1, dtype=np.uint64)
+    total = np.zeros(max(0, len(ids) - size + 1), dtype=np.uint64)
     for k in range(size):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + _mixed(ids[k: len(ids) - size + 1 + k] + np.uint64(k))
+        total = total * np.uint64(0xBF58476D1CE4E5B9) + ids[k: len(total) + k]
     return _mixed(total)
 
 
-def segments(ids: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of every segment of a text."""
-    if len(ids) < width:
+def segments(ids: np.ndarray, of: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor hash of every segment of texts; no window reaches over two texts."""
+    n_windows = len(ids) - width + 1
+    if n_windows <= 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    marks = _grams(ids, gram)
-    choice = np.lib.stride_tricks.sliding_window_view(marks, width - gram + 1).argmin(axis=1)
-    anchor = choice + np.arange(len(choice))
-    starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return starts, np.diff(np.concatenate([starts, [len(anchor)]])), marks[anchor[starts]].view(np.int64)
+    marks, reach = _grams(ids, gram), width - gram + 1
+    # The hash's upper bits with the place in the lower ones: a minimum is an anchor with its place.
+    mask = np.uint64((1 << 20) - 1)
+    least, size = (marks & ~mask) | (np.arange(len(marks), dtype=np.uint64) & mask), 1
+    while 2 * size <= reach:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    least = np.minimum(least[: len(least) - (reach - size)], least[reach - size:])
+    at = np.arange(n_windows)
+    anchor = at + (((least & mask).astype(np.int64) - at) & int(mask))
+    whole = of[:n_windows] == of[width - 1:]
+    same = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & whole[:-1] & (of[1:n_windows] == of[: n_windows - 1])])
+    begins = whole & ~same
+    starts, stops = np.flatnonzero(begins), np.append(np.flatnonzero(begins | ~whole), n_windows)
+    return starts, stops[np.searchsorted(stops, starts, side="right")] - starts, marks[anchor[starts]].view(np.int64)
 
 
 class WaveletMatrix:
@@ -181,38 +220,49 @@ def _places(rows: DataFrame, width: int) -> DataFrame:
     """Segments of every text: class ``k1``, ``start`` and ``anchor``."""
 
     def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for batch in batches:
-            found = [segments(hashes(content.encode().split(), known), width) for content in batch["text"]]
-            of = np.repeat(np.arange(len(batch)), [len(start) for start, _, _ in found])
-            if len(of):
-                start, _, anchor = (np.concatenate(x) for x in zip(*found))
-                yield pd.DataFrame({"k1": batch["k1"].to_numpy()[of], "start": start, "anchor": anchor})
+            texts, keys = batch["text"], batch["k1"].to_numpy()
+            for a, b in chunks(texts):
+                ids, of, first = hashed_words(list(texts[a:b]))
+                start, _, anchor = segments(ids, of, width)
+                own = of[start]
+                yield pd.DataFrame({"k1": keys[a:b][own], "start": start - first[own], "anchor": anchor})
 
     return rows.select("text", "k1").mapInPandas(anchored, "k1 long, start int, anchor long")
 
 
 def _pieces(chosen: DataFrame, width: int) -> DataFrame:
-    """The live segments (``parts``) of the chosen texts with their words; those of hot anchors as single windows."""
+    """The live segments (``parts``: twice the start, one more if hot) of the chosen texts with their words.
+
+    Those of hot anchors come as single windows.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for batch in batches:
-            out = []
-            for doc, k1, k2, content, parts in zip(batch["doc_id"], batch["k1"], batch["k2"], batch["text"], batch["parts"]):
-                ids = hashes(content.encode().split(), known)
-                starts, sizes, anchors = segments(ids, width)
-                own = _grams(ids, width).view(np.int64) if any(p["hot"] for p in parts) else None
-                for p in parts:
-                    start, i = p["start"], int(np.searchsorted(starts, p["start"]))
-                    if i == len(starts) or starts[i] != start:
-                        continue  # of another text with the same first hash
-                    n = int(sizes[i])
-                    if p["hot"]:
-                        out += [(doc, k1, k2, at, 1, own[at], ids[at: at + width].tobytes()) for at in range(start, start + n)]
-                    else:
-                        out.append((doc, k1, k2, start, n, anchors[i], ids[start: start + n + width - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "k1", "k2", "start", "n", "shard_key", "content"])
+            keys = {c: batch[c].to_numpy() for c in ("doc_id", "k1", "k2")}
+            for a, b in chunks(batch["text"]):
+                ids, of, first = hashed_words(list(batch["text"][a:b]))
+                starts, sizes, anchors = segments(ids, of, width)
+                if not len(starts):
+                    continue
+                parts = list(batch["parts"][a:b])
+                text = np.repeat(np.arange(b - a), [len(p) for p in parts])
+                part = np.concatenate(parts).astype(np.int64)
+                wanted = (part >> 1) + first[text]
+                place = np.minimum(np.searchsorted(starts, wanted), len(starts) - 1)
+                # A part that is no segment here is of another text with the same first hash.
+                right = (starts[place] == wanted) & (of[np.minimum(wanted, len(of) - 1)] == text)
+                wanted, place, hot = wanted[right], place[right], (part[right] & 1).astype(bool)
+                single = np.repeat(np.arange(len(wanted))[hot], sizes[place[hot]])
+                within = np.arange(len(single)) - np.repeat(np.cumsum(sizes[place[hot]]) - sizes[place[hot]], sizes[place[hot]])
+                at = np.concatenate([wanted[~hot], wanted[single] + within])
+                n = np.concatenate([sizes[place[~hot]], np.ones(len(single), dtype=np.int64)])
+                shard_key = np.concatenate([anchors[place[~hot]], _grams(ids, width).view(np.int64)[wanted[single] + within]])
+                data, row = ids.tobytes(), of[at]
+                yield pd.DataFrame({
+                    **{c: x[a:b][row] for c, x in keys.items()}, "start": at - first[row], "n": n, "shard_key": shard_key,
+                    "content": [data[8 * s: 8 * (s + k + width - 1)] for s, k in zip(at.tolist(), n.tolist())],
+                })
 
     return chosen.mapInPandas(cut, f"{PLACE}, shard_key long, content binary")
 
@@ -249,7 +299,9 @@ def removable(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFram
     shared = stored(places.groupBy("anchor").agg(
         F.min("k1").alias("least"), F.max("k1").alias("most"), (F.count("*") > HOT).alias("hot")
     ).filter("least < most").select("anchor", "hot"), "shared")
-    live = stored(places.join(shared, "anchor").groupBy("k1").agg(F.collect_set(F.struct("start", "hot")).alias("parts")), "live")
+    live = stored(places.join(shared, "anchor").groupBy("k1").agg(
+        F.collect_set(2 * F.col("start") + F.col("hot").cast("int")).alias("parts")
+    ), "live")
     wanted = heads.join(live, "k1").withColumnRenamed("head", "doc_id")
     pieces = stored(_pieces(rows.join(wanted, ["k1", "k2", "doc_id"]), width), "segments")
     distinct = stored(pieces.groupBy("shard_key", "content").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "distinct")
