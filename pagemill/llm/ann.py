@@ -143,7 +143,7 @@ def fit(vectors: DataFrame, settings: Settings) -> list[Tree]:
     share = min(1.0, settings.sample_rows / max(1, vectors.count()))
     drawn = vectors.withColumn("h", F.xxhash64("class", F.lit(settings.seed)))
     # Few more than wanted pass the filter, so what tasks hand to the limit is of its size.
-    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) <= int(1.1 * share * (1 << 20)) + 1)
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 40)) <= int(1.1 * share * (1 << 40)) + 1)
     rows = drawn.orderBy("h", "class").limit(settings.sample_rows).select("v").collect()
     if not rows:
         return []

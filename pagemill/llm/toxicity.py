@@ -250,7 +250,7 @@ def _sample(df: DataFrame, labels: DataFrame, use: Column, text: str) -> DataFra
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(use)
     n = known.count()
     share = min(1.0, SAMPLE_DOCS / max(1, n))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     # About SAMPLE_DOCS rows of two numbers, whatever the input.
     rows = df.select(F.col("doc_id"), F.col(f"`{text}`").alias("text"))
     return stored(rows.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
