@@ -1,7 +1,6 @@
 """HTML extraction as native column expressions.
 
-The patterns use only syntax that Java and RE2 read the same way, so the SQL checks can
-share them. Markup is cut out in a few linear regex passes; nothing leaves the JVM.
+Markup is cut out in a few regex passes that are linear on any page; nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -42,22 +41,26 @@ BLOCK_MARK = "\x02"
 LINK_OPEN = "\x03"
 LINK_CLOSE = "\x04"
 
-# A tag, with quoted attribute values that may hold ">"; then the same without regard to quotes.
-TAG = r"""<[/!?a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>|<[/!?a-zA-Z][^>]*>"""
-COMMENT = r"<!--.*?-->"
-TITLE = r"(?is)<title(?:[\s/][^>]*)?>(.*?)</title\s*>"
-META_TAG = r"""(?is)<meta[\s/][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
-ANCHOR_TAG = r"""(?is)<a[\s/][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
-
-
-def skip_pattern(tags: list[str]) -> str:
-    """Comments and whole elements to cut out, whichever starts first."""
-    elements = [rf"<{t}(?:[\s/][^>]*)?>.*?</{t}\s*>" for t in tags]
+# A tag, with quoted attribute values that may hold ">"; then the same without regard to quotes, which the end of the
+# page closes as well. Loops are possessive: they run without recursion and never go back, whatever a page holds.
+QUOTED = r"""(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+TAG = r"""<[/!?a-zA-Z][^<>"']*+""" + QUOTED + r"""|<[/!?a-zA-Z][^>]*+(?:>|\z)"""
+TITLE = r"(?is)<title(?:[\s/][^>]*+)?+>((?:[^<]++|<(?!/title\s*+>|title[\s/>]))*+)</title\s*+>"
+META_TAG = r"""(?is)<meta[\s/][^<>"']*+""" + QUOTED
+ANCHOR_TAG = r"""(?is)<a[\s/][^<>"']*+""" + QUOTED
+COMMENT = r"<!--.*?(?:-->|\z)"
+# Elements whose content is no markup.
+RAW_TAGS = ["script", "style"]
+
+
+def raw_pattern(tags: list[str]) -> str:
+    """Comments and raw elements to cut out, whichever starts first; one that is not closed reaches to the page's end."""
+    elements = [rf"<{t}(?:[\s/][^>]*+)?+>.*?(?:</{t}\s*+>|\z)" for t in tags if t in RAW_TAGS]
     return "(?is)" + "|".join([COMMENT, *elements])
 
 
 def block_pattern() -> str:
-    return r"(?is)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:[\s/][^>]*)?>"
+    return r"(?is)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:[\s/][^>]*+)?+(?:>|\z)"
 
 
 def strip(text: Column) -> Column:
@@ -123,8 +126,30 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
+def _cut_closed(page: Column, tag: str, mark: str) -> Column:
+    """The page without the elements of one tag; an element ends at the first closing tag after it.
+
+    Only the part up to the last closing tag is searched. Every opening tag in it is closed, so no
+    search runs to the end of the page in vain, and the cost is linear.
+    """
+    closing = rf"</{tag}\s*+>"
+    closed = F.regexp_extract(page, rf"(?is)^.*{closing}", 0)
+    return let(closed, lambda part: F.concat(
+        F.regexp_replace(part, rf"(?is)<{tag}(?:[\s/][^>]*+)?+>.*?{closing}", mark), F.substr(page, F.length(part) + 1)
+    ))
+
+
 def cut_elements(html: Column, tags: list[str], mark: str = MARK) -> Column:
-    return F.regexp_replace(html, skip_pattern(tags), mark)
+    """``html`` without comments and without the elements ``tags``, each replaced by ``mark``."""
+
+    def without(page: Column, tag: str) -> Column:
+        is_closed = rf"(?i)</{tag}\s*+>"
+        return let(page, lambda p: F.when(p.rlike(is_closed), _cut_closed(p, tag, mark)).otherwise(p))
+
+    page = F.regexp_replace(html, raw_pattern(tags), mark)
+    for tag in tags:
+        page = page if tag in RAW_TAGS else without(page, tag)
+    return page
 
 
 def visible_text(html: Column, skip: list[str] = BODY_SKIP) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pagemill.functions.binding import let
 
 WORD = r"[\p{L}\p{N}]+"
-NOT_WORD = r"[^\p{L}\p{N}]+"
 LETTERS = r"\p{L}+"
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
 
@@ -35,12 +34,17 @@ def reading_ease(text: Column) -> Column:
 
     A syllable is a run of vowels, and a word without vowels has one.
     """
-    lower = F.lower(text)
-    words = F.regexp_count(lower, F.lit(LETTERS))
+    found = F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
+    return let(found, lambda words: _ease(text, words))
+
+
+def _ease(text: Column, found: Column) -> Column:
+    words = F.size(found)
     sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    vowel_runs = F.regexp_count(lower, F.lit(f"[{VOWELS}]+"))
-    voiced_words = F.regexp_count(lower, F.lit(rf"\p{{L}}*[{VOWELS}]\p{{L}}*"))
-    syllables = vowel_runs + words - voiced_words
+    vowel_runs = F.regexp_count(F.lower(text), F.lit(f"[{VOWELS}]+"))
+    # Counted word by word: one pattern for a word with a vowel would go back over every word without one.
+    voiceless = F.size(F.filter(found, lambda w: ~w.rlike(f"[{VOWELS}]")))
+    syllables = vowel_runs + voiceless
     score = (
         F.lit(FLESCH_BASE)
         - F.lit(FLESCH_SENTENCE) * (words / sentences)

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from pyspark.sql import functions as F
@@ -91,3 +92,36 @@ def test_config(spark):
               config.setting(laid, "max_retries", "int"), F.element_at(laid, F.lit("storage")))
     assert tuple(row) == (1, 3, '{"enabled":true}')
     assert one(spark, "[]", config.setting(laid, "max_depth", "int"))[0] == 3
+
+
+def timed(spark, value, column):
+    """Result of a column on one value, and its seconds."""
+    frame = spark.createDataFrame([(value,)], "h string").select(column)
+    start = time.perf_counter()
+    return frame.first()[0], time.perf_counter() - start
+
+
+def test_hostile_pages_are_linear(spark):
+    h = F.col("h")
+    attributes = "".join(f' a{i}="x>y"' for i in range(100_000))
+    pages = {
+        "attributes": f"<p{attributes}>text</p><a href=x{attributes}>l</a>",
+        "unclosed elements": "<nav>" * 20_000 + "text",
+        "unclosed mixed": "<nav><header><footer><aside><title>" * 10_000 + "text",
+        "unclosed quotes": "<a href=\"x>'" * 20_000 + "text",
+        "open tags": "<p " * 50_000, "comments": "<!-- <script> " * 20_000, "titles": "<title>" * 20_000,
+        "closed late": "<nav>" * 20_000 + "</nav>text",
+    }
+    one(spark, PAGE, html.visible_text(h), html.main_text(h), html.hrefs(h), html.title(h), html.meta_description(h))
+    for name, page in pages.items():
+        for column in (html.visible_text(h), html.main_text(h), html.hrefs(h), html.title(h), html.meta_description(h)):
+            got, seconds = timed(spark, page, column)
+            assert seconds < 2, (name, str(column)[:60], seconds)
+    assert timed(spark, pages["attributes"], html.visible_text(h))[0] == "text l"
+    assert timed(spark, pages["closed late"], html.visible_text(h))[0] == "text"
+    assert timed(spark, pages["unclosed elements"], html.visible_text(h))[0] == "text"
+
+
+def test_reading_ease_of_consonants_is_linear(spark):
+    got, seconds = timed(spark, "b" * 100_000 + " a", text.reading_ease(F.col("h")))
+    assert seconds < 2 and abs(got - (206.835 - 1.015 * 2 - 84.6)) < 1e-9
