@@ -1,14 +1,15 @@
 """Search: a table of queries against the postings of the document index.
 
-Queries are rows ``(qid, q, domain, language)``; the last two are optional filters. A
-document matches a query if it holds at least one of its words, exactly or within the
-typing errors that a word of that length may have. Ranking compares, in this order,
-
-1. ``words``      query words found, more first
-2. ``typos``      summed edit distance, less first
-3. ``proximity``  distance between neighbouring query words, less first
+Queries are rows ``(qid, q, domain, language)``; the last two are optional filters. All words of a query are
+asked for first, exactly or within the typing errors that a word of that length may have; while fewer than
+``TOP_K`` documents have them all, the last word is dropped. A document counts with the longest run of words from
+the query's start that it holds. Ranking compares, in this order,
+
+1. ``words``      length of that run, more first
+2. ``typos``      summed edit distance of its words, less first
+3. ``proximity``  distance between neighbouring words of it, less first
 4. ``attribute``  best field with a match, title first
-5. ``exact``      query words found without an error, more first
+5. ``exact``      words of it found without an error, more first
 6. ``rank_score`` of the document, larger first, then its url
 """
 
@@ -31,6 +32,9 @@ CROP_MARK = "…"
 # Shortest words that may have one and two typing errors.
 ONE_TYPO_CHARS, TWO_TYPO_CHARS = 5, 9
 
+# Words that find the documents of a query, and the most terms that are sent to the scan of the postings.
+FIRST_WORDS, PUSHED_TERMS = 4, 2_000
+
 # Fixed value: distance that counts for neighbouring words that are far apart or not both found.
 MAX_GAP = 8
 
@@ -106,25 +110,66 @@ def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found[0].union(found[1]).union(found[2])
 
 
-def _filters(documents: DataFrame, queries: DataFrame, matches: DataFrame) -> DataFrame:
-    """Keep matches whose document passes the query's filters; adds the ranking attributes."""
+def of_terms(postings: DataFrame, terms: DataFrame, limit: int = PUSHED_TERMS) -> DataFrame:
+    """Postings of the distinct ``terms``.
+
+    A few terms go to the scan, which skips the files and row groups of a store in term order; more are joined.
+    """
+    few = terms.select("term").distinct().limit(limit + 1).collect()
+    if len(few) <= limit:
+        return postings.filter(F.col("term").isin([r["term"] for r in few]))
+    return postings.join(sized(terms.select("term").distinct()), "term", "left_semi")
+
+
+def _admitted(documents: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``(qid, id)`` whose document passes the query's filters."""
     wanted = queries.select("qid", F.col("domain").alias("want_domain"), F.col("language").alias("want_language"))
     passes = lambda want, have: F.coalesce(F.col(want), F.lit("")).isin("") | (F.col(want) == F.col(have))
     return (
-        matches.join(documents.select("id", "url", "domain", "language", "rank_score"), "id")
-        .join(sized(wanted), "qid")
+        found.join(documents.select("id", "domain", "language"), "id").join(sized(wanted), "qid")
         .filter(passes("want_domain", "domain") & passes("want_language", "language"))
-        .drop("want_domain", "want_language")
+        .drop("want_domain", "want_language", "domain", "language")
+    )
+
+
+def _runs(per_slot: DataFrame, first: int) -> DataFrame:
+    """Per query and document, the run of its slots from ``first`` on: ``words``, ``typos``, ``attribute``, ``exact``.
+
+    ``per_slot`` has at most one row per query, document and slot of a block, so a group is as short as a query's block.
+    """
+    slots = F.array_sort(F.collect_list(F.struct("slot", "typos", "field")))
+    run = F.filter("slots", lambda x, i: x["slot"] == i + first)
+    total = lambda c: F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + c(x))
+    return per_slot.groupBy("qid", "id").agg(slots.alias("slots")).withColumn("run", run).select(
+        "qid", "id", F.size("run").cast("long").alias("words"), total(lambda x: x["typos"]).alias("typos"),
+        F.array_min(F.transform("run", lambda x: x["field"])).alias("attribute"),
+        total(lambda x: F.when(x["typos"] == 0, 1).otherwise(0)).alias("exact"),
     )
 
 
+def _levels(found: DataFrame, top_k: int) -> DataFrame:
+    """``(qid, level)``: the largest number of words that at least ``top_k`` documents have, or 1."""
+    counted = found.groupBy("qid", "words").agg(F.count("*").alias("n"))
+    longer = Window.partitionBy("qid").orderBy(F.desc("words"))
+    reached = counted.withColumn("reached", F.sum("n").over(longer))
+    return reached.groupBy("qid").agg(F.coalesce(F.max(F.when(F.col("reached") >= top_k, F.col("words"))), F.lit(1)).alias("level"))
+
+
+def _kept(found: DataFrame, top_k: int) -> DataFrame:
+    """The documents of each query's level."""
+    return found.join(sized(cut_lineage(_levels(found, top_k))), "qid").filter("words >= level").drop("level")
+
+
 def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFrame,
-                    typos: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(answers, matches)``: index terms per query word, and all matching documents per query.
+                    typos: bool = True, top_k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+    """``(answers, matches)``: index terms per query word, and the matching documents per query.
 
     ``answers`` is ``(qid, slot, term, typos)``. ``matches`` has one row per query and
-    document with every rule but proximity, which needs positions. Both are written to the
-    shared folder, since ranking, facets and snippets read them again.
+    document with every rule but proximity, which needs positions. Both are stored, since ranking, facets and
+    snippets read them again.
+
+    The first words of a query find its documents in the postings. Words come in blocks of growing size, and later
+    blocks are looked up only for documents that have all earlier words; what cannot reach the answer is never stored.
     """
     slots = query_terms(queries)
     words = slots.select("word").distinct()
@@ -133,27 +178,46 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
     else:
         terms = words.select("word", F.col("word").alias("term"), F.lit(0).alias("typos"))
     answers = cut_lineage(slots.join(terms, "word").select("qid", "slot", "term", "typos"))
+    lengths = cut_lineage(slots.groupBy("qid").agg(F.count("*").alias("asked")))
+    longest = lengths.agg(F.max("asked")).first()[0] or 0
+
+    def per_slot(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("qid", "id", "slot").agg(F.min("typos").alias("typos"), F.min("field").alias("field"))
+
     # The postings stay where they are: a checked number of answers is sent to them.
-    hits = postings.select("term", "id", "field").join(sized(answers), "term")
-    per_word = hits.groupBy("qid", "id", "slot").agg(F.min("typos").alias("typos"), F.min("field").alias("field"))
-    per_document = per_word.groupBy("qid", "id").agg(
-        F.count("*").alias("words"), F.sum("typos").alias("typos"), F.min("field").alias("attribute"),
-        F.count_if(F.col("typos") == 0).alias("exact"),
-    )
-    return answers, cut_lineage(_filters(documents, queries, per_document))
+    opening = answers.filter(F.col("slot") < FIRST_WORDS)
+    hits = of_terms(postings, opening).select("term", "id", "field").join(sized(opening), "term")
+    found = _runs(_admitted(documents, queries, per_slot(hits)), 0).filter("words > 0")
+    found = cut_lineage(_kept(found, top_k))
+    first, last = FIRST_WORDS, 2 * FIRST_WORDS
+    while first < longest:
+        going = found.filter(F.col("words") == first).join(sized(lengths.filter(F.col("asked") > first)), "qid").drop("asked")
+        block = answers.filter((F.col("slot") >= first) & (F.col("slot") < last))
+        asked = going.select("qid", "id").join(sized(block), "qid")
+        more = per_slot(of_terms(postings, block).select("term", "id", "field").join(asked, ["term", "id"]))
+        more = _runs(more, first).toDF("qid", "id", "more_words", "more_typos", "more_attribute", "more_exact")
+        plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
+        found = cut_lineage(_kept(found.join(more, ["qid", "id"], "left").select(
+            "qid", "id", plus("words"), plus("typos"), F.least("attribute", "more_attribute").alias("attribute"), plus("exact")
+        ), top_k))
+        if found.filter(F.col("words") >= last).isEmpty():
+            break
+        first, last = last, 2 * last
+    shown = documents.select("id", "url", "domain", "language", "rank_score")
+    return answers, cut_lineage(shown.join(sized(found), "id").select(
+        "qid", "id", "words", "typos", "attribute", "exact", "url", "domain", "language", "rank_score"
+    ))
 
 
 def _proximity(candidates: DataFrame, answers: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(qid, id, proximity)``: summed smallest distance of neighbouring query words.
+    """``(qid, id, saved)``: what the smallest distances of neighbouring words save against the full distance.
 
     The nearest occurrences of two words are next to each other when the occurrences of
     both are put in order, so one sort per document finds them and no pairs are formed.
     """
-    places = (
-        postings.join(sized(answers), "term")
-        .join(candidates.select("qid", "id"), ["qid", "id"], "left_semi")
-        .select("qid", "id", "field", "slot", "pos")
-    )
+    asked = candidates.select("qid", "id", "words").join(sized(answers), "qid").filter("slot < words").drop("words", "typos")
+    asked = cut_lineage(asked)
+    places = of_terms(postings, asked).join(asked, ["term", "id"]).select("qid", "id", "field", "slot", "pos")
     # Word number s takes part in the pair (s - 1, s) and in the pair (s, s + 1).
     sides = places.select(
         "qid", "id", "field", "pos", "slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"))).alias("pair")
@@ -210,18 +274,21 @@ def facets(matches: DataFrame) -> DataFrame:
     )
 
 
-def facet_maps(counts: DataFrame, top_values: int = 100) -> DataFrame:
-    """One row per query with a map per facet, for display: the ``top_values`` largest of each.
+def facet_maps(counts: DataFrame, max_values: int = 100_000) -> DataFrame:
+    """One row per query with a map per facet, for display: of all values, or null.
 
-    ``facets`` has the complete counts; a map in one row has to be of a bounded size.
+    ``facets`` has the complete counts as rows. A map is in one row, so a facet of more than ``max_values``
+    values has none; no value is ever left out of a map.
     """
-    largest = Window.partitionBy("qid", "facet").orderBy(F.desc("n"), "value")
-    kept = counts.withColumn("place", F.row_number().over(largest)).filter(F.col("place") <= top_values)
+    n_values = counts.groupBy("qid", "facet").agg(F.count("*").alias("n_values"))
+    whole = n_values.filter(F.col("n_values") <= max_values).drop("n_values")
+    kept = counts.join(whole, ["qid", "facet"])
     entry = F.struct("value", "n")
-    one = lambda facet: F.map_from_entries(
-        F.array_sort(F.collect_list(F.when(F.col("facet") == facet, entry)))
+    one = lambda facet: let(
+        F.array_sort(F.collect_list(F.when(F.col("facet") == facet, entry))),
+        lambda entries: F.when(F.size(entries) > 0, F.map_from_entries(entries)),
     ).alias(facet)
-    return kept.groupBy("qid").agg(one("domain"), one("language"))
+    return counts.select("qid").distinct().join(kept.groupBy("qid").agg(one("domain"), one("language")), "qid", "left")
 
 
 def escape_html(content: Column) -> Column:
@@ -233,7 +300,8 @@ def escape_html(content: Column) -> Column:
 def snippet(body: Column, terms: Column, crop_words: int = CROP_WORDS) -> Column:
     """Crop of ``body`` around its first found word, found words marked, the rest escaped.
 
-    ``terms`` are the folded index terms to mark. A body without one is cropped from its start.
+    ``terms`` are the folded index terms to mark. A body without one is cropped from its start. What stands
+    before the first word is a piece of its own.
     """
 
     def piece(raw: Column) -> Column:
@@ -257,7 +325,7 @@ def snippet(body: Column, terms: Column, crop_words: int = CROP_WORDS) -> Column
             F.when(F.size(pieces) > start + crop_words - 1, F.lit(CROP_MARK)).otherwise(F.lit("")),
         ))
 
-    raw = F.regexp_extract_all(body, F.lit(rf"{text.WORD}[^\p{{L}}\p{{N}}]*"), F.lit(0))
+    raw = F.regexp_extract_all(body, F.lit(rf"^[^\p{{L}}\p{{N}}]+|{text.WORD}[^\p{{L}}\p{{N}}]*"), F.lit(0))
     return let(F.transform(raw, piece), lambda pieces: F.when(F.size(pieces) == 0, F.lit("")).otherwise(cropped(pieces)))
 
 
