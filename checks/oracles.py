@@ -125,7 +125,7 @@ PARTS = """nodes as (select p_partkey as id from part),
 
 COMPOSITE = f"""{GRAPH}, nodes as (select id from everyone), {pagerank('nodes', 'ed')},
   facts as (select url, case when page_id % 7 <> 0 then {TS} - to_days((page_id % 500)::int) end as crawled_at,
-      length(substr({visible('html', BODY)}, 1, 5000)) as n, {main_text('html')} as body, 0 as depth from dp),
+      length({visible('html', BODY)}) as n, {main_text('html')} as body, 0 as depth from dp),
   allp as (select url, crawled_at, n, {ease('body')} as ease, depth from facts
     union all select url, (select max(crawled_at) from facts), null, 0.0, -1 from st),
   m as (select a.url, a.depth, r.score,
@@ -176,7 +176,7 @@ POSTINGS = f"""tok as (
 
 QUERY = f"""bw as (select item_id, regexp_extract_all(text, {WORDS}) as w from benchmark),
   qu as (select item_id as qid,
-      w[2] || ' ' || w[3] || ' ' || substr(w[4], 1, 2) || 'x' || substr(w[4], 3) as q,
+      array_to_string(list_transform(w, lambda x, i: case when i = 4 then substr(x, 1, 2) || 'x' || substr(x, 3) else x end), ' ') as q,
       case when item_id % 4 = 1 then 'src' || (item_id % 20) end as want_domain,
       case when item_id % 4 = 2 then 'en' end as want_language from bw),
   qw as (select qid, strip_accents(lower(word)) as word, min(pos) as p from (select qid, {tokens('q')} from qu) group by 1, 2),
@@ -190,14 +190,18 @@ QUERY = f"""bw as (select item_id, regexp_extract_all(text, {WORDS}) as w from b
 MATCHES = f"""{DOCS}, {POSTINGS}, {QUERY},
   ans as materialized (select qid, slot, term, typos from slots join near using (word)),
   perword as (select qid, id, slot, min(typos) as typos, min(field) as field from post join ans using (term) group by 1, 2, 3),
+  admitted as (select p.*, row_number() over (partition by qid, id order by slot) - 1 as turn from perword p
+      join doc d using (id) join qu using (qid) where (want_domain is null or want_domain = d.domain)
+      and (want_language is null or want_language = d.language)),
   perdoc as (select qid, id, count(*) as words, sum(typos) as typos, min(field) as attribute,
-      count(*) filter (typos = 0) as exact from perword group by 1, 2),
+      count(*) filter (typos = 0) as exact from admitted where slot = turn group by 1, 2),
+  lv as (select qid, coalesce(max(words) filter (reached >= 20), 1) as level from (
+      select qid, words, sum(count(*)) over (partition by qid order by words desc) as reached from perdoc group by 1, 2) group by 1),
   mt as materialized (select p.*, d.url, d.domain, d.language, d.rank_score from perdoc p join doc d using (id)
-      join qu using (qid) where (want_domain is null or want_domain = d.domain)
-      and (want_language is null or want_language = d.language))"""
+      join lv using (qid) where words >= level)"""
 RANKED = f"""{MATCHES},
   places as materialized (select distinct qid, id, field, slot, pos from post join ans using (term)
-      semi join mt using (qid, id)),
+      join (select qid, id, words from mt) using (qid, id) where slot < words),
   gaps as (select qid, id, slot, least(min(gap), 8) as gap from (
       select a.qid, a.id, a.slot, abs(a.pos - b.pos) as gap from places a join places b
         on a.qid = b.qid and a.id = b.id and a.field = b.field and b.slot = a.slot + 1) group by 1, 2, 3),
@@ -212,7 +216,7 @@ ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;
 SNIPPETS = rf"""{RANKED},
   qt as (select qid, list(distinct term) as terms from ans group by 1),
   cr as (select rk.qid, rk.place, doc.url, doc.title, doc.meta_description, rk.rank_score, terms,
-      list_transform(regexp_extract_all(body_text, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*'),
+      list_transform(regexp_extract_all(body_text, '^[^\p{{L}}\p{{N}}]+|[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*'),
         lambda r: struct_pack(w := regexp_extract(r, '[\p{{L}}\p{{N}}]+'),
           e := substr(r, length(regexp_extract(r, '[\p{{L}}\p{{N}}]+')) + 1))) as ps
     from rk join doc using (id) join qt using (qid)),
@@ -239,11 +243,10 @@ GRAMS = """lw as (select lang, word, count(*) as n from (
       select lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as word from documents) group by 1, 2),
   lg as (select lang, substr(' ' || word || ' ', i, 3) as gram, sum(n) as n from (
       select lang, word, n, unnest(range(1, length(word) + 1)) as i from lw) group by 1, 2),
-  tot as (select lang, sum(n) + 400 as total from lg group by 1),
+  tot as (select lang, sum(n) + count(*) as total from lg group by 1),
   fl as (select lang, round(ln(1.0 / total) * 1000000)::bigint as floor from tot),
   wt as materialized (select lang, gram, round(ln((n + 1) / total) * 1000000)::bigint - floor as weight
-    from (select * from lg qualify row_number() over (partition by lang order by n desc, gram) <= 400)
-    join tot using (lang) join fl using (lang))"""
+    from lg join tot using (lang) join fl using (lang))"""
 
 
 def identify(source: str, key: str) -> str:
@@ -278,7 +281,9 @@ ORACLES = {
         url]) as resolved from f""",
     "page_title": f"select page_id, {title('html')} as title from pages",
     "page_meta": """select page_id, coalesce(trim(regexp_extract(regexp_extract(html,
-        '(?is)<meta[^>]*name="description"[^>]*>'), 'content="([^"]*)"', 1)), '') as meta_description from pages""",
+        '(?is)<meta[^>]*name=.description.[^>]*>'), 'content="([^"]*)"', 1)), '') as meta_description from (select page_id,
+        case when page_id % 3 = 0 then replace(html, '<head>', '<head><META name=''description'' content="Page & no. ' || page_id || ' ">')
+        else html end as html from pages)""",
     "page_text": f"""select page_id, t as whole_text, substr(t, 1, 5000) as body_text
       from (select page_id, {visible('html', BODY)} as t from pages)""",
     "page_insufficient": f"""select page_id, length({visible('html', ['script', 'style', 'noscript'])}) < 100 as page_needs_render,
@@ -342,8 +347,7 @@ ORACLES = {
       from cp where (indexed_at is null or crawled_at > indexed_at) and deleted_at is null""",
     "index_queue_depth": f"""with {CUSTOMERS} select count(*) as queue_depth from cp
       where indexed_at is null or crawled_at > indexed_at""",
-    "index_cleanup": f"""with {CUSTOMERS}, gone as (select id from cp where deleted_at is not null and indexed_at is not null
-        order by id limit 1000)
+    "index_cleanup": f"""with {CUSTOMERS}, gone as (select id from cp where deleted_at is not null and indexed_at is not null)
       select id, case when id in (select id from gone) then '-' else {us('indexed_at')} end as indexed_at,
         indexed_at is not null and id not in (select id from gone) as in_index from cp""",
     "index_documents": f"""with {CUSTOMERS},
@@ -352,11 +356,9 @@ ORACLES = {
         round(epoch_us(crawled_at) / 1e6, 3) as crawled_at, coalesce(rank_score, 1.0) as rank_score,
         case when id in (select id from feed) then {us(TS)} else {us('indexed_at')} end as indexed_at
       from cp where indexed_at is not null or id in (select id from feed)""",
-    "index_cycle": f"""with {DP}, n as (select url, page_id, {main_text('html')} as body,
-          row_number() over (order by page_id desc) <= 1000 as taken from dp)
-      select url, case when taken then round({ease('body')}, 6) else 0.0 end as reading_ease, taken as indexed,
-        case when taken then length(substr(body, 1, 100000)) else 0 end as body_chars,
-        case when taken then sha256(substr(body, 1, 100000)) else '-' end as body_hash from n""",
+    "index_cycle": f"""with {DP}, n as (select url, {main_text('html')} as body from dp)
+      select url, round({ease('body')}, 6) as reading_ease, true as indexed, length(body) as body_chars,
+        sha256(body) as body_hash from n""",
     "term_postings": f"""with {DOCS}, t as (select id, {tokens("lower(title || ' ' || body_text)")} from doc),
         s as (select id, pos, {STEM_1A} as a from t where word not in ({', '.join(f"'{w}'" for w in STOP_WORDS)})),
         c as (select id, pos, a, regexp_matches(a, '^(.*[aeiouy].*)(ed|ing)$') and a not like '%eed' as past,
@@ -416,7 +418,13 @@ ORACLES = {
         (select count(*) from fl where outcome = 'error') as total_errors,
         (select count(*) from lk) as links_recorded,
         (select count(*) from (select distinct source_url, target_url from lk)) as links_distinct,
-        (select count(*) from cp where indexed_at is null or crawled_at > indexed_at) as queue_depth""",
+        (select count(*) from cp where indexed_at is null or crawled_at > indexed_at) as queue_depth,
+        (select count(*) from cp where indexed_at is not null and deleted_at is null) as indexed_total""",
+    "retry_effects": f"""with {LOG}, f as (select url, count(*) filter (outcome = 'error') as n from fl group by 1)
+      select url, case when n between 1 and 3 then length(url) % 3 else -1 end::int as queued_at, n not between 1 and 3 as is_visited,
+        n > 3 as is_deleted from f""",
+    "corpus_language": f"""with {GRAPH}, lang_of as (with {identify(f"(select url, {visible('html', BODY)} as text from dp)", "url")})
+      select url, language from lang_of union all select url, '-' from st""",
     "retry_state": f"""with {LOG} select url, f as failures,
         case when f = 0 then 'none' when f <= 3 then 'requeue' else 'failed' end as decision
       from (select url, count(*) filter (outcome = 'error') as f from fl group by 1)""",
@@ -431,14 +439,16 @@ ORACLES = {
     "stream_window_counts": """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events
       where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from events) group by 1, 2""",
     "stream_ingest": f"""with {LINKS}, n as (select source_url as url, count(distinct target_url) as links from lk group by 1)
-      select url, {host('url')} as domain, 0 as depth, false as is_stub, coalesce(links, 0) as links from dp left join n using (url)
-      union all select url, {STUB_DOMAIN}, -1, true, 0 from
+      select url, {host('url')} as domain, 0 as depth, false as is_stub, coalesce(links, 0) as links,
+        sha256({title('html')} || {visible('html', BODY)}) as content_hash from dp left join n using (url)
+      union all select url, {STUB_DOMAIN}, -1, true, 0, '-' from
         (select distinct target_url as url from lk where target_url not in (select url from dp))""",
     "stream_retry": """select 'u' || user_id as url, count(*) as failures,
         case when count(*) <= 3 then 'requeue' else 'failed' end as decision
       from events where event_type = 'error' group by 1""",
     "stream_index_sync": f"""with {PG}, l as (select * from pg qualify row_number() over (partition by url order by page_id desc) = 1),
-        b as (select page_id as id, url, {title('html')} as title, {main_text('html')} as body from l)
+        b as (select page_id as id, url, {title('html')} as title, {main_text('html')} as body from l
+          where url not in (select url from pg where page_id % 11 = 0))
       select id, url, title, epoch({TS})::double as crawled_at, 1.0::double as rank_score,
-        sha256(substr(body, 1, 100000)) as body_hash, round({ease('body')}, 6) as reading_ease from b""",
+        sha256(body) as body_hash, round({ease('body')}, 6) as reading_ease, {us(TS)} as indexed_at from b""",
 }

@@ -112,9 +112,10 @@ def page_title(spark, folder):
 
 
 def page_meta(spark, folder):
-    return load(spark, folder, "pages").select(
-        "page_id", html.meta_description(F.col("html")).alias("meta_description")
-    )
+    """Descriptions of the pages, of which every third gets a tag for it."""
+    tag = F.concat(F.lit("<head><META name='description' content=\"Page &amp; no. "), F.col("page_id").cast("string"), F.lit(' ">'))
+    tagged = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("<head>"), tag)).otherwise(F.col("html"))
+    return load(spark, folder, "pages").select("page_id", html.meta_description(tagged).alias("meta_description"))
 
 
 def page_text(spark, folder):
@@ -184,7 +185,14 @@ def link_edges(spark, folder):
     stubs, edges = links.load_links(known, outlinks)
     everyone = known.select("id", "url").unionByName(stubs.select("id", "url"))
     again = links.resolve_edges(links.link_pairs(outlinks), everyone)
-    return links.add_edges(edges, again)
+    return _stored(spark, links.add_edges(edges, again), "edges", schemas.LINKS)
+
+
+def _stored(spark, rows, name, schema) -> DataFrame:
+    """A table written as a snapshot and read with the data model's schema."""
+    path = work_path(spark, name)
+    tables.write_snapshot(rows, path)
+    return tables.read_table(spark, path, schema)
 
 
 def edge_cascade(spark, folder):
@@ -275,7 +283,8 @@ def _flagship(spark, folder) -> DataFrame:
     fetched = corpus.distinct_pages(raw, "page_id")
     ease = fetched.select("url", text.reading_ease(html.main_text(F.col("html"))).alias("readability_score"))
     by_id = pages.select("id", "url").join(ease, "url").drop("url")
-    return ranking.rank_cycle(page_table.set_column_by_id(pages, by_id, "readability_score"), edges, as_of())
+    ranked = ranking.rank_cycle(page_table.set_columns_by_id(pages, by_id, ["readability_score"]), edges, as_of())
+    return _stored(spark, ranked, "page-table", schemas.PAGES)
 
 
 def composite_score(spark, folder):
@@ -303,6 +312,14 @@ def language_id(spark, folder):
     return found.select("doc_id", "language")
 
 
+def corpus_language(spark, folder):
+    """The language column of a loaded page table, link stubs included."""
+    empty = spark.createDataFrame([], schemas.PAGES)
+    raw = load(spark, folder, "pages")
+    pages, _ = corpus.load_corpus(empty, raw, as_of(), model=_language_model(spark, folder), skip=WHOLE_PAGE)
+    return pages.select("url", F.coalesce("language", F.lit("-")).alias("language"))
+
+
 def page_language(spark, folder):
     bodies = load(spark, folder, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
     return language.identify(bodies, "page_id", _language_model(spark, folder)).select("page_id", "language")
@@ -365,9 +382,9 @@ def soft_delete(spark, folder):
 
 
 def index_pending(spark, folder):
-    """The whole change feed and, marked in it, the first index batch."""
+    """The whole change feed and, marked in it, the first 1,000 pages to index."""
     pages = _customer_pages(spark, folder)
-    batch = indexing.index_batch(pages).select("id", F.lit(True).alias("first_batch"))
+    batch = indexing.index_batch(pages, 1000).select("id", F.lit(True).alias("first_batch"))
     return indexing.pending(pages).select("id").join(batch, "id", "left").select(
         "id", F.coalesce("first_batch", F.lit(False)).alias("first_batch")
     )
@@ -400,7 +417,7 @@ def index_documents(spark, folder):
 
 
 def index_cycle(spark, folder):
-    """One index batch of real pages: stored HTML to main text, reading ease and documents."""
+    """All pending pages indexed: stored HTML to main text, reading ease and documents."""
     raw = corpus.distinct_pages(load(spark, folder, "pages"), "page_id")
     empty = spark.createDataFrame([], schemas.PAGES)
     record = page_table.page_record(raw, F.lit(0), days_before(F.col("seq")))
@@ -431,17 +448,19 @@ def _search_documents(spark, folder) -> DataFrame:
 
 
 def _queries(spark, folder) -> DataFrame:
-    """One query per benchmark item: its second to fourth words, one of them misspelt.
+    """One query per benchmark item, its whole text with the fourth word misspelt; and an empty one.
 
     Some items ask for a language, some for a domain, as their key says.
     """
     b = load(spark, folder, "benchmark")
     words = text.words(F.col("text"))
-    at = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    misspelt = F.concat(F.substr(at(3), F.lit(1), F.lit(2)), F.lit("x"), F.substr(at(3), F.lit(3)))
+    misspelt = F.transform(words, lambda w, i: F.when(
+        i == 3, F.concat(F.substr(w, F.lit(1), F.lit(2)), F.lit("x"), F.substr(w, F.lit(3)))
+    ).otherwise(w))
     kind = F.col("item_id") % 4
-    return b.select(
-        F.col("item_id").alias("qid"), F.concat_ws(" ", at(1), at(2), misspelt).alias("q"),
+    empty = spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit("").alias("text"))
+    return b.select("item_id", "text").unionByName(empty).select(
+        F.col("item_id").alias("qid"), F.array_join(misspelt, " ").alias("q"),
         F.when(kind == 1, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("domain"),
         F.when(kind == 2, F.lit("en")).alias("language"),
     )
@@ -455,9 +474,12 @@ def term_postings(spark, folder):
 
 
 def _search(spark, folder):
+    """Queries against a store of postings in term order."""
     documents = _search_documents(spark, folder)
     queries = cut_lineage(_queries(spark, folder))
-    postings = cut_lineage(indexing.postings(documents))
+    path = work_path(spark, "postings")
+    indexing.write_postings(indexing.postings(documents), path)
+    postings = tables.read_table(spark, path)
     answers, matches = search.match_documents(queries, postings, documents)
     return documents, queries, postings, answers, matches
 
@@ -581,13 +603,11 @@ def domain_stats(spark, folder):
 
 
 def crawl_counters(spark, folder):
-    """All totals in one row: the fetch log, the recorded links and the index queue."""
-    parts = [
-        outcomes.crawl_counters(_fetch_log(spark, folder)), outcomes.link_counters(outlinks_of(spark, folder)),
-        indexing.queue_depth(_customer_pages(spark, folder)),
-    ]
-    keyed = [p.withColumn("one", F.lit(1)) for p in parts]
-    return keyed[0].join(keyed[1], "one").join(keyed[2], "one").drop("one")
+    """All totals in one row: the fetch log, the recorded links, the index and its queue."""
+    pages = _customer_pages(spark, folder)
+    others = [outcomes.link_counters(outlinks_of(spark, folder)), indexing.queue_depth(pages), indexing.indexed_total(pages)]
+    totals = outcomes.crawl_counters(_fetch_log(spark, folder))
+    return totals.select("*", *[p.select(c).scalar().alias(c) for p in others for c in p.columns])
 
 
 def retry_state(spark, folder):
@@ -631,7 +651,7 @@ def _ingested(spark, folder) -> DataFrame:
     source = read_files(spark, folder, load(spark, folder, "pages").schema, "pages.parquet")
     path = work_path(spark, "pages")
     ingest.ingest(
-        source, path, work_path(spark, "pages-state"), as_of(), skip=WHOLE_PAGE
+        source, path, work_path(spark, "pages-state"), as_of(), skip=WHOLE_PAGE, order="page_id"
     ).awaitTermination()
     return tables.read_log(spark, path, ingest.LOG)
 
@@ -641,7 +661,8 @@ def stream_ingest(spark, folder):
     pages = ingest.current_pages(log)
     sent = ingest.current_links(log).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("links"))
     return pages.join(sent, "url", "left").select(
-        "url", "domain", "depth", "is_stub", F.coalesce("links", F.lit(0)).alias("links")
+        "url", "domain", "depth", "is_stub", F.coalesce("links", F.lit(0)).alias("links"),
+        F.when(F.col("is_stub"), F.lit("-")).otherwise(F.sha2(F.concat("title", "body_text"), 256)).alias("content_hash"),
     )
 
 
@@ -661,21 +682,40 @@ def stream_retry(spark, folder):
     return changes.groupBy("url").agg(latest).select("url", "state.failures", "state.decision")
 
 
+def retry_effects(spark, folder):
+    """What failed fetches leave in the queue, the visited set and the page table."""
+    state = outcomes.retry_state(_fetch_log(spark, folder))
+    known = state.select("url", F.pmod(F.length("url"), F.lit(3)).alias("depth"))
+    empty = spark.createDataFrame([], schemas.FRONTIER)
+    pages = known.select("url", F.lit(None).cast("timestamp").alias("deleted_at"))
+    queue, visited, table = corpus.apply_retries(empty, known.select("url"), pages, state.join(known, "url"), as_of())
+    return (
+        table.join(queue, "url", "left").join(visited.select("url", F.lit(True).alias("is_visited")), "url", "left")
+        .select("url", F.coalesce("depth", F.lit(-1)).alias("queued_at"), F.coalesce("is_visited", F.lit(False)).alias("is_visited"),
+                F.col("deleted_at").isNotNull().alias("is_deleted"))
+    )
+
+
 def stream_index_sync(spark, folder):
+    """The index after two streams: all pages, then every eleventh one deleted; and the marks for the page table."""
     source = read_files(spark, folder, load(spark, folder, "pages").schema, "pages.parquet")
     u = urls.normalize_url(F.col("url"))
     changed = source.select(
         F.col("page_id").alias("id"), u.alias("url"), html.title(F.col("html")).alias("title"),
         html.meta_description(F.col("html")).alias("meta_description"), urls.netloc(u).alias("domain"),
         F.lit("unknown").alias("language"), as_of().alias("crawled_at"), F.lit(None).cast("double").alias("rank_score"),
-        F.lit(None).cast("timestamp").alias("deleted_at"), "html",
+        F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("timestamp").alias("deleted_at"), "html",
     )
     path = work_path(spark, "index")
-    index_sync.sync_index(changed, path, work_path(spark, "index-state")).awaitTermination()
-    index = index_sync.current_index(tables.read_log(spark, path, index_sync.LOG))
-    return index.select(
+    index_sync.sync_index(changed, path, work_path(spark, "index-state"), as_of()).awaitTermination()
+    gone = changed.filter("id % 11 = 0").withColumn("deleted_at", as_of()).withColumn("indexed_at", as_of())
+    index_sync.sync_index(gone, path, work_path(spark, "index-state"), as_of(), first_batch=1_000_000).awaitTermination()
+    log = tables.read_log(spark, path, index_sync.LOG)
+    marks = index_sync.index_marks(log).withColumnRenamed("id", "marked_id")
+    index = index_sync.current_index(log)
+    return index.join(marks, F.col("id") == F.col("marked_id")).select(
         "id", "url", "title", "crawled_at", "rank_score", F.sha2("body_text", 256).alias("body_hash"),
-        F.round("readability_score", 6).alias("reading_ease"),
+        F.round("readability_score", 6).alias("reading_ease"), stamp(F.col("indexed_at")).alias("indexed_at"),
     )
 
 
@@ -684,11 +724,11 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     page_title, page_meta, page_text, page_insufficient, page_main_text, raw_html_join,
     page_links_raw, page_links_valid, page_links_content, link_stubs, link_edges, edge_cascade,
     out_degree, pagerank_pages, pagerank_parts, bfs_frontier, frontier_pop, frontier_merge, visited_update,
-    composite_score, top_pages, readability, language_id, page_language,
+    composite_score, top_pages, readability, language_id, page_language, corpus_language,
     page_upsert, soft_delete, index_pending, index_queue_depth, index_cleanup, index_documents, index_cycle,
     term_postings, search_postings, search_typo, search_ranked, search_facets, search_facet_maps,
     search_snippets, search_display,
-    robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state,
+    robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state, retry_effects,
     score_histogram, config_overlay,
     stream_window_counts, stream_ingest, stream_retry, stream_index_sync,
 ]

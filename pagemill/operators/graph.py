@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.sizing import sized
 from pagemill.session import cut_lineage
 from pagemill.sources.buckets import bucketed
 
@@ -12,9 +13,10 @@ from pagemill.sources.buckets import bucketed
 DAMPING = 0.85
 ITERATIONS = 20
 
-# Nodes with more links than this are kept apart, at most as many as the second number.
+# Nodes with more links than this are kept apart.
 HOT_DEGREE = 1_000_000
-MAX_HOT_NODES = 1_000
+# Edges of a bucket, about; the side that is hashed is the sources of one bucket.
+BUCKET_EDGES = 2_000_000
 
 
 def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,23 +46,34 @@ def pagerank(
     round alone. Edges and nodes are stored in buckets by source, so a round shuffles
     only the partial sums per target.
 
-    A source with very many links would fill one partition. The few sources above
-    ``hot_degree`` are split off: their edges stay spread out and meet their scores, at
-    most ``MAX_HOT_NODES`` rows, by broadcast.
+    A source with very many links would fill one partition. All sources above
+    ``hot_degree`` are split off: their edges stay spread out and meet their scores, which are at most one in
+    ``hot_degree`` as many as edges, by broadcast if their size was checked. Tables made on the way are dropped at the end.
     """
+    made: list[str] = []
+    try:
+        return cut_lineage(_pagerank(nodes, edges, damping, iterations, checkpoint_every, hot_degree, made))
+    finally:
+        for name in made:
+            nodes.sparkSession.sql(f"drop table if exists {name}")
+
+
+def _pagerank(
+    nodes: DataFrame, edges: DataFrame, damping: float, iterations: int, checkpoint_every: int, hot_degree: int, made: list[str],
+) -> DataFrame:
     spark = nodes.sparkSession
     count = nodes.count()
     if count == 0:
         return nodes.select("id", F.lit(None).cast("double").alias("score"))
     base = (1.0 - damping) / count
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     degrees = cut_lineage(edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")))
-    sources = bucketed(degrees, "id", parts)
-    hot = degrees.filter(F.col("links_out") > hot_degree).orderBy(F.desc("links_out"), "id").limit(MAX_HOT_NODES)
+    n_edges = degrees.agg(F.coalesce(F.sum("links_out"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_edges // BUCKET_EDGES)
+    sources = bucketed(degrees, "id", parts, made)
+    hot = degrees.filter(F.col("links_out") > hot_degree)
     hot_ids = None
     if not hot.isEmpty():
-        hot_ids = F.broadcast(cut_lineage(hot).select(F.col("id").alias("source_id")))
+        hot_ids = sized(cut_lineage(hot).select(F.col("id").alias("source_id")))
 
     def split(some_edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if hot_ids is None:
@@ -72,7 +85,7 @@ def pagerank(
         # Hashing the shares of a partition leaves its edges as they are stored, unsorted.
         sent = cold.join(shares.hint("shuffle_hash"), "source_id").select("target_id", "share")
         if spread is not None:
-            hot_shares = F.broadcast(shares.join(hot_ids, "source_id", "left_semi"))
+            hot_shares = sized(shares.join(hot_ids, "source_id", "left_semi"))
             sent = sent.union(spread.join(hot_shares, "source_id").select("target_id", "share"))
         return sent.groupBy(F.col("target_id").alias("id")).agg(F.sum("share").alias("received"))
 
@@ -84,7 +97,7 @@ def pagerank(
         # Both sides of this join are shuffled, so that a target of very many links is split.
         inner = edges.join(degrees.select(F.col("id").alias("target_id")), "target_id", "left_semi")
         cold, spread = split(inner.select("source_id", "target_id"))
-        cold = bucketed(cold, "source_id", parts)
+        cold = bucketed(cold, "source_id", parts, made)
         spread = None if spread is None else cut_lineage(spread)
         rounds = iterations
         if spread is None and cold.isEmpty():
@@ -94,13 +107,17 @@ def pagerank(
             inbound = received(cold, spread, state)
             state = sources.join(inbound.hint("shuffle_hash"), "id", "left").select("id", "links_out", score)
             if done % checkpoint_every == 0 and done < rounds - 1:
-                state = bucketed(state, "id", parts)
+                state = bucketed(state, "id", parts, made)
     last = received(*split(edges.select("source_id", "target_id")), state)
     return nodes.select("id").join(last, "id", "left").select("id", score)
 
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """``(id, depth)`` of every node within ``max_depth`` links of the seeds, smallest depth."""
+    """``(id, depth)`` of every node within ``max_depth`` links of the seeds, smallest depth.
+
+    The edges are stored once; each level reads them from there.
+    """
+    edges = cut_lineage(edges.select("source_id", "target_id"))
     frontier = cut_lineage(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for depth in range(1, max_depth + 1):

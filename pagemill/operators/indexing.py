@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import schemas
 from pagemill.functions import html, scores, text
-
-# Fixed value: pages taken per index or cleanup batch.
-BATCH_SIZE = 1000
+from pagemill.operators.sizing import sized
 
 # Searchable fields, most important first.
 FIELDS = ["title", "body_text", "meta_description"]
@@ -30,9 +28,15 @@ def queue_depth(pages: DataFrame) -> DataFrame:
     return pages.filter(is_stale()).agg(F.count("*").alias("queue_depth"))
 
 
-def index_batch(pages: DataFrame, n: int = BATCH_SIZE, include_stubs: bool = True) -> DataFrame:
-    """The oldest ``n`` pending pages."""
-    return pending(pages, include_stubs).orderBy("crawled_at", "id").limit(n)
+def indexed_total(pages: DataFrame) -> DataFrame:
+    """Pages that are in the index."""
+    return pages.agg(F.count_if(F.col("indexed_at").isNotNull() & F.col("deleted_at").isNull()).alias("indexed_total"))
+
+
+def index_batch(pages: DataFrame, n: int | None = None, include_stubs: bool = True) -> DataFrame:
+    """All pending pages, or the oldest ``n``."""
+    rows = pending(pages, include_stubs)
+    return rows if n is None else rows.orderBy("crawled_at", "id").limit(n)
 
 
 def to_clean(pages: DataFrame) -> DataFrame:
@@ -40,27 +44,26 @@ def to_clean(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("deleted_at").isNotNull() & F.col("indexed_at").isNotNull())
 
 
-def cleanup_batch(pages: DataFrame, n: int = BATCH_SIZE) -> DataFrame:
-    return to_clean(pages).orderBy("id").limit(n)
+def cleanup_batch(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """All pages to clean, or the ``n`` of the smallest ids."""
+    rows = to_clean(pages)
+    return rows if n is None else rows.orderBy("id").limit(n)
 
 
-def with_body(batch: DataFrame, raw_html: DataFrame, limited: bool = False) -> DataFrame:
+def with_body(batch: DataFrame, raw_html: DataFrame) -> DataFrame:
     """Pages with the main text of their stored HTML and its reading ease.
 
-    A page without stored HTML gets an empty body and 0.0. ``limited`` says that ``batch``
-    comes from a limit of ``BATCH_SIZE``: its keys are then broadcast, so that the HTML of
-    other pages is dropped where it is read instead of being shuffled.
+    A page without stored HTML gets an empty body and 0.0. The keys of a batch of checked size are
+    broadcast, so that the HTML of other pages is dropped where it is read instead of being shuffled.
     """
-    stored = raw_html.select("raw_html_path", "html")
-    if limited:
-        stored = stored.join(F.broadcast(batch.select("raw_html_path")), "raw_html_path", "left_semi")
+    stored = raw_html.select("raw_html_path", "html").join(
+        sized(batch.select("raw_html_path")), "raw_html_path", "left_semi"
+    )
     return (
         batch.join(stored, "raw_html_path", "left")
-        .withColumn("main_text", F.coalesce(html.main_text(F.col("html")), F.lit("")))
-        .drop("html", "body_text")
-        .withColumn("readability_score", text.reading_ease(F.col("main_text")))
-        .withColumn("body_text", F.substring("main_text", 1, schemas.INDEX_BODY_CHARS))
-        .drop("main_text")
+        .withColumn("body_text", F.coalesce(html.main_text(F.col("html")), F.lit("")))
+        .drop("html")
+        .withColumn("readability_score", text.reading_ease(F.col("body_text")))
     )
 
 
@@ -79,7 +82,8 @@ def replace_documents(index: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def delete_documents(index: DataFrame, gone: DataFrame) -> DataFrame:
-    return index.join(gone.select("url"), "url", "left_anti")
+    """Index without the documents of ``gone``; if those are few, the index is not shuffled."""
+    return index.join(sized(gone.select("url")), "url", "left_anti")
 
 
 def term_vectors(docs: DataFrame, key: str) -> DataFrame:

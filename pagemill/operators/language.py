@@ -1,23 +1,23 @@
 """Language identification with character trigrams, trained on labelled text.
 
 Training counts words per language first and cuts them into trigrams afterwards, so its
-shuffle carries distinct words. A language keeps its most frequent trigrams (Cavnar and
-Trenkle 1994), which bounds the model, and a text takes the language with the best naive
-Bayes sum. Weights are whole millionths, so sums do not depend on the order of rows.
+shuffle carries distinct words. A language keeps all its trigrams, and a text takes the
+language with the best naive Bayes sum. Weights are whole millionths, so sums do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text
+from pagemill.operators.sizing import sized
+from pagemill.session import cut_lineage
 
 # Shortest text that is classified, and the label of any other.
 MIN_CHARS = 50
 UNKNOWN = "unknown"
 
-PROFILE_SIZE = 400
 SCALE = 1_000_000
 
 
@@ -31,11 +31,11 @@ def _trigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substr(padded, i, F.lit(3)))
 
 
-def train(labelled: DataFrame, profile_size: int = PROFILE_SIZE) -> tuple[DataFrame, DataFrame]:
+def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Model tables ``(language, gram, weight)`` and ``(language, floor)`` from ``(text, language)``.
 
-    The floor is the weight of a trigram outside the profile; ``weight`` is what a profile
-    trigram adds to it.
+    The floor is the weight of a trigram that the language does not have; ``weight`` is what one that it has
+    adds to it. Every trigram counts once more than it was seen (Laplace).
     """
     words = labelled.select("language", F.explode(_words(F.col("text"))).alias("word")).groupBy("language", "word").agg(
         F.count("*").alias("n")
@@ -43,15 +43,13 @@ def train(labelled: DataFrame, profile_size: int = PROFILE_SIZE) -> tuple[DataFr
     grams = words.select("language", "n", F.explode(_trigrams(F.col("word"))).alias("gram")).groupBy(
         "language", "gram"
     ).agg(F.sum("n").alias("n"))
-    totals = grams.groupBy("language").agg((F.sum("n") + F.lit(profile_size)).alias("total"))
-    best = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
-    profile = grams.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= profile_size)
+    totals = grams.groupBy("language").agg((F.sum("n") + F.count("*")).alias("total"))
 
     def scaled(share: Column) -> Column:
         return F.round(F.ln(share) * SCALE).cast("long")
 
     floors = totals.select("language", scaled(F.lit(1.0) / F.col("total")).alias("floor"))
-    weights = profile.join(F.broadcast(totals), "language").select(
+    weights = grams.join(sized(totals), "language").select(
         "language", "gram",
         (scaled((F.col("n") + 1) / F.col("total")) - scaled(F.lit(1.0) / F.col("total"))).alias("weight"),
     )
@@ -61,21 +59,20 @@ def train(labelled: DataFrame, profile_size: int = PROFILE_SIZE) -> tuple[DataFr
 def identify(texts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], min_chars: int = MIN_CHARS) -> DataFrame:
     """``(key, language)`` for every ``(key, text)`` row, over whole texts.
 
-    The model has ``profile_size`` rows per language, so it is broadcast: trigrams are cut,
-    weighed and summed in the task that reads the text, and the shuffle carries one row per
-    text and language.
+    The weights, stored once, are broadcast if their size was checked: trigrams are then counted, weighed and summed in the
+    task that reads the text, and the shuffle carries one row per text and language.
     """
-    weights, floors = model
+    weights, floors = cut_lineage(model[0]), cut_lineage(model[1])
     long_enough = texts.filter(F.length("text") > min_chars)
     grams = long_enough.select(key, F.explode(_words(F.col("text"))).alias("word")).select(
         key, F.explode(_trigrams(F.col("word"))).alias("gram")
     )
-    sums = grams.join(F.broadcast(weights), "gram").groupBy(key, "language").agg(F.sum("weight").alias("matched"))
+    sums = grams.join(sized(weights), "gram").groupBy(key, "language").agg(F.sum("weight").alias("matched"))
     # Counted per text, not beside its words, where it would be counted again for each word.
     letters = texts.select(key, F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("letters"))
     total = F.col("matched") + F.col("letters") * F.col("floor")
     return (
-        letters.join(sums, key, "left").join(F.broadcast(floors), "language", "left")
+        letters.join(sums, key, "left").join(sized(floors), "language", "left")
         # Equal sums fall to the language first in the alphabet.
         .groupBy(key).agg(F.min_by("language", F.struct(-total, "language")).alias("language"))
         .select(key, F.coalesce("language", F.lit(UNKNOWN)).alias("language"))

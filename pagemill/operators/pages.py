@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pagemill import schemas
 from pagemill.functions import html, scores, urls
 from pagemill.operators import links
+from pagemill.operators.sizing import sized
+from pagemill.session import cut_lineage
 
 # Set by the first write of a url and then left alone.
 INSERT_ONLY = ["meta_description", "domain", "depth", "raw_html_path"]
@@ -21,28 +23,33 @@ UPDATABLE = ["title", "body_text", "language", "text_length", "crawled_at"]
 
 def page_record(
     pages: DataFrame, depth: Column, crawled_at: Column, language: Column | None = None,
-    body_chars: int = schemas.BODY_CHARS, extra: list[str] | None = None,
+    title_chars: int | None = None, body_chars: int | None = None, extra: list[str] | None = None,
 ) -> DataFrame:
     """Page writes extracted from ``(url, html, seq)`` rows; ``url`` is already normalised.
 
-    Extraction works on the whole page. The body column has a fixed width in the data
-    model, and ``text_length`` is the length of what is stored. ``extra`` columns are kept.
+    Extraction works on the whole page and stores the whole text; ``title_chars`` and ``body_chars``
+    are for a store of fixed widths. ``text_length`` is always that of the whole text. ``extra`` columns are kept.
     """
-    body = F.substring(html.visible_text(F.col("html")), 1, body_chars)
-    return pages.select(
+
+    def fitted(column: Column, width: int | None) -> Column:
+        return column if width is None else F.substring(column, 1, width)
+
+    whole = pages.withColumn("whole_text", html.visible_text(F.col("html")))
+    return whole.select(
         "url",
-        F.substring(html.title(F.col("html")), 1, schemas.TITLE_CHARS).alias("title"),
+        fitted(html.title(F.col("html")), title_chars).alias("title"),
         html.meta_description(F.col("html")).alias("meta_description"),
         urls.netloc(F.col("url")).alias("domain"),
         depth.cast("int").alias("depth"),
-        body.alias("body_text"),
+        fitted(F.col("whole_text"), body_chars).alias("body_text"),
         urls.raw_html_key(F.col("url")).alias("raw_html_path"),
         (language if language is not None else F.lit("unknown")).alias("language"),
         crawled_at.alias("crawled_at"),
         F.lit(False).alias("is_stub"),
         F.col("seq").cast("long").alias("seq"),
+        F.length("whole_text").alias("text_length"),
         *(extra or []),
-    ).withColumn("text_length", F.length("body_text")).select(*schemas.PAGE_WRITES.fieldNames(), *(extra or []))
+    ).select(*schemas.PAGE_WRITES.fieldNames(), *(extra or []))
 
 
 def stub_record(targets: DataFrame, crawled_at: Column, seq: Column) -> DataFrame:
@@ -62,14 +69,18 @@ def fold_writes(writes: DataFrame, promote_stubs: bool = False) -> DataFrame:
 
     Insert-only columns come from the first write, the others from the last page write.
     Both are aggregates with a map-side part, so many writes of one url cost no more than
-    one. A page first seen as a stub keeps the stub's insert-only values unless
+    one, and only the last page write carries its body. A page first seen as a stub keeps the stub's insert-only values unless
     ``promote_stubs`` is set.
     """
     columns = [c for c in schemas.PAGE_WRITES.fieldNames() if c not in ("url", "is_stub", "seq")]
     page = ~F.col("is_stub")
     row = F.struct(*columns, "seq", "is_stub")
+    # What a page writes last replaces its other columns; of a first write they count for a stub only.
+    first_row = F.struct(
+        *[F.col(c) if c in INSERT_ONLY else F.when(~page, F.col(c)).alias(c) for c in columns], "seq", "is_stub"
+    )
     folded = writes.groupBy("url").agg(
-        F.min_by(row, F.struct("is_stub", "seq") if promote_stubs else F.struct("seq")).alias("first"),
+        F.min_by(first_row, F.struct("is_stub", "seq") if promote_stubs else F.struct("seq")).alias("first"),
         F.max_by(F.when(page, row), F.when(page, F.col("seq"))).alias("last"),
     )
     latest = F.coalesce("last", "first")
@@ -95,12 +106,16 @@ def upsert(pages: DataFrame, writes: DataFrame, promote_stubs: bool = False) ->
 
     On a url that exists, only the updatable columns change: its first-seen columns, its
     scores, its index mark and its delete mark stay. New urls get ids after the largest.
+
+    The folded batch is stored once. A batch of checked size is sent to the pages, which then stay where
+    they are; only urls, not rows, are compared and numbered.
     """
-    batch = fold_writes(writes, promote_stubs)
-    known = batch.join(pages.select("url"), "url", "left_semi")
-    fresh = batch.join(pages.select("url"), "url", "left_anti")
+    batch = cut_lineage(fold_writes(writes, promote_stubs))
+    known = cut_lineage(pages.select("url").join(sized(batch.select("url")), "url", "left_semi"))
+    numbers = links.with_new_ids(pages, batch.select("url").join(known, "url", "left_anti"))
+    fresh = batch.join(numbers.select("url", "id"), "url")
 
-    incoming = known.select("url", "is_stub", *[F.col(c).alias(f"new_{c}") for c in UPDATABLE + INSERT_ONLY])
+    incoming = batch.select("url", "is_stub", *[F.col(c).alias(f"new_{c}") for c in UPDATABLE + INSERT_ONLY])
     page_write = F.coalesce(~F.col("is_stub"), F.lit(False))
 
     def value(name: str) -> Column:
@@ -111,9 +126,9 @@ def upsert(pages: DataFrame, writes: DataFrame, promote_stubs: bool = False) ->
         return F.col(name)
 
     names = schemas.PAGES.fieldNames()
-    updated = pages.join(incoming, "url", "left").select(*[value(n).alias(n) for n in names])
+    updated = pages.join(sized(incoming), "url", "left").select(*[value(n).alias(n) for n in names])
     defaults = new_page_columns()
-    inserted = links.with_new_ids(pages, fresh).select(*[defaults.get(n, F.col(n)).alias(n) for n in names])
+    inserted = fresh.select(*[defaults.get(n, F.col(n)).alias(n) for n in names])
     return updated.unionByName(inserted)
 
 
@@ -129,21 +144,25 @@ def add_stubs(pages: DataFrame, stubs: DataFrame, crawled_at: Column) -> DataFra
 
 def soft_delete(pages: DataFrame, failed: DataFrame, now: Column) -> DataFrame:
     """Set ``deleted_at`` on pages whose url failed for good."""
-    gone = failed.select("url").distinct().withColumn("gone", F.lit(True))
-    return pages.join(gone, "url", "left").withColumn(
+    gone = cut_lineage(failed.select("url").distinct()).withColumn("gone", F.lit(True))
+    return pages.join(sized(gone), "url", "left").withColumn(
         "deleted_at", F.when(F.col("gone"), now).otherwise(F.col("deleted_at"))
     ).drop("gone")
 
 
 def set_index_mark(pages: DataFrame, ids: DataFrame, indexed_at: Column) -> DataFrame:
     """Set ``indexed_at`` (or clear it with a null) for the given ids."""
-    marked = ids.select("id").distinct().withColumn("marked", F.lit(True))
-    return pages.join(marked, "id", "left").withColumn(
+    marked = cut_lineage(ids.select("id").distinct()).withColumn("marked", F.lit(True))
+    return pages.join(sized(marked), "id", "left").withColumn(
         "indexed_at", F.when(F.col("marked"), indexed_at).otherwise(F.col("indexed_at"))
     ).drop("marked")
 
 
-def set_column_by_id(pages: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` where ``values(id, column)`` has a new one."""
-    new = values.select("id", F.col(column).alias("new_value"))
-    return pages.join(new, "id", "left").withColumn(column, F.coalesce("new_value", column)).drop("new_value")
+def set_columns_by_id(pages: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace ``columns`` where ``values(id, columns)`` has new ones, in one join; a null changes nothing.
+
+    Values of checked size are sent to the pages, which then are not shuffled.
+    """
+    new = values.select("id", *[F.col(c).alias(f"new_{c}") for c in columns])
+    joined = pages.join(sized(new), "id", "left")
+    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in pages.columns])

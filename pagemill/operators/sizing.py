@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side with at most this many rows of short columns is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+# A side within both is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; never counts further than that."""
-    return df.limit(limit + 1).count() <= limit
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and about ``max_bytes`` bytes; never looks further than that many rows."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= limit and size <= max_bytes
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its size was checked to be small, else as it is."""
+    """``df`` with a broadcast hint if its rows and bytes were checked to be few, else as it is."""
     return F.broadcast(df) if small(df, limit) else df

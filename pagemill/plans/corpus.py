@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import html, urls
-from pagemill.operators import indexing, links, pages as page_table
+from pagemill.operators import frontier, indexing, language as languages, links, pages as page_table
 from pagemill.operators.sizing import sized
 from pagemill.session import cut_lineage
 
@@ -25,21 +25,24 @@ def distinct_pages(raw: DataFrame, order: str) -> DataFrame:
 
 def load_corpus(
     existing: DataFrame, raw: DataFrame, crawled_at: Column, order: str = "page_id",
-    depth: Column | None = None, language: Column | None = None, skip: list[str] = html.BODY_SKIP,
+    depth: Column | None = None, model: tuple[DataFrame, DataFrame] | None = None, skip: list[str] = html.BODY_SKIP,
 ) -> tuple[DataFrame, DataFrame]:
     """Page table and edges after loading ``raw(url, html, order)`` into ``existing``.
 
-    ``crawled_at`` may use the column ``seq``, the value of ``order``. Both results are
-    stored in the shared folder.
+    ``crawled_at`` may use the column ``seq``, the value of ``order``. With a language ``model`` (``language.train``)
+    every page gets the language of its text. Both results are stored in the shared folder.
     """
     # Every extraction of a page happens in one projection; the page table and the link
     # graph both start from its stored result.
     fetched = distinct_pages(raw, order)
     record = page_table.page_record(
         fetched.withColumn("targets", html.outgoing_links(F.col("url"), F.col("html"), skip)),
-        depth if depth is not None else F.lit(0), crawled_at, language, extra=["targets"],
+        depth if depth is not None else F.lit(0), crawled_at, extra=["targets"],
     )
     extracted = cut_lineage(record)
+    if model is not None:
+        found = languages.identify(extracted.select("url", F.col("body_text").alias("text")), "url", model)
+        extracted = extracted.drop("language").join(found, "url").select(*extracted.columns)
     pages = cut_lineage(page_table.upsert(existing, extracted.drop("targets")))
     stubs, edges = links.load_links(pages.select("id", "url"), extracted.select("url", "targets"))
     seen = extracted.agg(F.max("crawled_at")).scalar()
@@ -47,23 +50,39 @@ def load_corpus(
 
 
 def index_cycle(
-    pages: DataFrame, raw_html: DataFrame, index: DataFrame, now: Column, n: int = indexing.BATCH_SIZE
+    pages: DataFrame, raw_html: DataFrame, index: DataFrame, now: Column, n: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Page table and index after one index batch: extract, replace documents, mark pages."""
-    batch = cut_lineage(indexing.with_body(indexing.index_batch(pages, n), raw_html, limited=True))
-    scored = page_table.set_column_by_id(pages, batch, "readability_score")
+    """Page table and index after all pending pages, or the oldest ``n``: extract, replace documents, mark pages."""
+    batch = cut_lineage(indexing.with_body(indexing.index_batch(pages, n), raw_html))
+    marks = batch.select("id", "readability_score", now.alias("indexed_at"))
     return (
-        page_table.set_index_mark(scored, batch, now),
+        page_table.set_columns_by_id(pages, marks, ["readability_score", "indexed_at"]),
         indexing.replace_documents(index, indexing.documents(batch)),
     )
 
 
 def cleanup_cycle(
-    pages: DataFrame, index: DataFrame, n: int = indexing.BATCH_SIZE
+    pages: DataFrame, index: DataFrame, n: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Page table and index after one cleanup batch: deleted pages leave the index."""
-    batch = indexing.cleanup_batch(pages, n).select("id", "url")
+    """Page table and index after all deleted pages, or the first ``n``, left the index."""
+    batch = cut_lineage(indexing.cleanup_batch(pages, n).select("id", "url"))
     return (
         page_table.set_index_mark(pages, batch, F.lit(None).cast("timestamp")),
         indexing.delete_documents(index, batch),
     )
+
+
+def apply_retries(
+    queue: DataFrame, visited: DataFrame, pages: DataFrame, decisions: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queue, visited set and page table after ``decisions(url, depth, decision)`` of the retry state.
+
+    A url to fetch again is queued at its depth and may be visited again; one that failed for good stays
+    visited and its page is marked as deleted.
+    """
+    again = decisions.filter(F.col("decision") == "requeue")
+    failed = decisions.filter(F.col("decision") == "failed").select("url")
+    return (
+        frontier.merge_frontier(queue, again.select("url", "depth")), frontier.remove_visited(visited, again),
+        page_table.soft_delete(pages, failed, now),
+    )

@@ -39,7 +39,5 @@ PAGE_WRITES = _struct(
     ("seq", _L, False),
 )
 
-# Stored widths of the page columns and of the index document body.
-TITLE_CHARS = 512
+# Fixed value: width of the body column in the data model. Tables hold whole texts; it is for a view that shows a part.
 BODY_CHARS = 5000
-INDEX_BODY_CHARS = 100000

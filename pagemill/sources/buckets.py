@@ -6,17 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from pagemill.session import work_path
 
-
-def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """``df`` written to the shared folder in ``buckets`` by ``key`` and read back.
+def bucketed(df: DataFrame, key: str, buckets: int, made: list[str]) -> DataFrame:
+    """``df`` written as a table of the warehouse in ``buckets`` by ``key`` and read back.
 
     Joins and groupings on ``key`` with as many partitions read the table without a
-    shuffle, as often as they like, and its lineage starts at the files.
+    shuffle, as often as they like, and its lineage starts at the files. The table's name is added to
+    ``made``: who starts the job drops those tables, and with them their files, when it ends.
     """
     spark = df.sparkSession
     name = f"pagemill_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
-    writer.option("path", work_path(spark, "bucketed")).saveAsTable(name)
+    made.append(name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)

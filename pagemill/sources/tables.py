@@ -11,16 +11,14 @@ def read_table(
 ) -> DataFrame:
     """A Parquet table.
 
-    ``spread_by`` names a unique key. A table of fewer splits than there are cores, as one
-    row group is, is then spread by it, so that text work does not run in one task. A table
-    of many splits is read as it lies, without a shuffle.
+    ``spread_by`` names a unique key. A table of one split, as a small file is, is spread by it, so that
+    text work does not run in one task; that moves at most one split's bytes. Any other table is read as it lies.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     table = reader.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by is None or table.rdd.getNumPartitions() >= cores:
+    if spread_by is None or table.rdd.getNumPartitions() > 1:
         return table
-    return table.repartition(cores, spread_by)
+    return table.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:

@@ -17,13 +17,14 @@ LOG = T.StructType([*schemas.PAGE_WRITES.fields, T.StructField("targets", T.Arra
 
 def ingest(
     fetched: DataFrame, log_path: str, checkpoint: str, crawled_at: Column,
-    skip: list[str] = html.BODY_SKIP, skip_visited: bool = True, trigger: dict | None = None,
+    skip: list[str] = html.BODY_SKIP, skip_visited: bool = True, order: str | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append each micro-batch of ``(url, html)`` rows to the page log.
 
     A batch is extracted in one pass and written once, with its links beside its page
     columns. Urls that an earlier batch wrote are skipped: the log is the visited set, so
-    no state grows in the stream. A replayed batch replaces its own folder.
+    no state grows in the stream. Of rows of one url in a batch the first by ``order`` is taken, then the smallest
+    html, so a replayed batch, which replaces its own folder, stores the same.
     """
 
     spark = fetched.sparkSession
@@ -31,7 +32,8 @@ def ingest(
     tables.append_batch(spark.createDataFrame([], LOG), log_path, -1)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.select(urls.normalize_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+        place = F.struct(*([F.col(order)] if order else []), F.col("html"))
+        rows = batch.groupBy(urls.normalize_url(F.col("url")).alias("url")).agg(F.min_by("html", place).alias("html"))
         if skip_visited:
             earlier = tables.read_log(batch.sparkSession, log_path, LOG).filter(F.col("batch") < number).select("url")
             rows = rows.join(earlier, "url", "left_anti")

@@ -48,8 +48,13 @@ def test_pagerank(spark, name, hot_degree):
 def test_pagerank_round_shuffles_sums_only(spark):
     n = spark.range(50).select("id")
     e = spark.range(500).select((F.col("id") % 50).alias("source_id"), (F.col("id") * 7 % 50).alias("target_id"))
-    three = graph.pagerank(n, e, iterations=3)._jdf.queryExecution().executedPlan().toString()
-    two = graph.pagerank(n, e, iterations=2)._jdf.queryExecution().executedPlan().toString()
+    made = []
+    three, two = (
+        graph._pagerank(n, e, graph.DAMPING, rounds, 5, graph.HOT_DEGREE, made)._jdf.queryExecution().executedPlan().toString()
+        for rounds in (3, 2)
+    )
+    for name in made:
+        spark.sql(f"drop table {name}")
     assert three.count("Exchange hashpartitioning") == two.count("Exchange hashpartitioning") + 1
 
 
@@ -114,3 +119,10 @@ def test_schedule_spaces_hosts_and_caps_minutes(spark):
     for r in rows:
         per_minute[r.fetch_at // 60] = per_minute.get(r.fetch_at // 60, 0) + 1
     assert max(per_minute.values()) <= 4
+
+
+def test_pagerank_leaves_no_table(spark):
+    nodes, edges = spark.range(4), spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "source_id long, target_id long")
+    ranks = graph.pagerank(nodes, edges, iterations=8, checkpoint_every=2)
+    assert ranks.count() == 4
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pagemill_")]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pagemill import schemas
 from pagemill.functions import html
 from pagemill.operators import indexing, language, outcomes, pages, search, stats
+from pagemill.operators import pages as page_table
 from pagemill.plans import corpus
+from pagemill.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -97,7 +99,7 @@ def answers(spark, *queries, top_k=20):
 
 def test_search_order_filters_and_limits(spark):
     docs, found, matches, ranked = answers(
-        spark, (1, "banana apple", None, None), (2, "apple", None, "de"), (3, "apple", "d", "en"), (4, "", None, None),
+        spark, (1, "apple banana", None, None), (7, "banana apple", None, None), (2, "apple", None, "de"), (3, "apple", "d", "en"), (4, "", None, None),
         (5, "zzz", None, None), (6, "appel", None, None),
     )
     order = {}
@@ -105,6 +107,8 @@ def test_search_order_filters_and_limits(spark):
         order.setdefault(r.qid, []).append(r.id)
     # Both words found exactly, the nearer pair (2 words apart, then 4) first; a pair with an error; one word.
     assert order[1] == [2, 1, 3, 5]
+    # The last word is dropped first, so a document without the first one is no answer.
+    assert order[7] == [2, 1, 3]
     assert order[2] == [3] and order[3] == [1, 2]
     assert 4 not in order and 5 not in order
     # "apfel" is one letter from "appel"; "apple" is two, which five letters do not allow.
@@ -115,7 +119,7 @@ def test_search_order_filters_and_limits(spark):
 
 
 def test_facets_snippets_and_display(spark):
-    docs, found, matches, ranked = answers(spark, (1, "banana apple", None, None))
+    docs, found, matches, ranked = answers(spark, (1, "apple banana", None, None))
     maps = search.facet_maps(search.facets(matches)).first()
     assert maps.domain == {"d": 2, "e": 2} and maps.language == {"en": 2, "de": 1, "fr": 1}
     rows = by_url(search.results(ranked, found, docs))
@@ -126,6 +130,37 @@ def test_facets_snippets_and_display(spark):
     assert shown["http://e/3"].heading == "http://e/3" and shown["http://d/2"].heading == "fruit"
 
 
+def test_long_queries_are_answered_from_their_first_words(spark):
+    rng = random.Random(3)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = {i: rng.sample(words, rng.randint(1, 20)) for i in range(200)}
+    docs = spark.createDataFrame(
+        [(i, f"http://d/{i:03}", "", " ".join(t), "", "d" if i % 2 else "e", "en", 0.5) for i, t in texts.items()],
+        "id long, url string, title string, body_text string, meta_description string, domain string, language string, rank_score double")
+    asked = {q: rng.sample(words, n) for q, n in enumerate([1, 3, 4, 5, 9, 18, 20])}
+    queries = spark.createDataFrame([(q, " ".join(w), "d" if q == 4 else None, None) for q, w in asked.items()],
+                                    "qid long, q string, domain string, language string")
+    _, matches = search.match_documents(queries, indexing.postings(docs), docs, typos=False, top_k=7)
+    got = {}
+    for r in matches.collect():
+        got.setdefault(r.qid, {})[r.id] = r.words
+    for q, wanted in asked.items():
+        runs = {i: next((n for n, w in enumerate(wanted) if w not in t), len(wanted)) for i, t in texts.items() if q != 4 or i % 2}
+        level = next((n for n in range(len(wanted), 0, -1) if sum(r >= n for r in runs.values()) >= 7), 1)
+        assert got[q] == {i: r for i, r in runs.items() if r >= level}, q
+
+
+def test_a_search_sends_its_terms_to_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i:04}", "", None) for i in range(500)], "id long, title string, body_text string, meta_description string")
+    indexing.write_postings(indexing.postings(docs), str(tmp_path / "p"))
+    store = tables.read_table(spark, str(tmp_path / "p"))
+    few = search.of_terms(store, spark.createDataFrame([("w0003",), ("w0004",)], "term string"))
+    assert "PushedFilters: [In(term, [w0003,w0004])" in few._jdf.queryExecution().executedPlan().toString()
+    assert few.count() == 2
+    many = search.of_terms(store, store.select("term"), limit=10)
+    assert many.count() == 500
+
+
 def test_crop(spark):
     body = " ".join(f"w{i}" for i in range(400))
     crop = lambda *terms: spark.range(1).select(
@@ -190,3 +225,56 @@ def test_term_vectors(spark):
     docs = spark.createDataFrame([(1, "The cats", "sat on cats, sitting")], "id long, title string, body string")
     got = {r.term: r.positions for r in indexing.term_vectors(docs, "id").collect()}
     assert got == {"cat": [2, 5], "sat": [3], "sit": [6]}
+
+
+def exchanged(frame, column):
+    """Whether a shuffle of the plan carries ``column``."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and column in line]
+
+
+def test_a_small_batch_leaves_the_large_side_where_it_is(spark, tmp_path):
+    names = schemas.PAGES.fieldNames()
+    given = {"id": F.col("id"), "url": F.concat(F.lit("u"), F.col("id")), "domain": F.lit("d"), "depth": F.lit(0), "body_text": F.lit("big")}
+    pages = spark.range(1000).select(*[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.PAGES
+    ])
+    path = str(tmp_path / "pages")
+    pages.write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.read.schema(schemas.PAGES).parquet(path)
+        few = spark.createDataFrame([(1, "u1"), (2, "u2")], "id long, url string")
+        write = {"url": F.col("url"), "title": F.lit("new"), "body_text": F.lit("new"), "is_stub": F.lit(False), "seq": F.lit(1),
+                 "depth": F.lit(0), "crawled_at": F.lit("2024-01-01")}
+        more = few.select("url").union(spark.createDataFrame([("fresh",)], "url string"))
+        writes = more.select(*[write.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.PAGE_WRITES])
+        results = {
+            "delete": page_table.soft_delete(pages, few, F.lit("2024-01-01").cast("timestamp")),
+            "mark": page_table.set_index_mark(pages, few, F.lit("2024-01-01").cast("timestamp")),
+            "values": page_table.set_columns_by_id(pages, few.withColumn("title", F.lit("t")), ["title"]),
+            "documents": indexing.delete_documents(indexing.documents(pages), few),
+            "upsert": page_table.upsert(pages, writes),
+        }
+        for name, frame in results.items():
+            assert not exchanged(frame, "rank_score") and "SortMergeJoin" not in frame._jdf.queryExecution().executedPlan().toString() or name == "upsert", name
+        assert results["upsert"].count() == 1001
+        assert results["upsert"].filter("title = 'new'").count() == 3
+        assert results["delete"].filter("deleted_at is not null").count() == 2
+        assert results["documents"].count() == 998 and results["values"].filter("title = 't'").count() == 2
+        assert set(results["values"].columns) == set(names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_every_pending_page_is_indexed(spark):
+    rows = [(i, f"u{i}") for i in range(2500)]
+    given = {"id": F.col("i"), "url": F.col("u"), "domain": F.lit("d"), "depth": F.lit(0), "raw_html_path": F.col("u")}
+    pages = spark.createDataFrame(rows, "i long, u string").select(*[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.PAGES
+    ])
+    html = spark.createDataFrame([("u1", "<p>" + "text " * 40 + "</p>")], "raw_html_path string, html string")
+    after, index = corpus.index_cycle(pages, html, spark.createDataFrame([], schemas.INDEX_DOCUMENTS), F.lit("2024-01-01").cast("timestamp"))
+    assert index.count() == 2500 and after.filter("indexed_at is null").count() == 0
+    after, index = corpus.index_cycle(pages, html, spark.createDataFrame([], schemas.INDEX_DOCUMENTS), F.lit("2024-01-01").cast("timestamp"), 10)
+    assert index.count() == 10

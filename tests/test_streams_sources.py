@@ -77,19 +77,28 @@ def test_window_counts_of_closed_windows(spark, data, tmp_path):
 def test_index_stream_keeps_the_latest_document(spark, tmp_path):
     text = "<p>" + "Some words in a row. " * 10 + "</p>"
     schema = ("id long, url string, title string, meta_description string, domain string, language string, "
-              "crawled_at timestamp, rank_score double, deleted_at timestamp, html string")
-    rows = [[(1, "a", "old"), (2, "b", "B")], [(1, "a", "new"), (3, "c", "gone")]]
+              "crawled_at timestamp, rank_score double, indexed_at timestamp, deleted_at timestamp, html string")
+    rows = [[(1, "a", "old"), (2, "b", "B"), (4, "d", "fresh")], [(1, "a", "new"), (3, "c", "gone")]]
     for i, batch in enumerate(rows):
         spark.createDataFrame(batch, "id long, url string, title string").selectExpr(
             "id", "url", "title", "'' meta_description", "'d' domain", "'en' language",
             f"timestamp_seconds({i} * 60) crawled_at", "cast(null as double) rank_score",
+            "case when title = 'fresh' then timestamp_seconds(999) end indexed_at",
             "case when title = 'gone' then timestamp_seconds(0) end deleted_at", f"'{text}' html",
         ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = read_files(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1)
-    index_sync.sync_index(source, str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+    now = F.timestamp_seconds(F.lit(500))
+    index_sync.sync_index(source, str(tmp_path / "log"), str(tmp_path / "state"), now).awaitTermination()
     index = {r.url: r for r in index_sync.current_index(tables.read_log(spark, str(tmp_path / "log"), index_sync.LOG)).collect()}
     assert set(index) == {"a", "b"} and index["a"].title == "new" and index["a"].rank_score == 1.0
     assert index["b"].readability_score > 0
+    # Page b is deleted after it was indexed: it leaves the index and loses its mark.
+    later = source.filter("url = 'b'").withColumn("deleted_at", now).withColumn("indexed_at", now)
+    index_sync.sync_index(later, str(tmp_path / "log"), str(tmp_path / "more"), now, first_batch=10).awaitTermination()
+    log = tables.read_log(spark, str(tmp_path / "log"), index_sync.LOG)
+    assert {r.url for r in index_sync.current_index(log).collect()} == {"a"}
+    marks = {r.id: r.indexed_at is not None for r in index_sync.index_marks(log).collect()}
+    assert marks == {1: True, 2: False}
 
 
 def test_raw_html_store(spark, tmp_path):
@@ -116,8 +125,10 @@ def test_postings_store_prunes_by_term(spark, tmp_path):
 
 
 def test_bucketed_join_needs_no_shuffle(spark):
-    a = buckets.bucketed(spark.range(100).withColumnRenamed("id", "k"), "k", 4)
-    b = buckets.bucketed(spark.range(100).withColumnRenamed("id", "k"), "k", 4)
+    made = []
+    a = buckets.bucketed(spark.range(100).withColumnRenamed("id", "k"), "k", 4, made)
+    b = buckets.bucketed(spark.range(100).withColumnRenamed("id", "k"), "k", 4, made)
+    assert len(made) == 2
     plan = a.join(b.hint("shuffle_hash"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
 
@@ -148,8 +159,11 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark, monkeypatch):
 
 def test_every_query_has_a_statement():
     import __spark_entry__ as entry
+    from checks.oracles import ORACLES
+    from checks.queries import QUERIES
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", ["url_normalize", "page_text", "page_upsert", "frontier_pop", "config_overlay"])
@@ -165,3 +179,27 @@ def test_entry(spark):
 
     rows = entry.entry(spark).collect()
     assert len(rows) == 20 and rows == sorted(rows, key=lambda r: (-r.rank_score, r.url))
+
+
+def test_replayed_and_shuffled_batches_are_stored_alike(spark, tmp_path):
+    rows = [(i, f"http://h/{i % 5}", f"<title>t{i}</title><p>{'body ' * 30}{i}</p>") for i in range(40)]
+    stores = []
+    for n, order in enumerate([rows, rows[::-1]]):
+        folder = tmp_path / f"in{n}"
+        spark.createDataFrame(order, "page_id long, url string, html string").repartition(3).write.parquet(str(folder))
+        source = read_files(spark, str(folder), spark.read.parquet(str(folder)).schema)
+        ingest.ingest(source, str(tmp_path / f"log{n}"), str(tmp_path / f"state{n}"), F.timestamp_seconds(F.lit(0)), order="page_id").awaitTermination()
+        stores.append(sorted(map(str, tables.read_log(spark, str(tmp_path / f"log{n}"), ingest.LOG).collect())))
+    assert stores[0] == stores[1] and len(stores[0]) == 5 and "t0" in stores[0][0]
+
+
+def test_retries_requeue_or_delete(spark):
+    decisions = spark.createDataFrame([("a", 1, "requeue"), ("b", 2, "failed"), ("c", 0, "none")], "url string, depth int, decision string")
+    visited = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+    pages = visited.withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    queue, left, table = corpus.apply_retries(
+        spark.createDataFrame([("a", 5)], "url string, depth int"), visited, pages, decisions, F.timestamp_seconds(F.lit(1))
+    )
+    assert [tuple(r) for r in queue.collect()] == [("a", 1)]
+    assert {r.url for r in left.collect()} == {"b", "c"}
+    assert [r.url for r in table.filter("deleted_at is not null").collect()] == ["b"]
