@@ -214,12 +214,12 @@ RANKED = f"""{MATCHES},
 
 ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 SNIPPETS = rf"""{RANKED},
-  qt as (select qid, list(distinct term) as terms from ans group by 1),
+  qt as (select qid, place, list(distinct term) as terms from rk join ans using (qid) where slot < words group by 1, 2),
   cr as (select rk.qid, rk.place, doc.url, doc.title, doc.meta_description, rk.rank_score, terms,
       list_transform(regexp_extract_all(body_text, '^[^\p{{L}}\p{{N}}]+|[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*'),
         lambda r: struct_pack(w := regexp_extract(r, '[\p{{L}}\p{{N}}]+'),
           e := substr(r, length(regexp_extract(r, '[\p{{L}}\p{{N}}]+')) + 1))) as ps
-    from rk join doc using (id) join qt using (qid)),
+    from rk join doc using (id) join qt using (qid, place)),
   ht as (select *, coalesce(list_position(list_transform(ps,
       lambda s: list_contains(terms, strip_accents(lower(s.w)))), true), 0) as hit from cr),
   sa as (select *, greatest(least(hit - 75, len(ps) - 149), 1) as first from ht),

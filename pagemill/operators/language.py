@@ -19,6 +19,7 @@ MIN_CHARS = 50
 UNKNOWN = "unknown"
 
 SCALE = 1_000_000
+MAX_LANGUAGES = 1_000
 
 
 def _words(content: Column) -> Column:
@@ -43,6 +44,7 @@ def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = words.select("language", "n", F.explode(_trigrams(F.col("word"))).alias("gram")).groupBy(
         "language", "gram"
     ).agg(F.sum("n").alias("n"))
+    grams = cut_lineage(grams)
     totals = grams.groupBy("language").agg((F.sum("n") + F.count("*")).alias("total"))
 
     def scaled(share: Column) -> Column:
@@ -59,21 +61,31 @@ def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def identify(texts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], min_chars: int = MIN_CHARS) -> DataFrame:
     """``(key, language)`` for every ``(key, text)`` row, over whole texts.
 
-    The weights, stored once, are broadcast if their size was checked: trigrams are then counted, weighed and summed in the
-    task that reads the text, and the shuffle carries one row per text and language.
+    The weights are stored once with a column per language and broadcast if their size was checked: trigrams are then
+    weighed and summed in the task that reads the text, and the shuffle carries one row per text. A model of more than
+    ``MAX_LANGUAGES`` languages is an error.
     """
-    weights, floors = cut_lineage(model[0]), cut_lineage(model[1])
+    weights, floors = model
+    known = floors.orderBy("language").limit(MAX_LANGUAGES + 1).collect()
+    if len(known) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    columns = [f"w{i}" for i in range(len(known))]
+    wide = cut_lineage(weights.groupBy("gram").agg(*[
+        F.coalesce(F.sum(F.when(F.col("language") == row["language"], F.col("weight"))), F.lit(0)).alias(c)
+        for c, row in zip(columns, known)
+    ]))
     long_enough = texts.filter(F.length("text") > min_chars)
     grams = long_enough.select(key, F.explode(_words(F.col("text"))).alias("word")).select(
         key, F.explode(_trigrams(F.col("word"))).alias("gram")
     )
-    sums = grams.join(sized(weights), "gram").groupBy(key, "language").agg(F.sum("weight").alias("matched"))
+    sums = grams.join(sized(wide), "gram").groupBy(key).agg(F.count("*").alias("matched"), *[F.sum(c).alias(c) for c in columns])
     # Counted per text, not beside its words, where it would be counted again for each word.
     letters = texts.select(key, F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("letters"))
-    total = F.col("matched") + F.col("letters") * F.col("floor")
-    return (
-        letters.join(sums, key, "left").join(sized(floors), "language", "left")
-        # Equal sums fall to the language first in the alphabet.
-        .groupBy(key).agg(F.min_by("language", F.struct(-total, "language")).alias("language"))
-        .select(key, F.coalesce("language", F.lit(UNKNOWN)).alias("language"))
+    # Equal sums fall to the language first in the alphabet.
+    best = F.array_min(F.array(*[
+        F.struct((-(F.col(c) + F.col("letters") * F.lit(row["floor"]).cast("long"))).alias("loss"), F.lit(row["language"]).alias("language"))
+        for c, row in zip(columns, known)
+    ]))["language"] if known else F.lit(None).cast("string")
+    return letters.join(sums, key, "left").select(
+        key, F.coalesce(F.when(F.col("matched") > 0, best), F.lit(UNKNOWN)).alias("language")
     )

@@ -163,6 +163,6 @@ def set_columns_by_id(pages: DataFrame, values: DataFrame, columns: list[str]) -
 
     Values of checked size are sent to the pages, which then are not shuffled.
     """
-    new = values.select("id", *[F.col(c).alias(f"new_{c}") for c in columns])
+    new = cut_lineage(values.select("id", *[F.col(c).alias(f"new_{c}") for c in columns]))
     joined = pages.join(sized(new), "id", "left")
     return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in pages.columns])

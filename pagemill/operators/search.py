@@ -197,9 +197,9 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
         more = per_slot(of_terms(postings, block).select("term", "id", "field").join(asked, ["term", "id"]))
         more = _runs(more, first).toDF("qid", "id", "more_words", "more_typos", "more_attribute", "more_exact")
         plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
-        found = cut_lineage(_kept(found.join(more, ["qid", "id"], "left").select(
+        found = _kept(cut_lineage(found.join(more, ["qid", "id"], "left").select(
             "qid", "id", plus("words"), plus("typos"), F.least("attribute", "more_attribute").alias("attribute"), plus("exact")
-        ), top_k))
+        )), top_k)
         if found.filter(F.col("words") >= last).isEmpty():
             break
         first, last = last, 2 * last
@@ -336,8 +336,12 @@ def results(ranked: DataFrame, answers: DataFrame, documents: DataFrame) -> Data
     if few enough they are broadcast to the documents, so bodies are not shuffled, and
     either way other documents are dropped before their bodies are worked on.
     """
-    terms = answers.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    hits = cut_lineage(ranked.select("qid", "place", "id", "rank_score").join(terms, "qid"))
+    # The words to mark are those of the document's run; the dropped ones are not searched for.
+    places = cut_lineage(ranked.select("qid", "place", "id", "rank_score", "words"))
+    terms = places.select("qid", "words").distinct().join(sized(answers), "qid").filter("slot < words").groupBy("qid", "words").agg(
+        F.array_sort(F.collect_set("term")).alias("terms")
+    )
+    hits = cut_lineage(places.join(terms, ["qid", "words"]).drop("words"))
     found = documents.select("id", "url", "title", "meta_description", "body_text").join(sized(hits), "id")
     meta = F.coalesce("meta_description", F.lit(""))
     shown = snippet(F.coalesce("body_text", F.lit("")), F.col("terms"))
