@@ -87,8 +87,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``a`` < ``b`` of distinct fingerprints ``f`` that differ in 1 to ``max_bits`` (at most 2) bits."""
     if max_bits > MAX_BITS:
         raise ValueError("two segments with one wildcard find up to two bits")
-    # A few bytes become seventy entries: spread before, not by the size of what comes in.
-    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+    # A few bytes become seventy entries: spread before, not by the size of what comes in. Spark would take a
+    # repartitioning by "f" itself for done, and join its few bytes to few tasks.
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("f"))
     index = spread.select("f", F.explode(_keys()).alias("x")).select("f", "x.key", "x.bit")
     # With a wildcard: 0 against 1. Without: each with each other, the smaller on the left.
     left = index.filter("bit is null or bit = 0").select(F.col("f").alias("a"), "key", F.col("bit").alias("bit_a"))
