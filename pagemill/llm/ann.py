@@ -5,13 +5,15 @@
 * ``index`` sends every vector of the table, not the sample alone, down all trees. Equal vectors are one row with
   their smallest ids, so copies fill no leaf.
 * ``walk`` goes through all trees for a query by one priority queue. A leaf's place in it is the sum of squared margins
-  where its path leaves the query's side, which bounds its distance from below. Leaves are taken until they hold ``search_rows`` vectors.
+  where its path leaves the query's side, which bounds its distance from below. Leaves are taken until they hold
+  ``search_share`` of the table's different vectors, and ``search_rows`` at least (both counted per tree).
 * Leaves and the queries that visit them meet by an equality join. A leaf with many vectors or visitors is cut
   into cells of bounded size, so no leaf is one task; cells are dealt to groups of about ``GROUP_ROWS`` rows. A group gives the best ``k``
   of each of its queries by exact distance, and the best of all groups are the answer.
 
-``search_rows`` fits vectors without any structure, of which the nearest ten of 50,000 are hardly nearer than the
-rest: 0.95 of them are found. Vectors of real models need fewer.
+The share fits vectors without any structure, of which the nearest ten are hardly nearer than the rest. A fixed number of
+rows loses them as the table grows; a fixed share does not, at a cost that grows with vectors times queries. Leaves beyond
+the sample grow with the table, so a query visits about as many, each with more vectors. Vectors of real models need a smaller share.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components and vectors of another length than
 the most frequent (the smaller of two as frequent) take no part, nor do rows of null id. Of rows that share
@@ -22,6 +24,7 @@ come back. An empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +48,7 @@ class Settings:
     leaf_rows: int = 32
     sample_rows: int = 65_536
     search_rows: int = 24_000
+    search_share: float = 0.47
     seed: int = 7
 
 
@@ -199,12 +203,14 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     for tree, leaf, n in counts:
         sizes[tree][leaf] = n
     shared_sizes = spark.sparkContext.broadcast(sizes)
+    # Every tree holds each vector once.
+    wanted = max(settings.search_rows, math.ceil(settings.search_share * int(sizes[0].sum())))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for qid, v in zip(batch["query_id"], batch["qv"]):
-                out += [(qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v, dtype=np.float64), settings.search_rows)]
+                out += [(qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v, dtype=np.float64), wanted)]
             yield pd.DataFrame(out, columns=["query_id", "tree", "leaf", "qv"])
 
     asked = points.join(queries.select(F.col(f"`{key}`").cast("long").alias("id")).distinct(), "id").select(
