@@ -38,7 +38,7 @@ def op2_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived and read back: what its record and its full payload say."""
     place = work_path(spark, "archive")
-    warc.write(table(spark, folder, "pages"), place, min_revisit_bytes=1000)
+    warc.write(table(spark, folder, "pages"), place, min_revisit_bytes=1000, repeats=True)
     stores = warc.payloads(spark, place).select(
         "digest", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")
     )

@@ -11,7 +11,8 @@ A digest is verified twice: when written, all records of a SHA-256 must agree in
 when read, the stored bytes must give the SHA-256 again. Anything else is an error, not a record.
 
 Defined results: a null payload is the empty one. Records that repeat whole (id, url, payload) are archived
-once; records that share an id but differ are records each. A null id counts as the smallest. A null url is
+once, or with ``repeats`` as often as they come: the repeats are numbered in their record ids, and the first of them alone can
+be the response that others revisit. Records that share an id but differ are records each. A null id counts as the smallest. A null url is
 the empty one. Extra columns are ignored. An empty table gives an empty archive.
 """
 
@@ -38,14 +39,14 @@ def _clean(value: Column) -> Column:
 
 
 def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html",
-          date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 1000) -> None:
-    """Archive ``pages`` into ``folder``; the payload is text, stored in UTF-8."""
+          date: str = "2024-01-01T00:00:00Z", min_revisit_bytes: int = 1000, repeats: bool = False) -> None:
+    """Archive ``pages`` into ``folder``; the payload is text, stored in UTF-8. With ``repeats`` every row is a record."""
     body = F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("id"), _clean(F.col(f"`{url}`")).alias("url"), body.alias("body"))
     records = stored(rows.select(
         "id", "url", F.sha2("body", 256).alias("digest"), F.sha1("body").alias("sha1"),
         F.octet_length("body").cast("long").alias("size"), F.xxhash64("body").alias("check"),
-    ).distinct(), "records")
+    ).groupBy("id", "url", "digest", "sha1", "size", "check").agg(F.count("*").alias("rows")), "records")
     # The largest id of a payload, the largest url among its rows.
     first = F.max(F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), F.col("url"))).alias("first")
     stores = records.groupBy("digest").agg(
@@ -55,11 +56,14 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
         F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"),
     )
     stores = stored(stores, "stores")
-    marked = records.join(stores, "digest")
-    is_first = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url"))
+    copies = F.sequence(F.lit(1).cast("long"), F.col("rows") if repeats else F.lit(1).cast("long"))
+    marked = records.join(stores, "digest").withColumn("copy", F.explode(copies))
+    is_first = (F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url"))
     kind = F.when((F.col("size") < min_revisit_bytes) | is_first, F.lit("response")).otherwise(F.lit("revisit"))
     http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
-    own, other = _record_id(F.col("id"), F.col("url"), F.col("digest")), _record_id(F.col("first_id"), F.col("first_url"), F.col("digest"))
+    named = [F.col("id"), F.col("url"), F.col("digest")]
+    own = F.when(F.col("copy") == 1, _record_id(*named)).otherwise(_record_id(*named, F.col("copy")))
+    other = _record_id(F.col("first_id"), F.col("first_url"), F.col("digest"))
     revisit = F.col("type") == "revisit"
     lines = [
         F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.col("type")), F.concat(F.lit("WARC-Record-ID: "), own),

@@ -61,6 +61,25 @@ def test_archive_keeps_bytes_once_and_gives_every_record_back(spark, tmp_path):
     assert sorted(seen) == sorted(bytes(r.record) for r in records)
 
 
+def test_archive_query_has_a_record_for_every_row(spark, tmp_path):
+    rows = [(1, "http://a/1", "x" * 1200), (5, "http://a/5", "x" * 1200), (5, "http://a/5", "x" * 1200), (5, "http://a/5", "x" * 1200),
+            (7, "http://a/7\r\n", "y" * 1500), (7, "http://a/7\n", "y" * 1500), (2, "u", "z"), (2, "u", "z"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op3_warc_archive(spark, str(tmp_path)).collect()
+    want = [(1, "revisit", 5), (5, "response", None), (5, "revisit", 5), (5, "revisit", 5), (7, "response", None), (7, "revisit", 7)]
+    want += [(2, "response", None)] * 2 + [(None, "response", None)] * 2
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    bodies = sorted((h or "").encode() for _, _, h in rows)
+    assert sorted((r.payload_bytes, r.payload_digest) for r in got) == sorted((len(b), hashlib.sha1(b).hexdigest()) for b in bodies)
+    warc.write(df, place := str(tmp_path / "archive"), repeats=True)
+    heads = [r.header for r in warc.read_headers(spark, place).collect()]
+    names = [h.split("WARC-Record-ID: ")[1].split("\r\n")[0] for h in heads]
+    assert len(set(names)) == len(rows) and warc.payloads(spark, place).count() == 4
+    firsts = {n for n, h in zip(names, heads) if "WARC-Type: response" in h}
+    assert all(h.split("WARC-Refers-To: ")[1].split("\r\n")[0] in firsts for h in heads if "WARC-Type: revisit" in h)
+
+
 def test_damaged_payload_is_an_error_and_nothing_is_an_empty_archive(spark, tmp_path):
     place = str(tmp_path / "bad")
     df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
