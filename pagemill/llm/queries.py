@@ -39,10 +39,12 @@ def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived and read back: what its record and its full payload say."""
     place = work_path(spark, "archive")
     warc.write(table(spark, folder, "pages"), place, min_revisit_bytes=1000, repeats=True)
-    stores = warc.payloads(spark, place).select(
-        "digest", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("payload_digest")
-    )
-    records = warc.read_headers(spark, place).join(stores, "digest")
+    # A response's payload is cut from its rebuilt bytes; a revisit has none of its own.
+    own = F.substring("record", F.octet_length("header") + 1, F.octet_length("record"))
+    records = warc.read(spark, place).withColumn("body", F.when(F.col("type") == "response", own).otherwise(F.when(
+        F.octet_length(own) == 0, F.col("payload")
+    ).otherwise(F.raise_error(F.lit("a revisit with a payload")).cast("binary"))))
+    records = records.withColumn("payload_bytes", F.octet_length("body").cast("long")).withColumn("payload_digest", F.sha1("body"))
     return records.select("id", "type", "payload_bytes", "payload_digest", "refers_to").toDF(
         "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"
     )

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import stored
 
 CRLF = "\r\n"
+#: The part of a record's block before its payload.
+HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 
 
 def _record_id(*parts: Column) -> Column:
@@ -60,7 +62,6 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     marked = records.join(stores, "digest").withColumn("copy", F.explode(copies))
     is_first = (F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("url") == F.col("first_url"))
     kind = F.when((F.col("size") < min_revisit_bytes) | is_first, F.lit("response")).otherwise(F.lit("revisit"))
-    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
     named = [F.col("id"), F.col("url"), F.col("digest")]
     own = F.when(F.col("copy") == 1, _record_id(*named)).otherwise(_record_id(*named, F.col("copy")))
     other = _record_id(F.col("first_id"), F.col("first_url"), F.col("digest"))
@@ -74,9 +75,9 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), other)),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Source-Id: "), F.coalesce(F.col("first_id").cast("string"), F.lit("")))),
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), (F.lit(len(http)) + F.when(revisit, 0).otherwise(F.col("size"))).cast("string")),
+        F.concat(F.lit("Content-Length: "), (F.lit(len(HTTP)) + F.when(revisit, 0).otherwise(F.col("size"))).cast("string")),
     ]
-    head = F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF + http))
+    head = F.concat(F.array_join(F.array_compact(F.array(*lines)), CRLF), F.lit(CRLF + CRLF + HTTP))
     marked.withColumn("type", kind).select("digest", head.alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
     # Bytes travel once, to meet the row that stands for their digest; equal rows are dropped where they meet.
     def keyed(rows: DataFrame, id: str, url: str, *more: Column) -> DataFrame:
@@ -121,10 +122,17 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record with its fields, full ``payload`` and exact ``record`` bytes (a revisit's record has no payload)."""
+    """Every record with its fields, full ``payload`` and exact ``record`` bytes (a revisit's record has no payload).
+
+    A record whose bytes after the WARC header are not as many as its Content-Length is an error.
+    """
     joined = read_headers(spark, folder).join(payloads(spark, folder), "digest")
     block = F.when(F.col("type") == "revisit", F.lit(b"")).otherwise(F.col("body"))
-    return joined.withColumn("record", F.concat(F.encode("header", "UTF-8"), block)).withColumnRenamed("body", "payload")
+    record = F.concat(F.encode("header", "UTF-8"), block)
+    length = F.octet_length("record") - F.octet_length(F.substring_index("header", CRLF * 2, 1)) - len(CRLF * 2)
+    return joined.withColumn("record", record).withColumn("record", F.when(length == F.col("content_length"), F.col("record")).otherwise(
+        F.raise_error(F.concat(F.lit("record of another length than its Content-Length: "), F.col("digest"))).cast("binary")
+    )).withColumnRenamed("body", "payload")
 
 
 def export(spark: SparkSession, folder: str, target: str) -> None:

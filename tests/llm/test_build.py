@@ -80,6 +80,19 @@ def test_archive_query_has_a_record_for_every_row(spark, tmp_path):
     assert all(h.split("WARC-Refers-To: ")[1].split("\r\n")[0] in firsts for h in heads if "WARC-Type: revisit" in h)
 
 
+def test_archive_query_rebuilds_records_and_checks_their_length(spark, tmp_path, monkeypatch):
+    rows = [(1, "http://é/1", "é" * 900), (2, "u", "é" * 900), (3, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in queries.op3_warc_archive(spark, str(tmp_path)).collect()}
+    assert got == {i: (len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows}
+    heads = warc.read_headers
+    longer = F.regexp_replace("header", "Content-Length: ", "Content-Length: 1")
+    monkeypatch.setattr(warc, "read_headers", lambda *a: heads(*a).select("digest", longer.alias("header")).select(
+        "digest", "header", *[c.alias(n) for n, c in warc.fields(F.col("header")).items()]))
+    with pytest.raises(Exception, match="Content-Length"):
+        queries.op3_warc_archive(spark, str(tmp_path)).collect()
+
+
 def test_damaged_payload_is_an_error_and_nothing_is_an_empty_archive(spark, tmp_path):
     place = str(tmp_path / "bad")
     df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
