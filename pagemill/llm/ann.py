@@ -16,8 +16,9 @@ rows loses them as the table grows; a fixed share does not, at a cost that grows
 the sample grow with the table, so a query visits about as many, each with more vectors. Vectors of real models need a smaller share.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite components and vectors of another length than
-the most frequent (the smaller of two as frequent) take no part, nor do rows of null id. Of rows that share
-an id, the smallest vector counts. Ties go to the smaller id. With fewer candidates than ``k`` all that are found
+the most frequent (the smaller of two as frequent) take no part, nor do rows of null id. Rows that share an id
+and a vector count once. Different vectors of one id are each a candidate, so an id can come back twice, and a query id with
+several vectors has the ``k`` nearest pairs of them all; rows of its own id are never its answer. Ties go to the smaller id. With fewer candidates than ``k`` all that are found
 come back. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -136,7 +137,7 @@ def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0)
     )
-    rows = stored(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    rows = stored(rows.distinct(), "vectors")
     width = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     return rows.filter(F.size("v") == (width["width"] if width else 0))
 
@@ -145,10 +146,10 @@ def fit(vectors: DataFrame, settings: Settings) -> list[Tree]:
     """The forest of a sample: the ``sample_rows`` vectors of the smallest hashes."""
     spark = vectors.sparkSession
     share = min(1.0, settings.sample_rows / max(1, vectors.count()))
-    drawn = vectors.withColumn("h", F.xxhash64("class", F.lit(settings.seed)))
+    drawn = vectors.withColumn("h", F.xxhash64("v", F.lit(settings.seed)))
     # Few more than wanted pass the filter, so what tasks hand to the limit is of its size.
     drawn = drawn.filter(F.pmod("h", F.lit(1 << 40)) <= int(1.1 * share * (1 << 40)) + 1)
-    rows = drawn.orderBy("h", "class").limit(settings.sample_rows).select("v").collect()
+    rows = drawn.orderBy("h", "v").limit(settings.sample_rows).select("v").collect()
     if not rows:
         return []
     sample = spark.sparkContext.broadcast(np.array([r[0] for r in rows], dtype=np.float32))
@@ -178,8 +179,12 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     """
     spark = df.sparkSession
     points = clean(df, key, vector)
-    # Of equal vectors the k + 1 smallest ids can be answers.
-    classes = stored(points.groupBy("v").agg(F.min("id").alias("class")), "classes")
+    # Of equal vectors the k + 1 smallest ids can be answers. A class is a number: ids can be in several. The two smallest
+    # ids tell which one comes first for a query of any id; they are equal if there is one.
+    classes = points.groupBy("v").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "numbered")
+    second = points.join(classes.filter("least < most"), "v").filter(F.col("id") > F.col("least")).groupBy("class").agg(F.min("id").alias("second"))
+    classes = stored(classes.join(second, "class", "left").select("class", "v", "least", F.coalesce("second", "least").alias("second")), "classes")
     members = points.join(classes, "v").select("class", "id")
     forest = fit(classes, settings)
     empty = "query_id long, rank int, vec_id long, score double"
@@ -192,11 +197,11 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
             if len(batch):
                 vectors = np.stack(batch["v"].to_numpy()).astype(np.float64)
                 for t, tree in enumerate(shared.value):
-                    yield pd.DataFrame({"tree": t, "leaf": tree.leaves(vectors), "class": batch["class"], "v": batch["v"]})
+                    yield pd.DataFrame({"tree": t, "leaf": tree.leaves(vectors), **batch})
 
     kind = numbers(df, vector)
-    entry = f"tree int, leaf long, class long, v array<{kind}>"
-    index = classes.select("class", "v").mapInPandas(route, entry)
+    entry = f"tree int, leaf long, class long, least long, second long, v array<{kind}>"
+    index = classes.select("class", "least", "second", "v").mapInPandas(route, entry)
     index = stored(index, "forest")
     counts = index.groupBy("tree", "leaf").count().collect()  # at most n_trees * sample_rows rows
     sizes = [np.zeros(len(t.thresholds) + 1, dtype=np.int64) for t in forest]
@@ -209,15 +214,17 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for qid, v in zip(batch["query_id"], batch["qv"]):
-                out += [(qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v, dtype=np.float64), wanted)]
-            yield pd.DataFrame(out, columns=["query_id", "tree", "leaf", "qv"])
+            for asker, qid, v in zip(batch["asker"], batch["query_id"], batch["qv"]):
+                out += [(asker, qid, t, leaf, v) for t, leaf in walk(shared.value, shared_sizes.value, np.asarray(v, dtype=np.float64), wanted)]
+            yield pd.DataFrame(out, columns=["asker", "query_id", "tree", "leaf", "qv"])
 
     asked = points.join(queries.select(F.col(f"`{key}`").cast("long").alias("id")).distinct(), "id").select(
         F.col("id").alias("query_id"), F.col("v").alias("qv")
     )
-    asked = asked.repartition(max(spark.sparkContext.defaultParallelism, points.rdd.getNumPartitions()), "query_id")
-    visits = stored(asked.mapInPandas(visit, f"query_id long, tree int, leaf long, qv array<{kind}>"), "visits")
+    # One that asks is a vector of a query id.
+    asked = stored(asked.withColumn("asker", F.monotonically_increasing_id()), "asked")
+    asked = asked.repartition(max(spark.sparkContext.defaultParallelism, points.rdd.getNumPartitions()), "asker")
+    visits = stored(asked.mapInPandas(visit, f"asker long, query_id long, tree int, leaf long, qv array<{kind}>"), "visits")
     cells = index.groupBy("tree", "leaf").agg(F.count("*").alias("n")).join(
         visits.groupBy("tree", "leaf").agg(F.count("*").alias("m")), ["tree", "leaf"]
     ).withColumn("rows", F.ceil(F.col("n") / CELL_ROWS)).withColumn("columns", F.ceil(F.col("m") / CELL_VISITS))
@@ -227,27 +234,32 @@ def nearest(df: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: s
     # A row of the index is in one row of cells, a visit in one column; each is copied along the other side.
     left = index.join(cells, ["tree", "leaf"]).withColumn("r", F.pmod(F.xxhash64("class"), F.col("rows"))).withColumn(
         "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1))
-    ).select("tree", "leaf", "r", "c", "class", "v", group.alias("group"))
-    right = visits.join(cells, ["tree", "leaf"]).withColumn("c", F.pmod(F.xxhash64("query_id"), F.col("columns"))).withColumn(
+    ).select("tree", "leaf", "r", "c", "class", "least", "second", "v", group.alias("group"))
+    right = visits.join(cells, ["tree", "leaf"]).withColumn("c", F.pmod(F.xxhash64("asker"), F.col("columns"))).withColumn(
         "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
-    ).select("tree", "leaf", "r", "c", "query_id", "qv", group.alias("group"))
+    ).select("tree", "leaf", "r", "c", "asker", "query_id", "qv", group.alias("group"))
 
     def rerank(rows: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        keys, out = ["tree", "leaf", "r", "c"], [pd.DataFrame({"query_id": [], "class": [], "score": []})]
+        names = ["asker", "query_id", "class", "first", "score"]
+        keys, out = ["tree", "leaf", "r", "c"], [pd.DataFrame({name: [] for name in names})]
         if len(rows) and len(visitors):
             vectors, asked = (np.stack(x.to_numpy()).astype(np.float64) for x in (rows["v"], visitors["qv"]))
-            ids, query_ids, here = rows["class"].to_numpy(), visitors["query_id"].to_numpy(), rows.groupby(keys).indices
+            ids, least, second = (rows[name].to_numpy() for name in ("class", "least", "second"))
+            askers, query_ids, here = visitors["asker"].to_numpy(), visitors["query_id"].to_numpy(), rows.groupby(keys).indices
             for cell, who in visitors.groupby(keys).indices.items():
                 if cell in here:
-                    score = distances(vectors[here[cell]], asked[who])
-                    far = np.partition(score, min(k, score.shape[1] - 1), axis=1)[:, min(k, score.shape[1] - 1)]
-                    q, v = np.nonzero(score <= far[:, None])
-                    out.append(pd.DataFrame({"query_id": query_ids[who[q]], "class": ids[here[cell][v]], "score": score[q, v]}))
-        found = pd.concat(out).drop_duplicates(["query_id", "class"]).sort_values(["query_id", "score", "class"])
-        return found.groupby("query_id").head(k + 1).astype({"query_id": "int64", "class": "int64"})
-
-    found = left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(rerank, "query_id long, class long, score double")
-    best = _best(found.distinct(), ["score", "class"], k + 1)
+                    score, at = distances(vectors[here[cell]], asked[who]), here[cell]
+                    first = np.where(least[at] == query_ids[who][:, None], second[at], least[at])
+                    score[first == query_ids[who][:, None]] = np.inf  # a class of the query's id alone
+                    far = np.partition(score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+                    q, v = np.nonzero((score <= far[:, None]) & (first != query_ids[who][:, None]))
+                    out.append(pd.DataFrame(dict(zip(names, (askers[who[q]], query_ids[who[q]], ids[at[v]], first[q, v], score[q, v])))))
+        found = pd.concat(out[1:] or out).drop_duplicates(["asker", "class"]).sort_values(["query_id", "score", "first", "asker", "class"])
+        return found.groupby("query_id").head(k).astype({name: "int64" for name in names[:4]})
+
+    kinds = "asker long, query_id long, class long, first long, score double"
+    found = left.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(rerank, kinds)
+    best = _best(found.distinct(), ["score", "first", "asker", "class"], k)
     spread = best.join(_smallest(members, k + 1), "class").withColumn("vec_id", F.explode("ids")).filter("vec_id <> query_id")
     ranked = _best(spread.select("query_id", "vec_id", "score"), ["score", "vec_id"], k)
     return ranked.select("query_id", F.col("n").alias("rank"), "vec_id", "score")

@@ -37,6 +37,21 @@ def test_neighbours_match_brute_force_and_odd_vectors_take_no_part(spark):
     assert [x[1] for x in sorted(got[1000])] == list(range(1001, 1011))
 
 
+def test_neighbours_of_ids_with_several_vectors_are_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, [float(x) for x in rng.normal(size=4).astype(np.float32)], 0, "") for i in range(240)]
+    rows += [(0, [1.0] * 4, 0, ""), (7, [1.0] * 4, 0, ""), (7, [1.0] * 4, 0, ""), (0, [1.0, 1.0, 1.0, 2.0], 0, "")]
+    df = spark.createDataFrame(rows, VECTORS)
+    settings = ann.Settings(n_trees=4, leaf_rows=16, sample_rows=200, search_rows=10_000)
+    found = sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=10, settings=settings).collect())
+    different = {(i, tuple(v)) for i, v, _, _ in rows}
+    for q in (0, 20, 40):
+        pairs = sorted((math.dist(v, w), p) for i, v in different if i == q for p, w in different if p != q)[:10]
+        got = [r for r in found if r[0] == q]
+        assert [r[1:3] for r in got] == [(n, p) for n, (_, p) in enumerate(pairs, 1)]
+        assert [r[3] for r in got] == pytest.approx([d for d, _ in pairs], abs=1e-12)
+
+
 def test_neighbours_recall_when_few_leaves_are_read(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16))
