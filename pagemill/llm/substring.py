@@ -189,7 +189,7 @@ def smallest_documents(contents: list[bytes], owners: np.ndarray, width: int = W
     inside = np.ones(len(sequence), dtype=bool)
     inside[starts[1:] - 1] = False
     sequence[inside] = numbers + 1
-    index = FMIndex(sequence)
+    index = FMIndex(sequence, depth=max(16, width))
     windows = sizes - width + 1
     shift = np.concatenate([[0], np.cumsum(windows)])
     ends = np.repeat(starts[:-1] - shift[:-1], windows) + np.arange(shift[-1]) + width - 1

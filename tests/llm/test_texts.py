@@ -293,3 +293,18 @@ def test_index_counts_match_a_scan():
         assert n == 0 or b - a == seen(n)
 
 
+def test_smallest_documents_of_windows_above_sixteen_words():
+    rng, width = np.random.default_rng(9), 40
+    base = np.tile(rng.integers(0, 2, 7), 12)
+    words = [base.copy() for _ in range(12)]
+    for w in words:
+        w[rng.integers(0, len(w), 2)] ^= 1
+    owners = rng.permutation(12).astype(np.int64)
+    found = substring.smallest_documents([w.astype("<i8").tobytes() for w in words], owners, width)
+    least = {}
+    for w, o in zip(words, owners):
+        for i in range(len(w) - width + 1):
+            k = w[i:i + width].tobytes()
+            least[k] = min(least.get(k, o), o)
+    for w, got in zip(words, found):
+        assert list(got) == [least[w[i:i + width].tobytes()] for i in range(len(w) - width + 1)]
