@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import ann, chat, mixing, packing, pii, quality, simhash, substring, toxicity, warc
+from pagemill.llm import ann, centroids, chat, codes, digests, mixing, packing, pii, quality, simhash, substring, toxicity, warc
 from pagemill.llm.common import stored, table
 from pagemill.session import work_path
 
@@ -118,6 +118,23 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after three rounds of 16 centroids."""
+    return centroids.clustered(table(spark, folder, "embeddings"), k=16, rounds=3, scale=64, width=64).drop("compared")
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of equal texts stays, by an index of digests that documents reach in two batches."""
+    found = digests.deduplicated(table(spark, folder, "documents"), work_path(spark, "index"), batches=2)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen-part code and error of every vector, with 64 entries a part trained in two rounds."""
+    made, books = codes.coded(table(spark, folder, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    return codes.with_label_errors(made).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -129,9 +146,84 @@ QUERIES = {
     "op8_vector_best_fit": op8_vector_best_fit,
     "op9_source_mix": op9_source_mix,
     "op10_personal_data": op10_personal_data,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Rounds of assignment and floored means, one after the other."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} as (
+            select r, vec_id, v, c, d from (
+                select r, vec_id, kept.v, c, list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{n}.v[i]) * (kept.v[i] - c{n}.v[i])))::bigint as d
+                from kept, c{n}
+            ) qualify row_number() over (partition by r order by d, c) = 1
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        m{n} as (
+            select c, list(m order by i) as v from (
+                select c, i, floor(sum(v[i])::double / count(*))::bigint as m from a{n}, (select unnest(range(1, 65)) as i) group by c, i
+            ) group by c
+        ),
+        c{n + 1} as (select c{n}.c, coalesce(m{n}.v, c{n}.v) as v from c{n} left join m{n} using (c))""")
+    return f"""
+        with kept as (
+            select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+            where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        ),
+        c0 as (
+            select (row_number() over (order by sha256('1:' || vec_id::varchar), v) - 1)::int as c, v from kept
+            qualify c < {k}
+        ),{",".join(steps)},
+        sums as (select c, sum(d)::bigint as n from a{rounds} group by c)
+        select vec_id, a.c as cluster, d as distance, n as cluster_inertia, (select sum(d) from a{rounds})::bigint as inertia,
+               sha256(array_to_string(f.v, ',')) as centroid_sha256
+        from a{rounds} a join sums using (c) join c{rounds} f using (c)
+    """
+
+
+def _codes_sql(entries: int, rounds: int) -> str:
+    """Rounds over the parts of every vector; ``q`` is the part, ``e`` the entry."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} as (
+            select r, q, v, e, d from (
+                select r, p.q, p.v, e, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b{n}.v[i]) * (p.v[i] - b{n}.v[i])))::bigint as d
+                from parts p join b{n} on p.q = b{n}.q
+            ) qualify row_number() over (partition by r, q order by d, e) = 1
+        )""")
+        if n < rounds:
+            steps.append(f"""
+        m{n} as (
+            select q, e, list(m order by i) as v from (
+                select q, e, i, floor(sum(v[i])::double / count(*))::bigint as m
+                from (select q, e, v, unnest(range(1, len(v) + 1)) as i from a{n}) group by q, e, i
+            ) group by q, e
+        ),
+        b{n + 1} as (select b{n}.q, b{n}.e, coalesce(m{n}.v, b{n}.v) as v from b{n} left join m{n} using (q, e))""")
+    return f"""
+        with kept as (
+            select row_number() over (order by vec_id, embedding) as r, vec_id, label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        ),
+        parts as (select r, q, v[1 + q * (len(v) // 16):(q + 1) * (len(v) // 16)] as v from kept, (select unnest(range(16)) as q)),
+        b0 as (select q, (r - 1)::int as e, v from parts where r <= {entries}),{",".join(steps)},
+        coded as (
+            select r, string_agg(lpad(to_hex(e), 2, '0'), '' order by q) as code, sum(d)::bigint as error from a{rounds} group by r
+        ),
+        books as (select sha256(string_agg(array_to_string(v, ','), ',' order by q, e)) as codebooks_sha256 from b{rounds})
+        select vec_id, lower(code) as code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256
+        from kept join coded using (r), books
+    """
+
+
 def _escaped_sql(text: str) -> str:
     """SQL of a text with doubled backslashes and every control string broken after its first character."""
     out = f"replace({text}, '\\', '\\\\')"
@@ -196,6 +288,14 @@ ORACLES: dict[str, str] = {
         select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
         from split left join kept using (doc_id)
     """,
+    "op11_centroid_clusters": _clusters_sql(16, 3),
+    "op12_exact_dedup": r"""
+        with texts as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
+        select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+               doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+        from texts
+    """,
+    "op13_vector_codes": _codes_sql(64, 2),
     "op9_source_mix": r"""
         with sized as (
             select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
