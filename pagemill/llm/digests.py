@@ -28,6 +28,8 @@ from pagemill.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 HOT_GROUPS = 4096
+#: Rows that a bucket is meant for, some 50 bytes each, and the fewest buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 4
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch BIGINT"
 #: While a batch is written: only its own folder is replaced, by files that were complete before; and a table of sorted
 #: single files per bucket is read as sorted, which Spark leaves out by default.
@@ -57,7 +59,7 @@ class DigestIndex:
         )
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, buckets: int = 64) -> DigestIndex:
+    def create(cls, spark: SparkSession, path: str, buckets: int) -> DigestIndex:
         """A new, empty index below ``path``, which must not have one."""
         spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/layout")
         return cls(spark, path, buckets)
@@ -123,15 +125,15 @@ def verdicts(rows: DataFrame, index: DigestIndex) -> DataFrame:
     return held.select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "digest")
 
 
-def deduplicated(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", batches: int = 2, buckets: int = 64) -> DataFrame:
+def deduplicated(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", batches: int = 2, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``doc_id``, ``keep_id``, ``group_size``, ``kept`` and ``digest`` of every row of ``df``; the index stays at ``path``.
 
     Rows arrive in ``batches`` by rising id, each against the index that the earlier ones left.
     """
     rows = keyed(df, key, text)
-    cuts = rows.agg(F.percentile_approx("id", [n / batches for n in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(cuts or []))
-    index = DigestIndex.create(df.sparkSession, path, buckets)
+    n, cuts = rows.agg(F.count("*"), F.percentile_approx("id", [n / batches for n in range(1, batches)] or [0.5], 1000)).first()
+    cuts = sorted(set(cuts or [])) if batches > 1 else []
+    index = DigestIndex.create(df.sparkSession, path, max(LEAST_BUCKETS, -(-n // bucket_rows)))
     for batch in range(len(cuts) + 1):
         part = rows
         if batch > 0:

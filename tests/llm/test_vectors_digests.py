@@ -174,7 +174,7 @@ def test_dedup_matches_brute_force(spark, batches):
     rows = [(i, SPACES[i % len(SPACES)]) for i in range(40)] + [(i, f"text {i % 70}") for i in range(100, 400)]
     rows += [(3, SPACES[3]), (3, SPACES[3]), (None, "only here"), (None, "only here"), (None, "a b")]
     df = spark.createDataFrame([(i, t, "d", 1, "i") for i, t in rows], DOCS)
-    got = digests.deduplicated(df, work_path(spark, "index"), batches=batches, buckets=3).collect()
+    got = digests.deduplicated(df, work_path(spark, "index"), batches=batches, bucket_rows=50).collect()
     want = brute_groups(rows)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _ in rows)
     kept = {}
