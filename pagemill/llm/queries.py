@@ -234,21 +234,6 @@ def _escaped_sql(text: str) -> str:
 
 #: DuckDB statements for those that SQL can express.
 ORACLES: dict[str, str] = {
-    # Exact search: on a table of fewer vectors than the search takes from the leaves, the forest's answer is this one.
-    "op1_nearest_neighbours": """
-        with points as (
-            select vec_id, embedding::double[] as v from embeddings
-            where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
-              and list_bool_or(list_transform(embedding, lambda x: x <> 0))
-        ),
-        pairs as (
-            select q.vec_id as query_id, p.vec_id,
-                   sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (p.v[i] - q.v[i]) * (p.v[i] - q.v[i])), lambda a, b: a + b)) as score
-            from points q join points p on q.vec_id <> p.vec_id where q.vec_id % 100 = 0
-        ),
-        ranked as (select *, row_number() over (partition by query_id order by score, vec_id)::int as rank from pairs)
-        select query_id, rank, vec_id, score from ranked where rank <= 10
-    """,
     "op3_warc_archive": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         k as (select *, strlen(body) as payload_bytes, max(page_id) over (partition by body) as last from p)

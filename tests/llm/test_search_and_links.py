@@ -24,7 +24,7 @@ def test_neighbours_match_brute_force_and_odd_vectors_take_no_part(spark):
     df = spark.createDataFrame(rows + odd + rows[:3], VECTORS)
     asked = df.filter((F.col("vec_id") % 100 == 0))
     got = {}
-    for r in ann.nearest(df, asked, k=10, settings=ann.Settings(n_trees=4, leaf_rows=16, sample_rows=200, search_rows=10_000)).collect():
+    for r in ann.nearest(df, asked, k=10, settings=ann.Settings(n_trees=4, leaf_rows=16, sample_rows=200, search_factor=1e4)).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     points = {i: np.array(v, dtype=np.float32).astype(float) for i, v, _, _ in rows}
     assert set(got) == {0, 100, 200, 1000}
@@ -42,7 +42,7 @@ def test_neighbours_of_ids_with_several_vectors_are_all_pairs(spark):
     rows = [(i % 60, [float(x) for x in rng.normal(size=4).astype(np.float32)], 0, "") for i in range(240)]
     rows += [(0, [1.0] * 4, 0, ""), (7, [1.0] * 4, 0, ""), (7, [1.0] * 4, 0, ""), (0, [1.0, 1.0, 1.0, 2.0], 0, "")]
     df = spark.createDataFrame(rows, VECTORS)
-    settings = ann.Settings(n_trees=4, leaf_rows=16, sample_rows=200, search_rows=10_000)
+    settings = ann.Settings(n_trees=4, leaf_rows=16, sample_rows=200, search_factor=1e4)
     found = sorted(tuple(r) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=10, settings=settings).collect())
     different = {(i, tuple(v)) for i, v, _, _ in rows}
     for q in (0, 20, 40):
@@ -57,7 +57,7 @@ def test_neighbours_recall_when_few_leaves_are_read(spark):
     centres = rng.normal(size=(40, 16))
     points = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
     df = spark.createDataFrame([(i, [float(x) for x in p], 0, "") for i, p in enumerate(points.astype(np.float32))], VECTORS)
-    settings = ann.Settings(n_trees=8, leaf_rows=32, sample_rows=1500, search_rows=700)
+    settings = ann.Settings(n_trees=8, leaf_rows=32, sample_rows=1500, search_factor=0.92)
     found = ann.nearest(df, df.filter("vec_id % 100 = 0"), k=10, settings=settings).collect()
     p32, hit = points.astype(np.float32).astype(float), 0
     for q in range(0, 4000, 100):
@@ -66,18 +66,49 @@ def test_neighbours_recall_when_few_leaves_are_read(spark):
     assert hit >= 0.9 * 10 * 40
 
 
-@pytest.mark.parametrize("n", [1500, 6000])
-def test_neighbours_recall_of_vectors_without_structure_holds_as_the_table_grows(spark, n):
+def recall(df, points, asked, settings):
+    found = {}
+    for r in ann.nearest(df, df.filter(F.col("vec_id").isin(asked)), k=10, settings=settings).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    wide = points.astype(float)
+    order = {q: np.argsort(((wide - wide[q]) ** 2).sum(1), kind="stable")[:11] for q in asked}
+    return sum(len(found[q] & ({int(i) for i in order[q]} - {q})) for q in asked) / (10 * len(asked))
+
+
+@pytest.mark.parametrize("n,settings", [
+    (500, ann.Settings()), (1500, ann.Settings()), (6000, ann.Settings()), (20_000, ann.Settings()), (20_000, ann.Settings(sample_rows=4000)),
+])
+def test_neighbours_recall_of_vectors_without_structure_holds_at_every_size(spark, n, settings):
     points = np.random.default_rng(6).normal(size=(n, 64))
     points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
-    df = spark.createDataFrame([(i, [float(x) for x in p], 0, "") for i, p in enumerate(points)], VECTORS)
-    settings = ann.Settings(leaf_rows=8, sample_rows=1500, search_rows=700)
-    found = ann.nearest(df, df.filter(f"vec_id % {n // 30} = 0"), k=10, settings=settings).collect()
-    hit, wide = 0, points.astype(float)
-    for q in range(0, n, n // 30):
-        order = np.argsort(((wide - wide[q]) ** 2).sum(1), kind="stable")[:11]
-        hit += len({r.vec_id for r in found if r.query_id == q} & ({int(i) for i in order} - {q}))
-    assert hit >= 0.8 * 10 * 30  # tables this small are harder than large ones; a fixed number of rows finds 0.47 of 6,000
+    df = spark.createDataFrame([(i, [float(x) for x in p], 0, "") for i, p in enumerate(points)], VECTORS).repartition(4)
+    asked = list(range(0, n, n // 60))
+    assert recall(df, points, asked, settings) >= 0.9
+
+
+def test_neighbours_recall_of_the_given_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    points = np.array([r[1] for r in df.orderBy("vec_id").collect()], dtype=np.float32)
+    assert recall(df, points, list(range(0, 2000, 50)), ann.Settings()) >= 0.9
+
+
+@pytest.mark.parametrize("rows,visits", [(1, 1), (5000, 1), (3, 5000), (9000, 3000), (40, 0)])
+def test_every_vector_meets_every_visitor_of_its_leaf_once(rows, visits):
+    sizes, visitors = np.array([7, rows, 5]), np.array([2, visits, 0])
+    cells = ann.Cells(sizes, visitors)
+    at, cell, group = cells.deal(np.full(rows, 1), np.arange(rows), True)
+    at_v, cell_v, group_v = cells.deal(np.full(visits, 1), np.arange(visits), False)
+    here = {}
+    for c, row in zip(cell.tolist(), at.tolist()):
+        here.setdefault(c, set()).add(row)
+    met = {}
+    for c, asker in zip(cell_v.tolist(), at_v.tolist()):
+        met.setdefault(asker, []).append(here[c])
+    assert len(met) == visits and all(sum(map(len, sets)) == rows == len(set().union(*sets)) for sets in list(met.values())[:20])
+    groups = dict(zip(cell.tolist(), group.tolist()))
+    assert all(groups[c] == g for c, g in zip(cell_v.tolist(), group_v.tolist()))
+    assert max(np.bincount(cell), default=0) <= ann.CELL_ROWS and max(np.bincount(cell_v), default=0) <= ann.CELL_VISITS if visits else not len(cell)
+    assert not len(cells.deal(np.full(5, 2), np.arange(5), True)[0])  # a leaf that nobody visits sends nothing
 
 
 def test_neighbours_of_nothing(spark):
