@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.functions.text import STOP_WORDS, VOWELS
+# Stated here once more, apart from the lists of the code under test: letters that are vowels, and English stop words.
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
+STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below between both but
+by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his
+how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out
+over own s same she should so some such t than that the their theirs them themselves then there these they this those through to
+too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves""".split()
 
 WS = r"E' \n\t\r'"
 TS = "timestamp '2024-06-01'"
@@ -85,6 +91,18 @@ def hrefs(x: str) -> str:
     return f"list_transform({found}, lambda h: {dec('h')})"
 
 
+def unnested(source: str, x: str, tags: list[str], mark: str) -> str:
+    """``page_id`` and ``h``: the html without elements, by running levels of each name over its tags and texts."""
+    names = "|".join(tags)
+    level = " + ".join(rf"""(sum(case when regexp_matches(tok, '(?i)^<{t}[\s>]') then 1
+      when regexp_matches(tok, '(?i)^</{t}[\s>]') then -1 else 0 end) over w)""" for t in tags)
+    return rf"""select page_id, string_agg(case when hidden then '' when own then {mark} else tok end, '' order by pos) as h from (
+      select *, {level} > 0 as hidden, regexp_matches(tok, '(?i)^</?({names})[\s>]') as own from (
+        select page_id, unnest(ts) as tok, unnest(range(len(ts))) as pos from (
+          select page_id, regexp_extract_all({x}, '(?is)</?(?:{names})(?:\s[^>]*)?>|[^<]+|<') as ts from {source}))
+      window w as (partition by page_id order by pos)) group by page_id"""
+
+
 EXT = r"\.(pdf|jpg|png|gif|css|js|zip|mp4|mp3)$"
 
 PG = f"pg as (select page_id, url as raw_url, html, {norm('url')} as url from pages)"
@@ -104,16 +122,17 @@ GRAPH = f"""{LINKS},
 STUB_DOMAIN = "split_part(split_part(url, '//', 2), '/', 1)"
 
 
-def pagerank(nodes: str, edges: str) -> str:
-    """CTEs r0 ... r20 over nodes(id) and edges(source_id, target_id)."""
+def pagerank(nodes: str, edges: str, shared: bool = False) -> str:
+    """CTEs r0 ... r20 over nodes(id) and edges(source_id, target_id); ``shared``: all nodes get the score of those without links."""
     out = f"""deg as materialized (select source_id, count(*) as k from {edges} group by 1),
       nn as (select count(*)::double as n from {nodes}),
       r0 as materialized (select id, 1.0 / (select n from nn) as score from {nodes})"""
+    extra = " + (select sum(score) from r{0} where id not in (select source_id from deg)) / (select n from nn)" if shared else ""
     for i in range(1, ROUNDS + 1):
         out += f""",
       i{i} as materialized (select e.target_id, sum(r.score / d.k) as v from {edges} e
         join r{i - 1} r on r.id = e.source_id join deg d on d.source_id = e.source_id group by 1),
-      r{i} as materialized (select n.id, 0.15 / (select n from nn) + 0.85 * coalesce(i.v, 0) as score
+      r{i} as materialized (select n.id, 0.15 / (select n from nn) + 0.85 * (coalesce(i.v, 0){extra.format(i - 1)}) as score
         from {nodes} n left join i{i} i on i.target_id = n.id)"""
     return out
 
@@ -183,7 +202,7 @@ QUERY = f"""bw as (select item_id, regexp_extract_all(text, {WORDS}) as w from b
   slots as (select qid, word, (row_number() over (partition by qid order by p) - 1)::int as slot from qw),
   vocab as (select distinct term from post),
   near as materialized (select word, term, typos from (
-      select word, term, levenshtein(replace(word, 'ß', '~'), replace(term, 'ß', '~')) as typos,
+      select word, term, damerau_levenshtein(replace(word, 'ß', '~'), replace(term, 'ß', '~')) as typos,
         case when length(word) >= 9 then 2 when length(word) >= 5 then 1 else 0 end as budget
       from (select distinct word from slots) join vocab on abs(length(term) - length(word)) <= 2) where typos <= budget)"""
 
@@ -230,9 +249,47 @@ SNIPPETS = rf"""{RANKED},
   rs as (select qid, place, url, title, coalesce(nullif(crop, ''), meta_description) as snippet, meta_description, rank_score
     from sn)"""
 
-STEM_1A = """case when word like '%sses' then regexp_replace(word, 'sses$', 'ss')
-  when word like '%ies' then regexp_replace(word, 'ies$', 'i')
-  when regexp_matches(word, '[^s]s$') then regexp_replace(word, 's$', '') else word end"""
+# The Porter stemmer once more, stated step by step over distinct words.
+M1, M2 = "'^[^aeiouy]*[aeiouy]+[^aeiouy]'", "'^[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]'"
+CVC = "'[^aeiouy][aeiouy][^aeiouywxY]$'"
+PORTER_2 = (
+    "ational:ate ization:ize iveness:ive fulness:ful ousness:ous tional:tion biliti:ble entli:ent ousli:ous ation:ate "
+    "alism:al aliti:al iviti:ive enci:ence anci:ance izer:ize alli:al ator:ate logi:log bli:ble eli:e"
+)
+PORTER_3 = "icate:ic ative: alize:al iciti:ic ical:ic ness: ful:"
+PORTER_4 = "ement: ance: ence: able: ible: ment: ant: ent: ism: ate: iti: ous: ive: ize: ion: al: er: ic: ou:"
+
+
+def ending_step(x: str, pairs: str, measure: str) -> str:
+    out = ""
+    for ending, new in (pair.split(":") for pair in pairs.split()):
+        rest = f"substr({x}, 1, length({x}) - {len(ending)})"
+        extra = f" and regexp_matches({rest}, '[st]$')" if ending == "ion" else ""
+        out += f" when ends_with({x}, '{ending}') then case when regexp_matches({rest}, {measure}){extra} then {rest} || '{new}' else {x} end"
+    return f"case{out} else {x} end"
+
+
+def stems(source: str) -> str:
+    """CTEs that end in ``stem_of(word, term)`` for the words of ``source``."""
+    less = lambda n: f"substr(s, 1, length(s) - {n})"
+    return f"""q0 as (select distinct word, regexp_replace(word, '(^|[aeiouy])y', '\\1Y', 'g') as s from {source}),
+    q1 as (select word, case when ends_with(s, 'sses') or ends_with(s, 'ies') then {less(2)} when ends_with(s, 'ss') then s
+      when ends_with(s, 's') then {less(1)} else s end as s from q0),
+    q2 as (select word, s, case when ends_with(s, 'eed') then null when ends_with(s, 'ed') then {less(2)}
+      when ends_with(s, 'ing') then {less(3)} end as c from q1),
+    q3 as (select word, case when ends_with(s, 'eed') then case when regexp_matches({less(3)}, {M1}) then {less(1)} else s end
+      when c is null or not regexp_matches(c, '[aeiouy]') then s when regexp_matches(c, '(at|bl|iz)$') then c || 'e'
+      when length(c) > 1 and c[-1] = c[-2] and not regexp_matches(c, '[aeiouylsz]$') then substr(c, 1, length(c) - 1)
+      when regexp_matches(c, {CVC}) and regexp_matches(c, {M1}) and not regexp_matches(c, {M2}) then c || 'e' else c end as s from q2),
+    q4 as (select word, case when lower(s[-1]) = 'y' and regexp_matches({less(1)}, '[aeiouy]') then {less(1)} || 'i' else s end as s from q3),
+    q5 as (select word, {ending_step('s', PORTER_2, M1)} as s from q4),
+    q6 as (select word, {ending_step('s', PORTER_3, M1)} as s from q5),
+    q7 as (select word, {ending_step('s', PORTER_4, M2)} as s from q6),
+    q8 as (select word, case when s[-1] = 'e' and (regexp_matches({less(1)}, {M2}) or (regexp_matches({less(1)}, {M1})
+      and not regexp_matches({less(1)}, {CVC}))) then {less(1)} else s end as s from q7),
+    stem_of as (select word, case when length(word) <= 2 then word when ends_with(s, 'll') and regexp_matches(s, {M2})
+      then lower({less(1)}) else lower(s) end as term from q8)"""
+
 
 LOG = """fl as (select event_id, 'http://site' || (user_id % 20) || '.example/' || user_id as url,
     'site' || (user_id % 20) || '.example' as domain,
@@ -261,6 +318,14 @@ def identify(source: str, key: str) -> str:
   select {key}, coalesce(lang, 'unknown') as language from src left join best using ({key})"""
 
 
+SWAPS = r"""sw as (select distinct substr(w, 1, h - 1) || substr(w, h + 1, 1) || substr(w, h, 1) || substr(w, h + 2) as word from (
+      select w, (length(w) // 2)::int as h from (select distinct strip_accents(lower(word)) as w from bw, unnest(bw.w) as u(word)) where length(w) >= 5)),
+    swap_vocab as (select distinct term from post),
+    swapped as (select word, term, typos from (select word, term,
+        damerau_levenshtein(replace(word, 'ß', '~'), replace(term, 'ß', '~')) as typos,
+        case when length(word) >= 9 then 2 when length(word) >= 5 then 1 else 0 end as budget
+      from sw join swap_vocab on abs(length(term) - length(word)) <= 2) where typos <= budget)"""
+
 ORACLES = {
     "url_normalize": f"select page_id, url, {norm('url')} as norm_url from pages",
     "url_domain": f"""with {PG} select page_id, {host('url')} as domain, {STUB_DOMAIN} as stub_domain,
@@ -290,6 +355,15 @@ ORACLES = {
         length({visible("regexp_extract(html, '(?is)^.*?</head>')", ['script', 'style', 'noscript'])}) < 100
           as head_needs_render from pages""",
     "page_main_text": f"select page_id, {main_text('html')} as main_text from pages",
+    "page_nested": f"""with planted as (select page_id, repeat('<NAV class="m">in<a href="/in">i</a>', (page_id % 4 + 1)::int)
+            || '<header>h<header id=x>hh</header>LEAK</header>'
+            || repeat('</nav> LEAK <a href="/leak">l</a><p>A leaked line that is long enough to be a block of its own.</p>', (page_id % 4)::int)
+            || '</nav>' || html || '<aside>a<aside>b</aside>LEAK<a href="/leak">x</a></aside> end' as html from pages),
+        coded as (select page_id, {cut('html', ['script', 'style'], 'chr(1)')} as html from planted),
+        body as ({unnested('coded', 'html', BODY[2:], 'chr(1)')}),
+        idx as ({unnested('coded', 'html', INDEX[2:], 'chr(2)')})
+      select page_id, {visible('body.h', [])} as whole_text, array_to_string({hrefs('body.h')}, ' ') as links,
+        {main_text('idx.h')} as main_text from body join idx using (page_id)""",
     "raw_html_join": f"""with {DP} select page_id, 'raw_html/' || sha256(url) || '.html' as raw_html_path,
         sha256(html) as html_hash from dp""",
     "page_links_raw": f"""select page_id, unnest(range(len(h)))::int as link, unnest(h) as href
@@ -307,6 +381,8 @@ ORACLES = {
     "pagerank_pages": f"""with {GRAPH}, nodes as (select id from everyone), {pagerank('nodes', 'ed')}
       select url, round(score, 9) as score from everyone join r{ROUNDS} using (id)""",
     "pagerank_parts": f"with {PARTS}, {pagerank('nodes', 'ed')} select id, round(score, 9) as score from r{ROUNDS}",
+    "pagerank_redistributed": f"""with {PARTS}, fewer as materialized (select * from ed where source_id % 10 <> 0),
+        {pagerank('nodes', 'fewer', shared=True)} select id, round(score, 9) as score from r{ROUNDS}""",
     "bfs_frontier": f"""with recursive {PARTS}, walk as (select min(id) as id, 0 as depth from nodes
         union select target_id, depth + 1 from walk join ed on source_id = id where depth < 3)
       select id, min(depth)::int as depth from walk group by 1""",
@@ -360,15 +436,11 @@ ORACLES = {
       select url, round({ease('body')}, 6) as reading_ease, true as indexed, length(body) as body_chars,
         sha256(body) as body_hash from n""",
     "term_postings": f"""with {DOCS}, t as (select id, {tokens("lower(title || ' ' || body_text)")} from doc),
-        s as (select id, pos, {STEM_1A} as a from t where word not in ({', '.join(f"'{w}'" for w in STOP_WORDS)})),
-        c as (select id, pos, a, regexp_matches(a, '^(.*[aeiouy].*)(ed|ing)$') and a not like '%eed' as past,
-          regexp_replace(a, '^(.*[aeiouy].*)(ed|ing)$', '\\1') as c from s),
-        e as (select id, pos, case when not past then a when regexp_matches(c, '(at|bl|iz)$') then c || 'e'
-          when regexp_matches(c, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then substr(c, 1, length(c) - 1) else c end as b from c)
-      select id as doc_id, regexp_replace(b, '^(.*[aeiouy].*)y$', '\\1i') as term,
-        string_agg(pos::varchar, ' ' order by pos) as positions from e group by 1, 2""",
+        kept as (select * from t where word not in ({', '.join(f"'{w}'" for w in STOP_WORDS)})), {stems('kept')}
+      select id as doc_id, term, string_agg(pos::varchar, ' ' order by pos) as positions from kept join stem_of using (word) group by 1, 2""",
     "search_postings": f"with {DOCS}, {POSTINGS} select term, id, field, pos::int as pos from post",
     "search_typo": f"with {DOCS}, {POSTINGS}, {QUERY} select word, term, typos::int as typos from near",
+    "search_swaps": f"""with {DOCS}, {POSTINGS}, {QUERY}, {SWAPS} select word, term, typos::int as typos from swapped""",
     "search_ranked": f"""with {RANKED} select qid, place, id, url, domain, language, words, typos::bigint as typos,
         proximity::bigint as proximity, attribute, exact, rank_score from rk""",
     "search_facets": f"""with {MATCHES} select qid, 'domain' as facet, domain as value, count(*) as n from mt group by 1, 3

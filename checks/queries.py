@@ -138,6 +138,21 @@ def page_main_text(spark, folder):
     return load(spark, folder, "pages").select("page_id", html.main_text(F.col("html")).alias("main_text"))
 
 
+def page_nested(spark, folder):
+    """Text, links and main text of the pages with blocks in blocks of the same name planted before and after them."""
+    deep = (F.col("page_id") % 4).cast("int")
+    plant = F.concat(
+        F.repeat(F.lit('<NAV class="m">in<a href="/in">i</a>'), deep + 1), F.lit("<header>h<header id=x>hh</header>LEAK</header>"),
+        F.repeat(F.lit('</nav> LEAK <a href="/leak">l</a><p>A leaked line that is long enough to be a block of its own.</p>'), deep),
+        F.lit("</nav>"), F.col("html"), F.lit('<aside>a<aside>b</aside>LEAK<a href="/leak">x</a></aside> end'),
+    )
+    planted = load(spark, folder, "pages").select("page_id", plant.alias("html"))
+    return planted.select(
+        "page_id", html.visible_text(F.col("html")).alias("whole_text"), F.array_join(html.hrefs(F.col("html")), " ").alias("links"),
+        html.main_text(F.col("html")).alias("main_text"),
+    )
+
+
 def raw_html_join(spark, folder):
     """Stored objects read back by the path of their page."""
     fetched = corpus.distinct_pages(load(spark, folder, "pages"), "page_id")
@@ -236,6 +251,13 @@ def pagerank_parts(spark, folder):
     return graph.pagerank(nodes, edges).select("id", F.round("score", 9).alias("score"))
 
 
+def pagerank_redistributed(spark, folder):
+    """The part graph without the links of every tenth part, whose score all parts share."""
+    nodes, edges = _part_graph(spark, folder)
+    ranks = graph.pagerank(nodes, edges.filter("source_id % 10 <> 0"), dangling="redistribute")
+    return ranks.select("id", F.round("score", 9).alias("score"))
+
+
 def bfs_frontier(spark, folder):
     """Parts within three steps of the smallest part number."""
     nodes, edges = _part_graph(spark, folder)
@@ -279,11 +301,8 @@ def _flagship(spark, folder) -> DataFrame:
     raw = load(spark, folder, "pages")
     empty = spark.createDataFrame([], schemas.PAGES)
     crawled = F.when(F.col("seq") % 7 != 0, days_before(F.col("seq") % 500))
-    pages, edges = corpus.load_corpus(empty, raw, crawled, skip=WHOLE_PAGE)
-    fetched = corpus.distinct_pages(raw, "page_id")
-    ease = fetched.select("url", text.reading_ease(html.main_text(F.col("html"))).alias("readability_score"))
-    by_id = pages.select("id", "url").join(ease, "url").drop("url")
-    ranked = ranking.rank_cycle(page_table.set_columns_by_id(pages, by_id, ["readability_score"]), edges, as_of())
+    pages, edges = corpus.load_corpus(empty, raw, crawled, skip=WHOLE_PAGE, readable=True)
+    ranked = ranking.rank_cycle(pages, edges, as_of())
     return _stored(spark, ranked, "page-table", schemas.PAGES)
 
 
@@ -494,6 +513,16 @@ def search_typo(spark, folder):
     return search.match_terms(cut_lineage(words), cut_lineage(vocabulary))
 
 
+def search_swaps(spark, folder):
+    """Every longer word of the benchmark with its two middle letters swapped, and what answers it."""
+    found = load(spark, folder, "benchmark").select(F.explode(text.words(text.fold(F.col("text")))).alias("w")).filter("length(w) >= 5")
+    half = F.floor(F.length("w") / 2).cast("int")
+    part = lambda start, size: F.substr("w", start, size)
+    swapped = F.concat(part(F.lit(1), half - 1), part(half + 1, F.lit(1)), part(half, F.lit(1)), F.substr("w", half + 2))
+    vocabulary = indexing.postings(_search_documents(spark, folder)).select("term").distinct()
+    return search.match_terms(cut_lineage(found.select(swapped.alias("word")).distinct()), cut_lineage(vocabulary))
+
+
 def search_ranked(spark, folder):
     _, queries, postings, answers, matches = _search(spark, folder)
     return search.rank(queries, answers, matches, postings)
@@ -721,12 +750,12 @@ def stream_index_sync(spark, folder):
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     url_normalize, url_domain, url_valid, url_key, href_resolve,
-    page_title, page_meta, page_text, page_insufficient, page_main_text, raw_html_join,
+    page_title, page_meta, page_text, page_insufficient, page_main_text, page_nested, raw_html_join,
     page_links_raw, page_links_valid, page_links_content, link_stubs, link_edges, edge_cascade,
-    out_degree, pagerank_pages, pagerank_parts, bfs_frontier, frontier_pop, frontier_merge, visited_update,
+    out_degree, pagerank_pages, pagerank_parts, pagerank_redistributed, bfs_frontier, frontier_pop, frontier_merge, visited_update,
     composite_score, top_pages, readability, language_id, page_language, corpus_language,
     page_upsert, soft_delete, index_pending, index_queue_depth, index_cleanup, index_documents, index_cycle,
-    term_postings, search_postings, search_typo, search_ranked, search_facets, search_facet_maps,
+    term_postings, search_postings, search_typo, search_swaps, search_ranked, search_facets, search_facet_maps,
     search_snippets, search_display,
     robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state, retry_effects,
     score_histogram, config_overlay,

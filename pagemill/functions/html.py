@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.functions.binding import let
+from pagemill.functions.scans import running
 
 # Elements whose content is not page text, per use.
 BODY_SKIP = ["script", "style", "nav", "header", "footer", "aside"]
@@ -94,7 +95,7 @@ def _numeric_entity(name: Column) -> Column:
         printable = code.between(32, 0xD7FF) | code.between(0xE000, 0x10FFFF) | code.isin(9, 10, 13)
         return F.when(printable, F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")).otherwise(F.lit(""))
 
-    return let(digits, character)
+    return character(digits)
 
 
 ENTITY_NAME = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
@@ -116,51 +117,110 @@ def _replace_entity(part: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Replace each character reference once, left to right."""
-    decoded = let(
-        F.split(text, "&"),
-        lambda parts: F.concat(
-            F.element_at(parts, 1),
-            F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _replace_entity), ""),
-        ),
-    )
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    parts = F.transform(F.split(text, "&"), lambda part, i: F.when(i == 0, part).otherwise(_replace_entity(part)))
+    return F.array_join(parts, "")
+
+
+def _opening(tag: str) -> str:
+    return rf"<{tag}(?:[\s/][^>]*+)?+>"
 
 
 def _cut_closed(page: Column, tag: str, mark: str) -> Column:
-    """The page without the elements of one tag; an element ends at the first closing tag after it.
+    """The page without the elements of one tag, of which none is inside another.
 
     Only the part up to the last closing tag is searched. Every opening tag in it is closed, so no
     search runs to the end of the page in vain, and the cost is linear.
     """
     closing = rf"</{tag}\s*+>"
-    closed = F.regexp_extract(page, rf"(?is)^.*{closing}", 0)
-    return let(closed, lambda part: F.concat(
-        F.regexp_replace(part, rf"(?is)<{tag}(?:[\s/][^>]*+)?+>.*?{closing}", mark), F.substr(page, F.length(part) + 1)
-    ))
+
+    def cut(p: Column) -> Column:
+        closed = F.regexp_extract(p, rf"(?is)^.*{closing}", 0)
+        rest = F.substr(p, F.length(closed) + 1)
+        return F.when(p.rlike(f"(?i){closing}"), F.concat(
+            F.regexp_replace(closed, rf"(?is){_opening(tag)}.*?{closing}", mark), rest
+        )).otherwise(p)
+
+    return let(page, cut)
+
+
+def _levels(steps: Column) -> Column:
+    """How many openings (1) are not closed (-1) yet, after each step; a closing without an opening counts for nothing."""
+
+    def joined(x: Column, y: Column) -> Column:
+        return F.struct((x["sum"] + y["sum"]).alias("sum"), F.least(x["least"], x["sum"] + y["least"]).alias("least"))
+
+    pairs = F.transform(steps, lambda x: F.struct(x.alias("sum"), x.alias("least")))
+    totals = running(pairs, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")), joined)
+    return F.transform(totals, lambda t: t["sum"] - t["least"])
+
+
+def _cut_nested(page: Column, tags: list[str], mark: str) -> Column:
+    """The page without the elements ``tags``, whatever is nested.
+
+    Each name has levels of its own. What follows a tag is inside an element if a level is open there that is closed
+    later: counted from the left and, with closings as openings, from the right, both above zero.
+    """
+    names = "|".join(tags)
+    found = rf"(?is){_opening(f'(?:{names})')}|</(?:{names})\s*+>"
+    closed = F.regexp_extract(page, rf"(?is)^.*</(?:{names})\s*+>", 0)
+
+    def cut(part: Column) -> Column:
+        def both(tag: Column) -> Column:
+            steps = F.transform(F.regexp_extract_all(part, F.lit(found), F.lit(0)), lambda t: F.when(
+                F.lower(F.regexp_extract(t, r"^</?(\w+)", 1)) != tag, 0
+            ).when(t.startswith("</"), -1).otherwise(1))
+            return F.transform(F.array(steps, F.reverse(F.transform(steps, lambda x: -x))), _levels)
+
+        def kept(text: Column, n: Column, n_tags: Column, levels: Column) -> Column:
+            inside = F.exists(levels, lambda x: (F.get(F.get(x, F.lit(0)), n - 1) > 0) & (
+                F.coalesce(F.get(F.get(x, F.lit(1)), n_tags - n - 1), F.lit(0)) > 0
+            ))
+            return F.when(n == 0, text).when(inside, F.lit("")).otherwise(F.concat(F.lit(mark), text))
+
+        present = F.filter(F.array(*[F.lit(t) for t in tags]), lambda t: F.contains(F.lower(part), F.concat(F.lit("<"), t)))
+        levels = F.transform(present, both)
+        return let(F.struct(levels.alias("levels"), F.split(part, found).alias("texts")), lambda x: F.array_join(F.transform(
+            x["texts"], lambda text, n: kept(text, n, F.size(x["texts"]) - 1, x["levels"])
+        ), ""))
+
+    return let(closed, lambda part: F.concat(cut(part), F.substr(page, F.length(part) + 1)))
 
 
 def cut_elements(html: Column, tags: list[str], mark: str = MARK) -> Column:
-    """``html`` without comments and without the elements ``tags``, each replaced by ``mark``."""
+    """``html`` without comments and without the elements ``tags``, each replaced by ``mark``.
 
-    def without(page: Column, tag: str) -> Column:
-        is_closed = rf"(?i)</{tag}\s*+>"
-        return let(page, lambda p: F.when(p.rlike(is_closed), _cut_closed(p, tag, mark)).otherwise(p))
+    Nested elements of one name are cut by their levels; a page without any is cut name by name in plain passes.
+    """
 
     page = F.regexp_replace(html, raw_pattern(tags), mark)
-    for tag in tags:
-        page = page if tag in RAW_TAGS else without(page, tag)
-    return page
+    names = [t for t in tags if t not in RAW_TAGS]
+    if not names:
+        return page
+    # An opening tag, and before any other tag of its name another opening one.
+    nested = rf"(?is)<({'|'.join(names)})(?:[\s/][^<>]*+)?+>(?:[^<]++|<(?!/?\1[\s/>]))*+<\1[\s/>]"
+
+    def plain(p: Column) -> Column:
+        for tag in names:
+            p = _cut_closed(p, tag, mark)
+        return p
+
+    return let(page, lambda p: F.when(p.rlike(nested), _cut_nested(p, names, mark)).otherwise(plain(p)))
+
+
+def _text_nodes(cut: Column) -> Column:
+    """Text between the tags and marks of a page, each run stripped, joined by one space."""
+    marked = F.regexp_replace(cut, TAG, MARK)
+    nodes = F.transform(F.split(decode_entities(marked), f"[{MARK}{BLOCK_MARK}]"), strip)
+    return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
 
 
 def visible_text(html: Column, skip: list[str] = BODY_SKIP) -> Column:
     """Text nodes outside the skipped elements, each stripped, joined by one space."""
-    marked = F.regexp_replace(cut_elements(html, skip), TAG, MARK)
-    nodes = F.transform(F.split(let(marked, decode_entities), MARK), strip)
-    return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
+    return _text_nodes(cut_elements(html, skip))
 
 
 def title(html: Column) -> Column:
-    return strip(let(F.regexp_extract(html, TITLE, 1), decode_entities))
+    return strip(decode_entities(F.regexp_extract(html, TITLE, 1)))
 
 
 def _attribute_pattern(name: str) -> str:
@@ -170,7 +230,7 @@ def _attribute_pattern(name: str) -> str:
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute inside one tag, entities decoded; '' if it is missing or empty."""
     pattern = _attribute_pattern(name)
-    return let(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]), decode_entities)
+    return decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
 
 
 def meta_description(html: Column) -> Column:
@@ -204,21 +264,25 @@ def main_text(html: Column, min_chars: int = 25, max_link_share: float = 0.5) ->
     Blocks are the runs of text between block-level tags. A page on which no block
     qualifies falls back to its visible text.
     """
-    body = cut_elements(F.regexp_replace(html, TITLE, BLOCK_MARK), INDEX_SKIP, BLOCK_MARK)
-    body = F.regexp_replace(body, block_pattern(), BLOCK_MARK)
-    body = F.regexp_replace(body, ANCHOR_TAG, LINK_OPEN)
-    body = F.regexp_replace(body, r"(?i)</a\s*>", LINK_CLOSE)
-    body = let(F.regexp_replace(body, TAG, ""), decode_entities)
 
     def measured(block: Column) -> Column:
         text = strip(F.translate(block, LINK_OPEN + LINK_CLOSE, ""))
         prose = strip(F.regexp_replace(block, f"{LINK_OPEN}[^{LINK_CLOSE}]*{LINK_CLOSE}?", ""))
         return F.struct(text.alias("text"), F.length(prose).alias("prose"))
 
-    blocks = F.filter(
-        F.transform(F.split(body, BLOCK_MARK), measured),
-        lambda b: (F.length(b["text"]) >= min_chars)
-        & (b["prose"] >= (1 - max_link_share) * F.length(b["text"])),
-    )
-    joined = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    return let(joined, lambda j: F.when(j == "", visible_text(html, INDEX_SKIP)).otherwise(j))
+    def of_blocks(cut: Column) -> Column:
+        body = F.regexp_replace(F.regexp_replace(cut, TITLE, BLOCK_MARK), block_pattern(), BLOCK_MARK)
+        body = F.regexp_replace(body, ANCHOR_TAG, LINK_OPEN)
+        body = F.regexp_replace(body, r"(?i)</a\s*>", LINK_CLOSE)
+        body = decode_entities(F.regexp_replace(body, TAG, ""))
+        blocks = F.filter(
+            F.transform(F.split(body, BLOCK_MARK), measured),
+            lambda b: (F.length(b["text"]) >= min_chars)
+            & (b["prose"] >= (1 - max_link_share) * F.length(b["text"])),
+        )
+        return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+
+    # The page is cut once, for the blocks and for what takes their place.
+    return let(cut_elements(html, INDEX_SKIP, BLOCK_MARK), lambda cut: let(
+        of_blocks(cut), lambda joined: F.when(joined == "", _text_nodes(cut)).otherwise(joined)
+    ))

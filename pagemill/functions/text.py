@@ -1,4 +1,4 @@
-"""Word-level text columns: readability, terms, folding and a light English stemmer."""
+"""Word-level text columns: readability, terms, folding and the Porter stemmer."""
 
 from __future__ import annotations
 
@@ -76,25 +76,93 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _past(plural: Column) -> Column:
-    """Cut ``-ed`` and ``-ing`` from a word that keeps a vowel without them."""
-    past = r"^(.*[aeiouy].*)(ed|ing)$"
-    tidy = lambda cut: (
-        F.when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e")))
-        .when(cut.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.regexp_replace(cut, ".$", ""))
-        .otherwise(cut)
+# Endings of the steps 2, 3 and 4 of Porter 1980 (with "bli" and "logi" of its author's later program).
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent",
+    "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = (
+    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+).split()
+
+# A stem as runs of consonants and vowels; a "y" that is a consonant is written "Y". The measure is the number of vowel runs
+# that a consonant run follows.
+HAS_VOWEL = "[aeiouy]"
+MEASURE_1_UP, MEASURE_2_UP = "^[^aeiouy]*+[aeiouy]++[^aeiouy]", "^[^aeiouy]*+[aeiouy]++[^aeiouy]++[aeiouy]++[^aeiouy]"
+SHORT_END = "[^aeiouy][aeiouy][^aeiouywxY]$"
+DOUBLE_END = r"([^aeiouy])\1$"
+
+
+def _chopped(word: Column, n: int) -> Column:
+    return F.substring(word, F.lit(1), F.length(word) - n)
+
+
+def _replaced(word: Column, endings: dict[str, str], measure: str) -> Column:
+    """The longest ending that ``word`` has replaced, if the stem before it has the measure; no shorter one is tried."""
+    out = None
+    for ending in sorted(endings, key=len, reverse=True):
+        stem_ = _chopped(word, len(ending))
+        allowed = stem_.rlike(measure) & stem_.rlike("[st]$") if ending == "ion" else stem_.rlike(measure)
+        new = F.when(allowed, F.concat(stem_, F.lit(endings[ending]))).otherwise(word)
+        out = F.when(word.endswith(ending), new) if out is None else out.when(word.endswith(ending), new)
+    return out.otherwise(word)
+
+
+def _plural(word: Column) -> Column:
+    return (
+        F.when(word.endswith("sses") | word.endswith("ies"), _chopped(word, 2))
+        .when(word.endswith("s") & ~word.endswith("ss"), _chopped(word, 1))
+        .otherwise(word)
     )
-    return F.when(plural.rlike(past) & ~plural.rlike("eed$"), let(F.regexp_replace(plural, past, "$1"), tidy)).otherwise(
-        plural
+
+
+def _past(word: Column) -> Column:
+    """Cut ``-ed`` and ``-ing`` from a word that keeps a vowel without them, and mend what is left."""
+
+    def tidy(cut: Column) -> Column:
+        return (
+            F.when(cut.rlike("(at|bl|iz)$"), F.concat(cut, F.lit("e")))
+            .when(cut.rlike(DOUBLE_END) & ~cut.rlike("[lsz]$"), _chopped(cut, 1))
+            .when(cut.rlike(SHORT_END) & cut.rlike(MEASURE_1_UP) & ~cut.rlike(MEASURE_2_UP), F.concat(cut, F.lit("e")))
+            .otherwise(cut)
+        )
+
+    ed, ing = _chopped(word, 2), _chopped(word, 3)
+    return (
+        F.when(word.endswith("eed"), F.when(ing.rlike(MEASURE_1_UP), _chopped(word, 1)).otherwise(word))
+        .when(word.endswith("ed") & ed.rlike(HAS_VOWEL), let(ed, tidy))
+        .when(word.endswith("ing") & ing.rlike(HAS_VOWEL), let(ing, tidy))
+        .otherwise(word)
     )
 
 
+def _final_y(word: Column) -> Column:
+    return F.when(word.rlike("[yY]$") & _chopped(word, 1).rlike(HAS_VOWEL), F.concat(_chopped(word, 1), F.lit("i"))).otherwise(word)
+
+
+def _final_e(word: Column) -> Column:
+    cut = _chopped(word, 1)
+    drop = cut.rlike(MEASURE_2_UP) | (cut.rlike(MEASURE_1_UP) & ~cut.rlike(SHORT_END))
+    return F.when(word.endswith("e") & drop, cut).otherwise(word)
+
+
+def _final_l(word: Column) -> Column:
+    return F.when(word.endswith("ll") & word.rlike(MEASURE_2_UP), _chopped(word, 1)).otherwise(word)
+
+
 def stem(term: Column) -> Column:
-    """Plural, ``-ed`` and ``-ing`` endings of English (steps 1a to 1c of Porter 1980)."""
-    plural = (
-        F.when(term.rlike("sses$"), F.regexp_replace(term, "sses$", "ss"))
-        .when(term.rlike("ies$"), F.regexp_replace(term, "ies$", "i"))
-        .when(term.rlike("[^s]s$"), F.regexp_replace(term, "s$", ""))
-        .otherwise(term)
-    )
-    return F.regexp_replace(let(plural, _past), r"^(.*[aeiouy].*)y$", "$1i")
+    """Stem of a lower-case word by all steps of Porter 1980; words of one or two letters stay.
+
+    Letters outside a to z count as consonants. The steps test endings and measures of a word, so a job
+    stems its distinct words once and joins them back.
+    """
+    steps = [
+        _plural, _past, _final_y, lambda w: _replaced(w, STEP_2, MEASURE_1_UP), lambda w: _replaced(w, STEP_3, MEASURE_1_UP),
+        lambda w: _replaced(w, dict.fromkeys(STEP_4, ""), MEASURE_2_UP), _final_e, _final_l,
+    ]
+    word = F.regexp_replace(term, "(^|[aeiouy])y", "$1Y")
+    for step in steps:
+        word = let(word, step)
+    return F.when(F.length(term) <= 2, term).otherwise(F.lower(word))

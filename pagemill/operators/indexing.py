@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill import schemas
 from pagemill.functions import html, scores, text
 from pagemill.operators.sizing import sized
+from pagemill.session import cut_lineage
 
 # Searchable fields, most important first.
 FIELDS = ["title", "body_text", "meta_description"]
@@ -90,20 +91,20 @@ def term_vectors(docs: DataFrame, key: str) -> DataFrame:
     """English term vector of ``title`` and ``body``: ``(key, term, positions)``.
 
     Positions count every word, stop words included; stop words are then left out and the
-    other words stemmed.
+    other words stemmed. Each distinct word is stemmed once; the stems are sent to the words if
+    they are few, else words are shuffled to them.
     """
     stop = F.lit(text.STOP_WORDS)
     whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    # The texts are spread by key before they are cut, which is less to shuffle than their
-    # words, and the words of a document are then grouped where they are.
-    tokens = docs.select(key, whole.alias("content")).repartition(key).select(
-        key, F.posexplode(text.words(F.lower("content"))).alias("pos", "word")
-    ).filter(
-        ~F.array_contains(stop, F.col("word"))
-    )
-    return tokens.groupBy(key, text.stem(F.col("word")).alias("term")).agg(
-        F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions")
-    )
+
+    def found(content: Column) -> Column:
+        words = F.transform(text.words(F.lower(content)), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
+        return F.filter(words, lambda x: ~F.array_contains(stop, x["word"]))
+
+    # The texts are spread by key before they are cut, which is less to shuffle than their words.
+    tokens = cut_lineage(docs.select(key, whole.alias("whole")).repartition(key).select(key, F.inline(found(F.col("whole")))))
+    stems = cut_lineage(tokens.select("word").distinct().select("word", text.stem(F.col("word")).alias("term")))
+    return tokens.join(sized(stems), "word").groupBy(key, "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def postings(docs: DataFrame, key: str = "id") -> DataFrame:

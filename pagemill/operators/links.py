@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import html, urls
 from pagemill.operators.numbering import number_urls
+from pagemill.operators.sizing import sized
 from pagemill.session import cut_lineage
 
 STUB_DEPTH = -1
@@ -62,20 +63,29 @@ def drop_dangling_edges(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def load_links(page_ids: DataFrame, outlinks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stub rows (with ids) for unknown targets, and the edges of all pages in ``outlinks``.
+    """Stub rows (with ids) for unknown targets, and the distinct edges of all pages in ``outlinks``.
 
-    A page is one row of ``outlinks``, so its links are made distinct inside the row and get
-    the source id before they are exploded; only the target side needs a shuffle. Both
+    A page's links are made distinct inside its row and get the source id before they are exploded; only the
+    target side needs a shuffle. Rows of a url that has several are made distinct apart. Both
     arguments are read more than once, so they should be stored tables.
     """
     unique = outlinks.withColumn("targets", F.array_distinct("targets"))
     targets = unique.select(F.explode("targets").alias("target_url"))
     stubs = cut_lineage(with_new_ids(page_ids, link_stubs(targets, page_ids)))
     known = page_ids.select("id", "url").unionByName(stubs.select("id", "url"))
-    edges = (
-        unique.join(page_ids.select(F.col("id").alias("source_id"), "url"), "url")
-        .select("source_id", F.explode("targets").alias("target_url"))
-        .join(known.select(F.col("id").alias("target_id"), F.col("url").alias("target_url")), "target_url")
-        .select("source_id", "target_id")
-    )
+
+    def from_source(rows: DataFrame) -> DataFrame:
+        return rows.join(page_ids.select(F.col("id").alias("source_id"), "url"), "url").select(
+            "source_id", F.explode("targets").alias("target_url")
+        )
+
+    repeated = cut_lineage(unique.groupBy("url").agg(F.count("*").alias("n")).filter("n > 1").select("url"))
+    if repeated.isEmpty():
+        pairs = from_source(unique)
+    else:
+        few = sized(repeated)
+        pairs = from_source(unique.join(few, "url", "left_anti")).union(from_source(unique.join(few, "url", "left_semi")).distinct())
+    edges = pairs.join(
+        known.select(F.col("id").alias("target_id"), F.col("url").alias("target_url")), "target_url"
+    ).select("source_id", "target_id")
     return stubs, edges

@@ -6,7 +6,7 @@ asked for first, exactly or within the typing errors that a word of that length
 the query's start that it holds. Ranking compares, in this order,
 
 1. ``words``      length of that run, more first
-2. ``typos``      summed edit distance of its words, less first
+2. ``typos``      summed errors of its words, a swap of neighbours counting as one, less first
 3. ``proximity``  distance between neighbouring words of it, less first
 4. ``attribute``  best field with a match, title first
 5. ``exact``      words of it found without an error, more first
@@ -67,13 +67,46 @@ def _piece_bounds(length: Column, pieces: int) -> Column:
     )
 
 
+def typo_distance(word: Column, term: Column, budget: int) -> Column:
+    """Errors between a word and a term, if at most ``budget`` (1 or 2), else null.
+
+    An error is a letter put in, left out, replaced, or swapped with its neighbour (Damerau 1964). Two errors with a
+    swap among them are a swap on either side and one error between the results.
+    """
+
+    def swaps(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.concat(
+            F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.lit(1)), F.substr(w, i, F.lit(1)), F.substr(w, i + 2)
+        ))
+
+    def near(a: Column, b: Column) -> Column:
+        return F.levenshtein(a, b, 1) >= 0
+
+    def decided(plain: Column) -> Column:
+        swapped = (F.length(word) == F.length(term)) & (F.length(word) > 1) & F.array_contains(swaps(word), term)
+        out = F.when(plain.between(0, 1), plain).when(swapped, F.lit(1))
+        if budget == 2:
+            twice = (
+                F.exists(swaps(word), lambda s: near(s, term)) | F.exists(swaps(term), lambda s: near(word, s))
+                | F.arrays_overlap(swaps(word), swaps(term))
+            )
+            long_enough = (F.length(word) > 1) & (F.length(term) > 1)
+            out = out.when(plain == 2, F.lit(2)).when((plain >= 3) & long_enough & twice, F.lit(2))
+        return out
+
+    # Two swaps are four replaced letters at most.
+    return let(F.levenshtein(word, term, 2 * budget), decided)
+
+
 def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Index terms that answer each query word: ``(word, term, typos)``.
 
     ``words(word)`` and ``vocabulary(term)`` are distinct. A term within k errors of a word
     shares, unchanged and shifted by at most k, one of k + 1 even pieces (Li, Deng and Feng
-    2011). Terms are joined to words on such a piece, so no two words are compared without
-    one in common, and no true match is missed; the edit distance then decides.
+    2011), unless an error is a swap across the cut of two pieces. With that swap undone there is one error less and the
+    same rule holds, so the word is also asked for with the letter beyond the cut in the place of the last or first of a piece.
+    Terms are joined to words on such a piece, so no two words are compared without
+    one in common, and no true match is missed; the distance then decides.
     """
     exact = vocabulary.join(sized(words.select(F.col("word").alias("term"))), "term", "left_semi").select(
         F.col("term").alias("word"), "term", F.lit(0).alias("typos")
@@ -82,15 +115,23 @@ def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     for budget in (1, 2):
         pieces = budget + 1
         asked = words.filter(typo_budget(F.col("word")) == budget)
-        # Word side: every substring that may equal a piece of a term of a length in reach.
+        at, size, length = F.col("at"), F.col("size"), F.length("word")
+        # Letters of the word that may be a piece of a term: as they are, and with a swap across the piece's end or start.
+        parts = F.array(
+            F.when((at >= 1) & (at + size - 1 <= length), F.substr("word", at, size)),
+            F.when((F.col("piece") < pieces - 1) & (at >= 1) & (at + size <= length),
+                   F.concat(F.substr("word", at, size - 1), F.substr("word", at + size, F.lit(1)))),
+            F.when((F.col("piece") > 0) & (at >= 2) & (at + size - 1 <= length),
+                   F.concat(F.substr("word", at - 1, F.lit(1)), F.substr("word", at + 1, size - 1))),
+        )
+        # Word side: every string that may equal a piece of a term of a length in reach.
         reach = F.sequence(F.length("word") - budget, F.length("word") + budget)
         keys = (
             asked.select("word", F.explode(reach).alias("size_of_term"))
             .select("word", "size_of_term", F.inline(_piece_bounds(F.col("size_of_term"), pieces)))
             .select("word", "size_of_term", "piece", "size",
                     F.explode(F.sequence(F.col("start") - budget, F.col("start") + budget)).alias("at"))
-            .filter((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.length("word")))
-            .select("word", "size_of_term", "piece", F.substr("word", F.col("at"), F.col("size")).alias("part"))
+            .select("word", "size_of_term", "piece", F.explode(parts).alias("part")).filter("part is not null")
             .distinct()
         )
         # Term side: its k + 1 pieces, nothing more.
@@ -101,10 +142,9 @@ def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
             .select("term", "size_of_term", "piece", F.substr("term", F.col("start"), F.col("size")).alias("part"))
         )
         close = (
-            terms.join(sized(keys), ["size_of_term", "piece", "part"])
-            .withColumn("typos", F.levenshtein("word", "term", budget))
+            terms.join(sized(cut_lineage(keys)), ["size_of_term", "piece", "part"]).select("word", "term").distinct()
+            .withColumn("typos", typo_distance(F.col("word"), F.col("term"), budget))
             .filter(F.col("typos").between(1, budget))
-            .select("word", "term", "typos").distinct()
         )
         found.append(close)
     return found[0].union(found[1]).union(found[2])

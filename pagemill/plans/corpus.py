@@ -5,45 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import html, urls
+from pagemill.functions import html, text, urls
 from pagemill.operators import frontier, indexing, language as languages, links, pages as page_table
 from pagemill.operators.sizing import sized
 from pagemill.session import cut_lineage
 
 
 def distinct_pages(raw: DataFrame, order: str) -> DataFrame:
-    """One row per normalised url, the first in ``order``, as ``(url, html, seq)``."""
+    """One row per normalised url, the first in ``order``, as ``(url, html, seq)``; of equal orders the smallest html."""
     normal = raw.select(urls.normalize_url(F.col("url")).alias("url"), "html", F.col(order).alias("seq"))
     counted = normal.groupBy("url").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
     # Only the repeated urls travel, so the html is not shuffled unless very many repeat. They
     # are stored, so that then both sides are shuffled and a url of very many copies is split.
     repeated = cut_lineage(counted.filter("n > 1").drop("n"))
-    return normal.join(sized(repeated), "url", "left").filter(
-        F.col("first_seq").isNull() | (F.col("seq") == F.col("first_seq"))
-    ).drop("first_seq")
+    if repeated.isEmpty():
+        return normal
+    known = sized(repeated)
+    once = normal.join(known.select("url"), "url", "left_anti")
+    first = normal.join(known, "url").filter(F.col("seq").eqNullSafe(F.col("first_seq")))
+    return once.unionByName(first.groupBy("url").agg(F.min("html").alias("html"), F.first("seq").alias("seq")))
 
 
 def load_corpus(
     existing: DataFrame, raw: DataFrame, crawled_at: Column, order: str = "page_id",
     depth: Column | None = None, model: tuple[DataFrame, DataFrame] | None = None, skip: list[str] = html.BODY_SKIP,
+    readable: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Page table and edges after loading ``raw(url, html, order)`` into ``existing``.
 
     ``crawled_at`` may use the column ``seq``, the value of ``order``. With a language ``model`` (``language.train``)
-    every page gets the language of its text. Both results are stored in the shared folder.
+    every page gets the language of its text; ``readable`` gives it the reading ease of its main text, which otherwise the index
+    cycle sets. Both results are stored in the shared folder.
     """
     # Every extraction of a page happens in one projection; the page table and the link
     # graph both start from its stored result.
     fetched = distinct_pages(raw, order)
-    record = page_table.page_record(
-        fetched.withColumn("targets", html.outgoing_links(F.col("url"), F.col("html"), skip)),
-        depth if depth is not None else F.lit(0), crawled_at, extra=["targets"],
-    )
-    extracted = cut_lineage(record)
+    found = fetched.withColumn("targets", html.outgoing_links(F.col("url"), F.col("html"), skip))
+    extra = ["targets"]
+    if readable:
+        found = found.withColumn("main_text", html.main_text(F.col("html")))
+        found = found.withColumn("readability_score", text.reading_ease(F.col("main_text")))
+        extra.append("readability_score")
+    extracted = cut_lineage(page_table.page_record(found, depth if depth is not None else F.lit(0), crawled_at, extra=extra))
     if model is not None:
         found = languages.identify(extracted.select("url", F.col("body_text").alias("text")), "url", model)
         extracted = extracted.drop("language").join(found, "url").select(*extracted.columns)
-    pages = cut_lineage(page_table.upsert(existing, extracted.drop("targets")))
+    pages = page_table.upsert(existing, extracted.drop(*extra))
+    if readable:
+        ease = pages.select("id", "url").join(extracted.select("url", "readability_score"), "url").drop("url")
+        pages = page_table.set_columns_by_id(pages, ease, ["readability_score"])
+    pages = cut_lineage(pages)
     stubs, edges = links.load_links(pages.select("id", "url"), extracted.select("url", "targets"))
     seen = extracted.agg(F.max("crawled_at")).scalar()
     return cut_lineage(page_table.add_stubs(pages, stubs, seen)), cut_lineage(edges)

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.session import work_path
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, made: list[str]) -> DataFrame:
-    """``df`` written as a table of the warehouse in ``buckets`` by ``key`` and read back.
+    """``df`` written as a table in ``buckets`` by ``key`` and read back.
 
     Joins and groupings on ``key`` with as many partitions read the table without a
-    shuffle, as often as they like, and its lineage starts at the files. The table's name is added to
-    ``made``: who starts the job drops those tables, and with them their files, when it ends.
+    shuffle, as often as they like, and its lineage starts at the files, which lie in the shared folder like those
+    of every stored step. The table's name is added to ``made``: who starts the job forgets those names when it ends.
     """
     spark = df.sparkSession
     name = f"pagemill_{uuid.uuid4().hex}"
     made.append(name)
-    df.repartition(buckets, key).write.bucketBy(buckets, key).saveAsTable(name)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", work_path(spark, name)).saveAsTable(name)
     return spark.table(name)
+
+
+def drop_tables(spark: SparkSession, made: list[str]) -> None:
+    """Take the names out of the catalog; the files go with the folder of the application."""
+    for name in made:
+        spark.sql(f"drop table if exists {name}")

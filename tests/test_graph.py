@@ -3,8 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import schemas
 from pagemill.operators import frontier, graph, links
 from pagemill.operators.numbering import number_urls, row_numbers
+from pagemill.plans import corpus
+from pagemill.session import cut_lineage
+from pagemill.sources.buckets import bucketed, drop_tables
 
 
 def brute_rank(nodes, edges, rounds, d=0.85):
@@ -50,7 +54,7 @@ def test_pagerank_round_shuffles_sums_only(spark):
     e = spark.range(500).select((F.col("id") % 50).alias("source_id"), (F.col("id") * 7 % 50).alias("target_id"))
     made = []
     three, two = (
-        graph._pagerank(n, e, graph.DAMPING, rounds, 5, graph.HOT_DEGREE, made)._jdf.queryExecution().executedPlan().toString()
+        graph._pagerank(n, e, graph.DAMPING, rounds, 5, graph.HOT_DEGREE, False, made)._jdf.queryExecution().executedPlan().toString()
         for rounds in (3, 2)
     )
     for name in made:
@@ -58,6 +62,52 @@ def test_pagerank_round_shuffles_sums_only(spark):
     assert three.count("Exchange hashpartitioning") == two.count("Exchange hashpartitioning") + 1
 
 
+def brute_shared_rank(nodes, edges, rounds):
+    scores = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(rounds):
+        out = {v: [t for s_, t in edges if s_ == v] for v in nodes}
+        unsent = sum(scores[v] for v in nodes if not out[v])
+        new = dict.fromkeys(nodes, 0.15 / len(nodes) + 0.85 * unsent / len(nodes))
+        for v in nodes:
+            for t in out[v]:
+                new[t] += 0.85 * scores[v] / len(out[v])
+        scores = new
+    return scores
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+@pytest.mark.parametrize("hot_degree", [1_000_000, 3])
+def test_pagerank_that_shares_the_score_of_nodes_without_links(spark, name, hot_degree):
+    nodes, edges = GRAPHS[name]
+    n = spark.createDataFrame([(v,) for v in nodes], "id long")
+    e = spark.createDataFrame(edges, "source_id long, target_id long")
+    for rounds in (1, 4):
+        got = {r.id: r.score for r in graph.pagerank(n, e, iterations=rounds, hot_degree=hot_degree, dangling="redistribute").collect()}
+        want = brute_shared_rank(nodes, edges, rounds)
+        assert all(abs(got[v] - want[v]) < 1e-12 for v in nodes) and abs(sum(got.values()) - 1) < 1e-12
+    with pytest.raises(ValueError):
+        graph.pagerank(n, e, dangling="keep")
+
+
+@pytest.mark.parametrize("hot_degree", [1_000_000, 1])
+def test_bfs_with_hot_sources(spark, hot_degree):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (1, 3), (1, 3)], "source_id long, target_id long")
+    got = {r.id: r.depth for r in graph.bfs_levels(edges, spark.createDataFrame([(1,)], "id long"), 2, hot_degree).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2}
+
+
+def test_a_bfs_level_does_not_shuffle_the_edges(spark):
+    made = []
+    edges = spark.range(1000).select((F.col("id") % 50).alias("source_id"), (F.col("id") * 7 % 90).alias("target_id"))
+    degrees = cut_lineage(edges.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("links_out")))
+    cold = bucketed(edges, "source_id", 4, made)
+    start = cut_lineage(spark.range(3).select("id"))
+    plan = graph.reached_from(start, cold, None, graph.HotSources(degrees, 10**6))._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert "Bucketed: true" in plan and not any("source_id" in line and "target_id" in line for line in shuffled) and len(shuffled) == 2
+    drop_tables(spark, made)
+
+
 def test_bfs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (1, 3)], "source_id long, target_id long")
     seeds = spark.createDataFrame([(1,)], "id long")
@@ -100,6 +150,21 @@ def test_load_links(spark):
     assert sorted(tuple(r) for r in left.collect()) == [(1, 1), (1, 2)]
 
 
+def test_edges_of_repeated_rows_are_distinct(spark):
+    html_ = '<p>x</p><a href="/b">b</a><a href="/c">c</a>'
+    rows = [(1, "http://h/a", html_), (1, "http://h/a", html_), (2, "http://h/a#x", html_), (2, "http://h/b", html_), (None, "http://h/z", "z"), (None, "http://h/z", "z")]
+    raw = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages, edges = corpus.load_corpus(spark.createDataFrame([], schemas.PAGES), raw, F.lit("2024-01-01").cast("timestamp"))
+    url = {r.id: r.url for r in pages.collect()}
+    assert sorted(url.values()) == ["http://h/a", "http://h/b", "http://h/c", "http://h/z"]
+    found = sorted((url[r.source_id], url[r.target_id]) for r in edges.collect())
+    assert found == [("http://h/a", "http://h/b"), ("http://h/a", "http://h/c"), ("http://h/b", "http://h/b"), ("http://h/b", "http://h/c")]
+    outlinks = spark.createDataFrame([("http://h/a", ["http://h/b"]), ("http://h/a", ["http://h/b", "http://h/c"]), ("http://h/b", ["http://h/b"])], "url string, targets array<string>")
+    _, edges = links.load_links(pages.select("id", "url"), outlinks)
+    assert sorted((url[r.source_id], url[r.target_id]) for r in edges.collect()) == [
+        ("http://h/a", "http://h/b"), ("http://h/a", "http://h/c"), ("http://h/b", "http://h/b")]
+
+
 def test_frontier(spark):
     found = spark.createDataFrame([("a", 0), ("a", 2), ("b", 1), ("c", 3), ("d", 0)], "target_url string, depth int")
     visited = spark.createDataFrame([("d",)], "url string")

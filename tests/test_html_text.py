@@ -1,6 +1,8 @@
+import random
 import re
 import time
 from html import unescape
+from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ def test_whole_text_is_read(spark):
     assert one(spark, page, html.visible_text(F.col("h")))[0].endswith(" end")
 
 
+def test_extraction_and_statistics_are_one_expression(spark):
+    page = "<nav>a<nav>b</nav></nav><p>" + "A plain sentence here. " * 9 + "</p>"
+    whole, apart = html.main_text(F.col("h")), one(spark, page, html.main_text(F.col("h")))[0]
+    assert one(spark, page, text.reading_ease(whole))[0] == one(spark, apart, text.reading_ease(F.col("h")))[0] > 50
+
+
 def test_reading_ease(spark):
     sample = "The cat sat on the mat. It was a sunny day, and the cat was very happy indeed! Nobody else came by that day at all."
     words = re.findall("[a-z]+", sample.lower())
@@ -62,9 +70,20 @@ def test_reading_ease(spark):
     assert one(spark, "Short.", text.reading_ease(F.col("h")))[0] == 0.0
 
 
+PORTER = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor
+sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail
+filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc hesitanci hesit digitizer digit
+conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic
+operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit
+sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good
+revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit
+replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ
+angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control
+roll roll generalizations gener oscillators oscil is is ion ion enjoy enjoi saying sai by by""".split()
+
+
 def test_fold_and_stem(spark):
-    words = ["caresses", "ponies", "cats", "agreed", "plastered", "sing", "hopping", "conflated", "happy", "sky"]
-    stems = ["caress", "poni", "cat", "agreed", "plaster", "sing", "hop", "conflate", "happi", "sky"]
+    words, stems = PORTER[::2], PORTER[1::2]
     frame = spark.createDataFrame([(w,) for w in words], "h string")
     assert [r[0] for r in frame.select(text.stem(F.col("h"))).collect()] == stems
     assert one(spark, "ÉÑß Ü", text.fold(F.col("h")))[0] == "enß u"
@@ -101,6 +120,53 @@ def timed(spark, value, column):
     return frame.first()[0], time.perf_counter() - start
 
 
+class Visible(HTMLParser):
+    """Text and links outside the elements of some names, by levels per name."""
+
+    def __init__(self, skip):
+        super().__init__()
+        self.levels, self.texts, self.links = dict.fromkeys(skip, 0), [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.levels:
+            self.levels[tag] += 1
+        elif tag == "a" and not any(self.levels.values()):
+            self.links.append(dict(attrs).get("href"))
+
+    def handle_endtag(self, tag):
+        if self.levels.get(tag):
+            self.levels[tag] -= 1
+
+    def handle_data(self, data):
+        if not any(self.levels.values()) and data.strip():
+            self.texts.append(data.strip())
+
+
+def test_nested_elements_match_a_parser(spark):
+    rng = random.Random(4)
+    names = ["nav", "header", "footer", "aside"]
+
+    def element(depth):
+        inside = "".join(element(depth - 1) if rng.random() < 0.6 else f"t{rng.randrange(99)}<a href=/l{rng.randrange(9)}>x</a>" for _ in range(3 if depth else 0))
+        name = rng.choice(names + ["div", "NAV"])
+        return f"s{rng.randrange(99)}<{name} class='n'>{inside}v<b>w</b></{name}>"
+
+    pages = ["".join(element(4) for _ in range(4)) for _ in range(60)] + ["<p>a</p></nav>" + element(3) + "</header>z", "<nav>" * 300 + "x" + "</nav>" * 300 + "y"]
+    rows = spark.createDataFrame([(n, p) for n, p in enumerate(pages)], "n int, h string")
+    got = rows.select("n", html.visible_text(F.col("h")), html.hrefs(F.col("h"))).collect()
+    for n, text_, links in got:
+        parser = Visible(names)
+        parser.feed(pages[n])
+        assert (text_, links) == (" ".join(parser.texts), parser.links), pages[n]
+
+
+def test_elements_that_are_never_closed_are_none(spark):
+    h = F.col("h")
+    assert one(spark, "<nav>a<nav>b</nav>c", html.visible_text(h))[0] == "a c"
+    assert one(spark, "<header>A <header>B</header> LEAK <a href=/leak>z</a></header>q", html.visible_text(h), html.hrefs(h))[:] == ("q", [])
+    assert one(spark, "a</nav><nav>b<nav></nav>c</nav>d<nav>e", html.visible_text(h))[0] == "a d e"
+
+
 def test_hostile_pages_are_linear(spark):
     h = F.col("h")
     attributes = "".join(f' a{i}="x>y"' for i in range(100_000))
@@ -110,7 +176,8 @@ def test_hostile_pages_are_linear(spark):
         "unclosed mixed": "<nav><header><footer><aside><title>" * 10_000 + "text",
         "unclosed quotes": "<a href=\"x>'" * 20_000 + "text",
         "open tags": "<p " * 50_000, "comments": "<!-- <script> " * 20_000, "titles": "<title>" * 20_000,
-        "closed late": "<nav>" * 20_000 + "</nav>text",
+        "closed late": "<nav>" * 20_000 + "</nav>text", "deep": "<nav>x" * 20_000 + "</nav>" * 20_000 + "text",
+        "wide": "<nav>" + "<nav>x</nav>" * 20_000 + "</nav>text",
     }
     one(spark, PAGE, html.visible_text(h), html.main_text(h), html.hrefs(h), html.title(h), html.meta_description(h))
     for name, page in pages.items():
@@ -119,6 +186,7 @@ def test_hostile_pages_are_linear(spark):
             assert seconds < 2, (name, str(column)[:60], seconds)
     assert timed(spark, pages["attributes"], html.visible_text(h))[0] == "text l"
     assert timed(spark, pages["closed late"], html.visible_text(h))[0] == "text"
+    assert timed(spark, pages["deep"], html.visible_text(h))[0] == timed(spark, pages["wide"], html.visible_text(h))[0] == "text"
     assert timed(spark, pages["unclosed elements"], html.visible_text(h))[0] == "text"
 
 
