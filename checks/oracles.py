@@ -206,19 +206,34 @@ QUERY = f"""bw as (select item_id, regexp_extract_all(text, {WORDS}) as w from b
         case when length(word) >= 9 then 2 when length(word) >= 5 then 1 else 0 end as budget
       from (select distinct word from slots) join vocab on abs(length(term) - length(word)) <= 2) where typos <= budget)"""
 
-MATCHES = f"""{DOCS}, {POSTINGS}, {QUERY},
-  ans as materialized (select qid, slot, term, typos from slots join near using (word)),
-  perword as (select qid, id, slot, min(typos) as typos, min(field) as field from post join ans using (term) group by 1, 2, 3),
+PLAIN_ANSWERS = "ans as materialized (select qid, slot, term, typos, typos = 0 as whole from slots join near using (word))"
+# The last word of a query that does not end with a blank is also answered by what starts with it.
+BEGUN_ANSWERS = """ends as (select qid, slot, word from (select *, slot = max(slot) over (partition by qid) as ending from slots) join qu using (qid)
+      where ending and not ends_with(q, ' ')),
+  ans as materialized (select qid, slot, term, min(typos) as typos, bool_or(whole) as whole from (
+      select qid, slot, term, typos, typos = 0 as whole from slots join near using (word)
+      union all select qid, slot, term, 0, false from ends join vocab on starts_with(term, word) and length(term) > length(word)) group by 1, 2, 3)"""
+BEGUN_QUERY = QUERY.replace(QUERY[QUERY.index("qu as"):QUERY.index("qw as")], """qu as (select item_id as qid, w[1] || ' ' || w[2] || ' '
+      || substr(w[6], 1, 3) || case when item_id % 5 = 0 then ' ' else '' end as q, null::varchar as want_domain, null::varchar as want_language from bw),
+  """)
+
+
+def matches(query: str, answers: str) -> str:
+    return f"""{DOCS}, {POSTINGS}, {query}, {answers},
+  perword as (select qid, id, slot, min(typos) as typos, min(field) as field, bool_or(whole) as whole from post join ans using (term) group by 1, 2, 3),
   admitted as (select p.*, row_number() over (partition by qid, id order by slot) - 1 as turn from perword p
       join doc d using (id) join qu using (qid) where (want_domain is null or want_domain = d.domain)
       and (want_language is null or want_language = d.language)),
   perdoc as (select qid, id, count(*) as words, sum(typos) as typos, min(field) as attribute,
-      count(*) filter (typos = 0) as exact from admitted where slot = turn group by 1, 2),
+      count(*) filter (whole) as exact from admitted where slot = turn group by 1, 2),
   lv as (select qid, coalesce(max(words) filter (reached >= 20), 1) as level from (
       select qid, words, sum(count(*)) over (partition by qid order by words desc) as reached from perdoc group by 1, 2) group by 1),
   mt as materialized (select p.*, d.url, d.domain, d.language, d.rank_score from perdoc p join doc d using (id)
       join lv using (qid) where words >= level)"""
-RANKED = f"""{MATCHES},
+
+
+def ranked(found: str) -> str:
+    return f"""{found},
   places as materialized (select distinct qid, id, field, slot, pos from post join ans using (term)
       join (select qid, id, words from mt) using (qid, id) where slot < words),
   gaps as (select qid, id, slot, least(min(gap), 8) as gap from (
@@ -231,6 +246,10 @@ RANKED = f"""{MATCHES},
       select mt.*, pairs.n * 8 - coalesce(s, 0) as proximity from mt join pairs using (qid)
         left join saved using (qid, id)) qualify place <= 20)"""
 
+
+MATCHES = matches(QUERY, PLAIN_ANSWERS)
+RANKED, BEGUN = ranked(MATCHES), ranked(matches(BEGUN_QUERY, BEGUN_ANSWERS))
+
 ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 SNIPPETS = rf"""{RANKED},
   qt as (select qid, place, list(distinct term) as terms from rk join ans using (qid) where slot < words group by 1, 2),
@@ -443,6 +462,8 @@ ORACLES = {
     "search_swaps": f"""with {DOCS}, {POSTINGS}, {QUERY}, {SWAPS} select word, term, typos::int as typos from swapped""",
     "search_ranked": f"""with {RANKED} select qid, place, id, url, domain, language, words, typos::bigint as typos,
         proximity::bigint as proximity, attribute, exact, rank_score from rk""",
+    "search_prefix": f"""with {BEGUN} select qid, place, id, url, domain, language, words, typos::bigint as typos,
+        proximity::bigint as proximity, attribute, exact, rank_score from rk""",
     "search_facets": f"""with {MATCHES} select qid, 'domain' as facet, domain as value, count(*) as n from mt group by 1, 3
       union all select qid, 'language', language, count(*) from mt group by 1, 3""",
     "search_facet_maps": f"""with {MATCHES},

@@ -492,14 +492,26 @@ def term_postings(spark, folder):
     )
 
 
-def _search(spark, folder):
+def _begun_queries(spark, folder) -> DataFrame:
+    """The first, second and sixth word of each benchmark item, the last cut to its first three letters; every fifth ends with a blank."""
+    b = load(spark, folder, "benchmark")
+    words = text.words(F.col("text"))
+    begun = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.substr(F.get(words, F.lit(5)), F.lit(1), F.lit(3)))
+    nothing = F.lit(None).cast("string")
+    return b.select(
+        F.col("item_id").alias("qid"), F.when(F.col("item_id") % 5 == 0, F.concat(begun, F.lit(" "))).otherwise(begun).alias("q"),
+        nothing.alias("domain"), nothing.alias("language"),
+    )
+
+
+def _search(spark, folder, queries_of=_queries, **options):
     """Queries against a store of postings in term order."""
     documents = _search_documents(spark, folder)
-    queries = cut_lineage(_queries(spark, folder))
+    queries = cut_lineage(queries_of(spark, folder))
     path = work_path(spark, "postings")
     indexing.write_postings(indexing.postings(documents), path)
     postings = tables.read_table(spark, path)
-    answers, matches = search.match_documents(queries, postings, documents)
+    answers, matches = search.match_documents(queries, postings, documents, **options)
     return documents, queries, postings, answers, matches
 
 
@@ -528,6 +540,12 @@ def search_ranked(spark, folder):
     return search.rank(queries, answers, matches, postings)
 
 
+def search_prefix(spark, folder):
+    """Requests as they are typed: the last word may be the start of a longer one."""
+    _, queries, postings, answers, matches = _search(spark, folder, _begun_queries, prefix=True)
+    return search.rank(queries, answers, matches, postings)
+
+
 def search_facets(spark, folder):
     return search.facets(_search(spark, folder)[-1])
 
@@ -755,7 +773,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     out_degree, pagerank_pages, pagerank_parts, pagerank_redistributed, bfs_frontier, frontier_pop, frontier_merge, visited_update,
     composite_score, top_pages, readability, language_id, page_language, corpus_language,
     page_upsert, soft_delete, index_pending, index_queue_depth, index_cleanup, index_documents, index_cycle,
-    term_postings, search_postings, search_typo, search_swaps, search_ranked, search_facets, search_facet_maps,
+    term_postings, search_postings, search_typo, search_swaps, search_ranked, search_prefix, search_facets, search_facet_maps,
     search_snippets, search_display,
     robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state, retry_effects,
     score_histogram, config_overlay,

@@ -9,7 +9,7 @@ the query's start that it holds. Ranking compares, in this order,
 2. ``typos``      summed errors of its words, a swap of neighbours counting as one, less first
 3. ``proximity``  distance between neighbouring words of it, less first
 4. ``attribute``  best field with a match, title first
-5. ``exact``      words of it found without an error, more first
+5. ``exact``      words of it found whole and without an error, more first
 6. ``rank_score`` of the document, larger first, then its url
 """
 
@@ -150,6 +150,25 @@ def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found[0].union(found[1]).union(found[2])
 
 
+def match_prefixes(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Index terms that start with a query word and are longer: ``(word, term, typos)`` with no typos.
+
+    ``words(word)`` and ``vocabulary(term)`` are distinct. A term is cut to each length that a word has and joined on equal
+    starts: terms times lengths, of which there are few, and never terms times words.
+    """
+    lengths = words.select(F.length("word").alias("size")).filter("size > 0").distinct()
+    starts = vocabulary.join(sized(cut_lineage(lengths)), F.length("term") > F.col("size")).select(
+        F.substr("term", F.lit(1), F.col("size")).alias("word"), "term"
+    )
+    return starts.join(sized(words), "word").select("word", "term", F.lit(0).alias("typos"))
+
+
+def last_words(queries: DataFrame) -> DataFrame:
+    """``(qid, word)``: the last folded word of each query that ends with it, so that it may be the start of a longer one."""
+    found = F.regexp_extract("q", rf"({text.WORD})$", 1)
+    return queries.select("qid", text.fold(found).alias("word")).filter("word <> ''")
+
+
 def of_terms(postings: DataFrame, terms: DataFrame, limit: int = PUSHED_TERMS) -> DataFrame:
     """Postings of the distinct ``terms``.
 
@@ -177,13 +196,13 @@ def _runs(per_slot: DataFrame, first: int) -> DataFrame:
 
     ``per_slot`` has at most one row per query, document and slot of a block, so a group is as short as a query's block.
     """
-    slots = F.array_sort(F.collect_list(F.struct("slot", "typos", "field")))
+    slots = F.array_sort(F.collect_list(F.struct("slot", "typos", "field", "whole")))
     run = F.filter("slots", lambda x, i: x["slot"] == i + first)
     total = lambda c: F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + c(x))
     return per_slot.groupBy("qid", "id").agg(slots.alias("slots")).withColumn("run", run).select(
         "qid", "id", F.size("run").cast("long").alias("words"), total(lambda x: x["typos"]).alias("typos"),
         F.array_min(F.transform("run", lambda x: x["field"])).alias("attribute"),
-        total(lambda x: F.when(x["typos"] == 0, 1).otherwise(0)).alias("exact"),
+        total(lambda x: F.when(x["whole"], 1).otherwise(0)).alias("exact"),
     )
 
 
@@ -201,10 +220,11 @@ def _kept(found: DataFrame, top_k: int) -> DataFrame:
 
 
 def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFrame,
-                    typos: bool = True, top_k: int = TOP_K) -> tuple[DataFrame, DataFrame]:
+                    typos: bool = True, top_k: int = TOP_K, prefix: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(answers, matches)``: index terms per query word, and the matching documents per query.
 
-    ``answers`` is ``(qid, slot, term, typos)``. ``matches`` has one row per query and
+    ``answers`` is ``(qid, slot, term, typos, whole)``. With ``prefix`` a last word that the query ends with is also answered
+    by every term that starts with it, without a typo but not as a ``whole`` word, which is what ``exact`` counts. ``matches`` has one row per query and
     document with every rule but proximity, which needs positions. Both are stored, since ranking, facets and
     snippets read them again.
 
@@ -213,16 +233,29 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
     """
     slots = query_terms(queries)
     words = slots.select("word").distinct()
+    vocabulary = cut_lineage(postings.select("term").distinct()) if typos or prefix else None
     if typos:
-        terms = match_terms(cut_lineage(words), cut_lineage(postings.select("term").distinct()))
+        terms = match_terms(cut_lineage(words), vocabulary)
     else:
         terms = words.select("word", F.col("word").alias("term"), F.lit(0).alias("typos"))
-    answers = cut_lineage(slots.join(terms, "word").select("qid", "slot", "term", "typos"))
+    whole = (F.col("typos") == 0).alias("whole")
+    answers = slots.join(terms, "word").select("qid", "slot", "term", "typos", whole)
+    if prefix:
+        ends = slots.join(last_words(queries), ["qid", "word"])
+        longer = match_prefixes(cut_lineage(ends.select("word").distinct()), vocabulary)
+        begun = ends.join(longer, "word").select("qid", "slot", "term", "typos", F.lit(False).alias("whole"))
+        # A term within a typo that also starts with the word counts as its start.
+        answers = answers.unionByName(begun).groupBy("qid", "slot", "term").agg(
+            F.min("typos").alias("typos"), F.max("whole").alias("whole")
+        )
+    answers = cut_lineage(answers)
     lengths = cut_lineage(slots.groupBy("qid").agg(F.count("*").alias("asked")))
     longest = lengths.agg(F.max("asked")).first()[0] or 0
 
     def per_slot(hits: DataFrame) -> DataFrame:
-        return hits.groupBy("qid", "id", "slot").agg(F.min("typos").alias("typos"), F.min("field").alias("field"))
+        return hits.groupBy("qid", "id", "slot").agg(
+            F.min("typos").alias("typos"), F.min("field").alias("field"), F.max("whole").alias("whole")
+        )
 
     # The postings stay where they are: a checked number of answers is sent to them.
     opening = answers.filter(F.col("slot") < FIRST_WORDS)
@@ -255,7 +288,7 @@ def _proximity(candidates: DataFrame, answers: DataFrame, postings: DataFrame) -
     The nearest occurrences of two words are next to each other when the occurrences of
     both are put in order, so one sort per document finds them and no pairs are formed.
     """
-    asked = candidates.select("qid", "id", "words").join(sized(answers), "qid").filter("slot < words").drop("words", "typos")
+    asked = candidates.select("qid", "id", "words").join(sized(answers), "qid").filter("slot < words").drop("words", "typos", "whole")
     asked = cut_lineage(asked)
     places = of_terms(postings, asked).join(asked, ["term", "id"]).select("qid", "id", "field", "slot", "pos")
     # Word number s takes part in the pair (s - 1, s) and in the pair (s, s + 1).
