@@ -544,4 +544,12 @@ ORACLES = {
           where url not in (select url from pg where page_id % 11 = 0))
       select id, url, title, epoch({TS})::double as crawled_at, 1.0::double as rank_score,
         sha256(body) as body_hash, round({ease('body')}, 6) as reading_ease, {us(TS)} as indexed_at from b""",
+    "stream_postings": f"""with {PG},
+        ev as (select url, page_id, 1 as batch, false as gone, html from pg
+          union all select url, page_id, 2, true, '' from pg where page_id % 11 = 0
+          union all select url, page_id, 3, false, html || '<p>These words came with the second crawl of the page.</p>' from pg
+            where page_id % 7 = 0 and page_id % 11 <> 0),
+        l as (select * from ev qualify row_number() over (partition by url order by batch desc, page_id desc) = 1),
+        doc as (select page_id as id, {title('html')} as title, {main_text('html')} as body_text, '' as meta_description from l where not gone),
+        {POSTINGS} select term, id, field, pos::int as pos from post""",
 }

@@ -743,17 +743,21 @@ def retry_effects(spark, folder):
     )
 
 
-def stream_index_sync(spark, folder):
-    """The index after two streams: all pages, then every eleventh one deleted; and the marks for the page table."""
+def _changed_pages(spark, folder) -> DataFrame:
+    """The pages as a stream of changes that were never indexed."""
     source = read_files(spark, folder, load(spark, folder, "pages").schema, "pages.parquet")
     u = urls.normalize_url(F.col("url"))
-    changed = source.select(
+    return source.select(
         F.col("page_id").alias("id"), u.alias("url"), html.title(F.col("html")).alias("title"),
         html.meta_description(F.col("html")).alias("meta_description"), urls.netloc(u).alias("domain"),
         F.lit("unknown").alias("language"), as_of().alias("crawled_at"), F.lit(None).cast("double").alias("rank_score"),
         F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("timestamp").alias("deleted_at"), "html",
     )
-    path = work_path(spark, "index")
+
+
+def stream_index_sync(spark, folder):
+    """The index after two streams: all pages, then every eleventh one deleted; and the marks for the page table."""
+    changed, path = _changed_pages(spark, folder), work_path(spark, "index")
     index_sync.sync_index(changed, path, work_path(spark, "index-state"), as_of()).awaitTermination()
     gone = changed.filter("id % 11 = 0").withColumn("deleted_at", as_of()).withColumn("indexed_at", as_of())
     index_sync.sync_index(gone, path, work_path(spark, "index-state"), as_of(), first_batch=1_000_000).awaitTermination()
@@ -766,6 +770,28 @@ def stream_index_sync(spark, folder):
     )
 
 
+def stream_postings(spark, folder):
+    """Live postings after three streams: all pages, every eleventh deleted, every seventh crawled again with more text.
+
+    The postings of the first two are compacted before the third.
+    """
+    changed, path, first, second = _changed_pages(spark, folder), *(work_path(spark, n) for n in ("index", "postings", "compacted"))
+
+    def sync(rows, batch, postings_path):
+        index_sync.sync_index(
+            rows, path, work_path(spark, "index-state"), as_of(), first_batch=batch, postings_path=postings_path
+        ).awaitTermination()
+        log = tables.read_log(spark, path, index_sync.LOG)
+        return tables.read_log(spark, postings_path, indexing.POSTINGS_LOG), index_sync.live_versions(log)
+
+    sync(changed, 0, first)
+    gone = changed.filter("id % 11 = 0").withColumn("deleted_at", as_of()).withColumn("indexed_at", as_of())
+    indexing.compact_postings(*sync(gone, 1_000_000, first), second, 1_000_000)
+    again = changed.filter("id % 7 = 0 and id % 11 <> 0").withColumn("indexed_at", days_before(F.lit(1)))
+    more = again.withColumn("html", F.concat("html", F.lit("<p>These words came with the second crawl of the page.</p>")))
+    return indexing.live_postings(*sync(more, 2_000_000, second))
+
+
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     url_normalize, url_domain, url_valid, url_key, href_resolve,
     page_title, page_meta, page_text, page_insufficient, page_main_text, page_nested, raw_html_join,
@@ -777,6 +803,6 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     search_snippets, search_display,
     robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state, retry_effects,
     score_histogram, config_overlay,
-    stream_window_counts, stream_ingest, stream_retry, stream_index_sync,
+    stream_window_counts, stream_ingest, stream_retry, stream_index_sync, stream_postings,
 ]
 QUERIES = {q.__name__: q for q in ALL}

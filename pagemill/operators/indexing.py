@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import schemas
 from pagemill.functions import html, scores, text
@@ -133,3 +134,34 @@ def write_postings(rows: DataFrame, path: str) -> None:
     keys = [c for c in rows.columns if c != "term"]
     ordered = rows.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys)
     ordered.write.mode("overwrite").parquet(path)
+
+
+#: A posting in a log of batches: ``version`` is the batch that its document was written in.
+POSTINGS_LOG = T.StructType([
+    T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("field", T.IntegerType()),
+    T.StructField("pos", T.IntegerType()), T.StructField("version", T.LongType()),
+])
+
+
+def append_postings(docs: DataFrame, path: str, batch: int) -> None:
+    """Postings of the documents of one batch, which has one row per document, in a folder of their own and in term order.
+
+    Nothing that is already stored is read or written again; a replayed batch replaces itself.
+    """
+    rows = postings(docs).select("term", "id", "field", "pos", F.lit(batch).cast("long").alias("version"))
+    write_postings(rows, f"{path}/batch={batch}")
+
+
+def live_postings(log: DataFrame, versions: DataFrame) -> DataFrame:
+    """Postings ``(term, id, field, pos)`` of a log whose document is the one that counts.
+
+    ``versions`` is the stored table ``(id, version)`` of those documents. Postings of replaced and deleted documents stay in the
+    log until it is compacted. A search's terms still reach the scan, since the filter on terms goes below this join.
+    """
+    return log.join(sized(versions.select("id", "version")), ["id", "version"], "left_semi").select("term", "id", "field", "pos")
+
+
+def compact_postings(log: DataFrame, versions: DataFrame, path: str, last_batch: int) -> None:
+    """A new log at ``path`` whose only batch, the last one folded, has the live postings, cut by ranges of terms."""
+    live = log.join(sized(versions.select("id", "version")), ["id", "version"], "left_semi")
+    write_postings(live.select("term", "id", "field", "pos", "version"), f"{path}/batch={last_batch}")

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagemill import schemas
 from pagemill.functions import html, scores, text
 from pagemill.operators import indexing
+from pagemill.session import cut_lineage
 from pagemill.sources import tables
 
 LOG = T.StructType([
@@ -19,9 +20,10 @@ LOG = T.StructType([
 
 
 def sync_index(
-    changed: DataFrame, log_path: str, checkpoint: str, now: Column, first_batch: int = 0, trigger: dict | None = None
+    changed: DataFrame, log_path: str, checkpoint: str, now: Column, first_batch: int = 0, trigger: dict | None = None,
+    postings_path: str | None = None,
 ) -> StreamingQuery:
-    """Append index documents for a stream of changed pages.
+    """Append index documents for a stream of changed pages, and with ``postings_path`` their postings.
 
     ``changed`` has the document columns except ``body_text``, ``crawled_at`` as a timestamp, ``indexed_at``,
     ``deleted_at`` and ``html``. Pages that were not crawled since they were indexed are left out. A deleted page that is in the index
@@ -41,8 +43,16 @@ def sync_index(
     documents = changed.filter(due).withColumn("main_text", body).select(
         *[given.get(n, F.col(n)).alias(n) for n in LOG.fieldNames()]
     )
+    def write(batch: DataFrame, number: int) -> None:
+        tables.append_batch(batch, log_path, first_batch + number)
+        if postings_path is not None:
+            # From what was stored, so that no page is extracted twice.
+            stored = batch.sparkSession.read.schema(LOG).parquet(f"{log_path}/batch={first_batch + number}")
+            kept = stored.groupBy("url").agg(F.max_by(F.struct(*LOG.fieldNames()), F.struct("crawled_at", "id", "deleted")).alias("d"))
+            indexing.append_postings(kept.select("d.*").filter(~F.col("deleted")), postings_path, first_batch + number)
+
     return (
-        documents.writeStream.foreachBatch(lambda batch, number: tables.append_batch(batch, log_path, first_batch + number))
+        documents.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
@@ -60,6 +70,12 @@ def current_index(log: DataFrame) -> DataFrame:
     return log.join(last, ["url", "batch", "crawled_at", "id", "deleted"], "left_semi").select(*LOG.fieldNames())
 
 
+def live_versions(log: DataFrame) -> DataFrame:
+    """``(id, version)`` of the documents in the index: which batch's postings of an id count. A stored, narrow table."""
+    last = _latest(log, "url").filter(~F.col("deleted"))
+    return cut_lineage(last.select("id", F.col("batch").alias("version")).distinct())
+
+
 def index_marks(log: DataFrame) -> DataFrame:
     """``(id, indexed_at)`` of every page in the log, null once it was deleted: what the page table should say."""
     last = log.groupBy("id").agg(F.max_by(F.struct("deleted", "synced_at"), F.struct("batch", "crawled_at")).alias("last"))
