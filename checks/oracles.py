@@ -552,4 +552,15 @@ ORACLES = {
         l as (select * from ev qualify row_number() over (partition by url order by batch desc, page_id desc) = 1),
         doc as (select page_id as id, {title('html')} as title, {main_text('html')} as body_text, '' as meta_description from l where not gone),
         {POSTINGS} select term, id, field, pos::int as pos from post""",
+    "stream_recent_retries": """with f as (select 'u' || user_id as url, ts, lag(ts) over (partition by user_id order by ts) as before
+        from events where event_type = 'error'),
+        r as (select url, sum(case when ts - before > interval 30 hours then 1 else 0 end) over (partition by url order by ts) as run from f),
+        n as (select url, run, count(*) as failures from r group by 1, 2)
+      select url, failures, case when failures <= 3 then 'requeue' else 'failed' end as decision from n
+      qualify run = max(run) over (partition by url)""",
+    "latency_histogram": """with b as (select unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]::double[]) as b)
+      select b::varchar as le, (select count(*) from events where value / 10 <= b) as n,
+        (select round(sum(value / 10), 2) from events) as total, (select count(value) from events) as observations from b
+      union all select '+Inf', count(value), round(sum(value / 10), 2), count(value) from events""",
 }
+ORACLES["page_store_upsert"] = f"select * exclude (id) from ({ORACLES['page_upsert']})"

@@ -16,8 +16,8 @@ from pagemill.operators import pages as page_table
 from pagemill.operators.numbering import number_urls
 from pagemill.plans import corpus, ranking
 from pagemill.session import cut_lineage, work_path
-from pagemill.sources import raw_html, tables
-from pagemill.streaming import counters, index_sync, ingest, retry
+from pagemill.sources import page_store, raw_html, tables
+from pagemill.streaming import counters, index_sync, ingest, recent_retries, retry
 from pagemill.streaming.sources import read_files
 
 AS_OF = "2024-06-01"
@@ -382,8 +382,7 @@ def _order_writes(spark, folder) -> DataFrame:
     return o.select(*[given[f.name].cast(f.dataType).alias(f.name) for f in schemas.PAGE_WRITES])
 
 
-def page_upsert(spark, folder):
-    pages = page_table.upsert(_customer_pages(spark, folder), _order_writes(spark, folder))
+def _shown_pages(pages: DataFrame) -> DataFrame:
     return pages.select(
         "id", "url", text_or_dash(F.col("title")).alias("title"),
         text_or_dash(F.col("meta_description")).alias("meta_description"), "depth",
@@ -393,6 +392,21 @@ def page_upsert(spark, folder):
     )
 
 
+def page_upsert(spark, folder):
+    return _shown_pages(page_table.upsert(_customer_pages(spark, folder), _order_writes(spark, folder)))
+
+
+def page_store_upsert(spark, folder):
+    """The same writes to a table on disk, in two parts by url; the second must number on."""
+    store = page_store.PageStore(spark, work_path(spark, "page-store"), folders=16)
+    store.write(_customer_pages(spark, folder))
+    writes = _order_writes(spark, folder)
+    first = F.col("url") < "http://shop.example/5"
+    store.upsert(writes.filter(first))
+    store.upsert(writes.filter(~first))
+    return _shown_pages(store.read()).drop("id")
+
+
 def soft_delete(spark, folder):
     failed = _order_writes(spark, folder).filter("is_stub").select("url")
     return page_table.soft_delete(_customer_pages(spark, folder), failed, as_of()).select(
@@ -729,6 +743,32 @@ def stream_retry(spark, folder):
     return changes.groupBy("url").agg(latest).select("url", "state.failures", "state.decision")
 
 
+def stream_recent_retries(spark, folder):
+    """Failures of each user since the last pause of more than 30 hours."""
+    schema = load(spark, folder, "events").schema
+    source = read_files(spark, folder, schema, "events.parquet")
+    log = source.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), "ts",
+        F.when(F.col("event_type") == "error", outcomes.ERROR).otherwise(outcomes.CRAWLED).alias("outcome"),
+    )
+    path = work_path(spark, "recent-retries")
+    recent_retries.track_recent_retries(
+        log, lambda batch, number: tables.append_batch(batch, path, number), work_path(spark, "recent-state"), quiet="30 hours"
+    ).awaitTermination()
+    changes = spark.read.option("basePath", path).parquet(path)
+    latest = F.max_by(F.struct("failures", "decision"), "batch").alias("state")
+    return changes.groupBy("url").agg(latest).select("url", "state.failures", "state.decision")
+
+
+def latency_histogram(spark, folder):
+    """Event values as seconds of a request, over the bounds of request times."""
+    counted = stats.histogram(load(spark, folder, "events").withColumn("seconds", F.col("value") / 10), "seconds", stats.LATENCY_BOUNDS)
+    return counted.select(
+        F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")).alias("le"), "n",
+        F.round("total", 2).alias("total"), "observations",
+    )
+
+
 def retry_effects(spark, folder):
     """What failed fetches leave in the queue, the visited set and the page table."""
     state = outcomes.retry_state(_fetch_log(spark, folder))
@@ -798,11 +838,11 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     page_links_raw, page_links_valid, page_links_content, link_stubs, link_edges, edge_cascade,
     out_degree, pagerank_pages, pagerank_parts, pagerank_redistributed, bfs_frontier, frontier_pop, frontier_merge, visited_update,
     composite_score, top_pages, readability, language_id, page_language, corpus_language,
-    page_upsert, soft_delete, index_pending, index_queue_depth, index_cleanup, index_documents, index_cycle,
+    page_upsert, page_store_upsert, soft_delete, index_pending, index_queue_depth, index_cleanup, index_documents, index_cycle,
     term_postings, search_postings, search_typo, search_swaps, search_ranked, search_prefix, search_facets, search_facet_maps,
     search_snippets, search_display,
     robots_filter, fetch_schedule, address_filter, fetch_outcomes, domain_stats, crawl_counters, retry_state, retry_effects,
-    score_histogram, config_overlay,
-    stream_window_counts, stream_ingest, stream_retry, stream_index_sync, stream_postings,
+    score_histogram, latency_histogram, config_overlay,
+    stream_window_counts, stream_ingest, stream_retry, stream_recent_retries, stream_index_sync, stream_postings,
 ]
 QUERIES = {q.__name__: q for q in ALL}

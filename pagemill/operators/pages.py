@@ -110,9 +110,13 @@ def upsert(pages: DataFrame, writes: DataFrame, promote_stubs: bool = False) ->
     The folded batch is stored once. A batch of checked size is sent to the pages, which then stay where
     they are; only urls, not rows, are compared and numbered.
     """
-    batch = cut_lineage(fold_writes(writes, promote_stubs))
+    return upsert_folded(pages, cut_lineage(fold_writes(writes, promote_stubs)), promote_stubs)
+
+
+def upsert_folded(pages: DataFrame, batch: DataFrame, promote_stubs: bool = False, all_pages: DataFrame | None = None) -> DataFrame:
+    """``pages`` after the folded writes ``batch``, a stored table. New ids follow the largest of ``all_pages``, of which ``pages`` is a part."""
     known = cut_lineage(pages.select("url").join(sized(batch.select("url")), "url", "left_semi"))
-    numbers = links.with_new_ids(pages, batch.select("url").join(known, "url", "left_anti"))
+    numbers = links.with_new_ids(pages if all_pages is None else all_pages, batch.select("url").join(known, "url", "left_anti"))
     fresh = batch.join(numbers.select("url", "id"), "url")
 
     incoming = batch.select("url", "is_stub", *[F.col(c).alias(f"new_{c}") for c in UPDATABLE + INSERT_ONLY])

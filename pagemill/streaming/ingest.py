@@ -11,6 +11,7 @@ from pagemill import schemas
 from pagemill.functions import html, urls
 from pagemill.operators import links, pages as page_table
 from pagemill.sources import tables
+from pagemill.streaming import visited
 
 LOG = T.StructType([*schemas.PAGE_WRITES.fields, T.StructField("targets", T.ArrayType(T.StringType()))])
 
@@ -22,26 +23,29 @@ def ingest(
     """Append each micro-batch of ``(url, html)`` rows to the page log.
 
     A batch is extracted in one pass and written once, with its links beside its page
-    columns. Urls that an earlier batch wrote are skipped: the log is the visited set, so
-    no state grows in the stream. Of rows of one url in a batch the first by ``order`` is taken, then the smallest
+    columns. Urls that an earlier batch wrote are skipped: they are a table beside the log, in folders by url hash, of which a
+    batch reads those of its own urls, so no state grows in the stream. Of rows of one url in a batch the first by ``order`` is taken, then the smallest
     html, so a replayed batch, which replaces its own folder, stores the same.
     """
 
-    spark = fetched.sparkSession
+    spark, seen = fetched.sparkSession, f"{log_path}-visited"
     # The log starts with an empty batch, so that it can be read from the first batch on.
     tables.append_batch(spark.createDataFrame([], LOG), log_path, -1)
+    visited.add_batch(spark.createDataFrame([("",)], "url string"), seen, -1)  # a folder must be there; no page has this url
 
     def write(batch: DataFrame, number: int) -> None:
         place = F.struct(*([F.col(order)] if order else []), F.col("html"))
         rows = batch.groupBy(urls.normalize_url(F.col("url")).alias("url")).agg(F.min_by("html", place).alias("html"))
         if skip_visited:
-            earlier = tables.read_log(batch.sparkSession, log_path, LOG).filter(F.col("batch") < number).select("url")
-            rows = rows.join(earlier, "url", "left_anti")
+            asked = batch.select(urls.normalize_url(F.col("url")).alias("url"))
+            rows = rows.join(visited.earlier(asked, seen, number), "url", "left_anti")
         rows = rows.withColumn("seq", F.lit(2 * number)).withColumn(
             "targets", html.outgoing_links(F.col("url"), F.col("html"), skip)
         )
         record = page_table.page_record(rows, F.lit(0), crawled_at, extra=["targets"])
         tables.append_batch(record, log_path, number)
+        if skip_visited:
+            visited.add_batch(batch.sparkSession.read.schema(LOG).parquet(f"{log_path}/batch={number}"), seen, number)
 
     return (
         fetched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
