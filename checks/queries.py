@@ -574,7 +574,7 @@ def search_facet_maps(spark, folder):
 
 def _results(spark, folder):
     documents, queries, postings, answers, matches = _search(spark, folder)
-    return search.results(search.rank(queries, answers, matches, postings), answers, documents)
+    return search.results(search.rank(queries, answers, matches, postings), answers, documents, postings)
 
 
 def search_snippets(spark, folder):

@@ -20,6 +20,8 @@ UNKNOWN = "unknown"
 
 SCALE = 1_000_000
 MAX_LANGUAGES = 1_000
+# Words that are weighed once and sent to all tasks.
+FREQUENT_WORDS = 100_000
 
 
 def _words(content: Column) -> Column:
@@ -61,8 +63,9 @@ def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def identify(texts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], min_chars: int = MIN_CHARS) -> DataFrame:
     """``(key, language)`` for every ``(key, text)`` row, over whole texts.
 
-    The weights are stored once with a column per language and broadcast if their size was checked: trigrams are then
-    weighed and summed in the task that reads the text, and the shuffle carries one row per text. A model of more than
+    The weights are stored once with a column per language and broadcast if their size was checked: words are then
+    weighed and summed in the task that reads the text, and the shuffle carries one row per text. The most frequent
+    words are one probe each, and the others one per trigram. A model of more than
     ``MAX_LANGUAGES`` languages is an error.
     """
     weights, floors = model
@@ -75,10 +78,18 @@ def identify(texts: DataFrame, key: str, model: tuple[DataFrame, DataFrame], min
         for c, row in zip(columns, known)
     ]))
     long_enough = texts.filter(F.length("text") > min_chars)
-    grams = long_enough.select(key, F.explode(_words(F.col("text"))).alias("word")).select(
-        key, F.explode(_trigrams(F.col("word"))).alias("gram")
+    words = long_enough.select(key, F.explode(_words(F.col("text"))).alias("word"))
+    # Most words of texts are few different ones. Those are weighed once; only a rare word is cut where it stands.
+    frequent = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
+    weighed = cut_lineage(frequent).select("word", F.explode(_trigrams(F.col("word"))).alias("gram")).join(sized(wide), "gram", "left").groupBy("word").agg(
+        F.count(columns[0] if columns else "gram").alias("known"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"k_{c}") for c in columns]
+    )
+    rest = F.when(F.col("known").isNull(), _trigrams(F.col("word")))
+    grams = words.join(F.broadcast(cut_lineage(weighed)), "word", "left").withColumn("gram", F.explode_outer(rest))  # FREQUENT_WORDS rows
+    matched = F.coalesce("known", F.when(F.col(columns[0]).isNotNull(), 1).otherwise(0)) if columns else F.lit(0)
+    sums = grams.join(sized(wide), "gram", "left").groupBy(key).agg(
+        F.sum(matched).alias("matched"), *[F.sum(F.coalesce(f"k_{c}", c, F.lit(0))).alias(c) for c in columns]
     )
-    sums = grams.join(sized(wide), "gram").groupBy(key).agg(F.count("*").alias("matched"), *[F.sum(c).alias(c) for c in columns])
     # Counted per text, not beside its words, where it would be counted again for each word.
     letters = texts.select(key, F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).alias("letters"))
     # Equal sums fall to the language first in the alphabet.

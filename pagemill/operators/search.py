@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text
 from pagemill.functions.binding import let
+from pagemill.operators.indexing import FIELDS
 from pagemill.operators.sizing import sized
 from pagemill.session import cut_lineage
 
@@ -370,27 +371,31 @@ def escape_html(content: Column) -> Column:
     return content
 
 
-def snippet(body: Column, terms: Column, crop_words: int = CROP_WORDS) -> Column:
+def snippet(body: Column, terms: Column, crop_words: int = CROP_WORDS, hit_pos: Column | None = None) -> Column:
     """Crop of ``body`` around its first found word, found words marked, the rest escaped.
 
     ``terms`` are the folded index terms to mark. A body without one is cropped from its start. What stands
-    before the first word is a piece of its own.
+    before the first word is a piece of its own. ``hit_pos`` is the first found word's position by the postings; only the words of
+    the crop are then looked at, unless that word is not one of the terms, as after an edit of the body.
     """
+    folded = lambda raw: text.fold(F.regexp_extract(raw, text.WORD, 0))
 
-    def piece(raw: Column) -> Column:
-        """A word, what follows it, and whether it was found."""
-        word = F.regexp_extract(raw, text.WORD, 0)
-        return let(word, lambda w: F.struct(
-            w.alias("word"), F.substr(raw, F.length(w) + 1).alias("rest"),
-            F.array_contains(terms, text.fold(w)).alias("hit"),
-        ))
+    def shown(raw: Column) -> Column:
+        def marked(word: Column) -> Column:
+            found = F.array_contains(terms, text.fold(word))
+            said = F.when(found, F.concat(F.lit(PRE_TAG), word, F.lit(POST_TAG))).otherwise(word)
+            return F.concat(said, escape_html(F.substr(raw, F.length(word) + 1)))
 
-    def shown(p: Column) -> Column:
-        marked = F.when(p["hit"], F.concat(F.lit(PRE_TAG), p["word"], F.lit(POST_TAG))).otherwise(p["word"])
-        return F.concat(marked, escape_html(p["rest"]))
+        return let(F.regexp_extract(raw, text.WORD, 0), marked)
 
     def cropped(pieces: Column) -> Column:
-        hit = F.array_position(F.transform(pieces, lambda p: p["hit"]), True)
+        scanned = F.coalesce(F.array_position(F.transform(pieces, lambda r: F.array_contains(terms, folded(r))), True), F.lit(0))
+        hit = scanned
+        if hit_pos is not None:
+            # The piece before the first word has no position.
+            place = (hit_pos + F.when(F.regexp_extract(F.get(pieces, F.lit(0)), text.WORD, 0) == "", 1).otherwise(0)).cast("int")
+            right = F.array_contains(terms, folded(F.get(pieces, place - 1)))
+            hit = F.when(hit_pos.isNotNull() & F.coalesce(right, F.lit(False)), place).otherwise(scanned)
         first = F.greatest(F.least(hit - crop_words // 2, F.size(pieces) - crop_words + 1), F.lit(1)).cast("int")
         return let(first, lambda start: F.concat(
             F.when(start > 1, F.lit(CROP_MARK)).otherwise(F.lit("")),
@@ -399,28 +404,37 @@ def snippet(body: Column, terms: Column, crop_words: int = CROP_WORDS) -> Column
         ))
 
     raw = F.regexp_extract_all(body, F.lit(rf"^[^\p{{L}}\p{{N}}]+|{text.WORD}[^\p{{L}}\p{{N}}]*"), F.lit(0))
-    return let(F.transform(raw, piece), lambda pieces: F.when(F.size(pieces) == 0, F.lit("")).otherwise(cropped(pieces)))
+    return let(raw, lambda pieces: F.when(F.size(pieces) == 0, F.lit("")).otherwise(cropped(pieces)))
 
 
-def results(ranked: DataFrame, answers: DataFrame, documents: DataFrame) -> DataFrame:
+def results(ranked: DataFrame, answers: DataFrame, documents: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """Result rows of ranked hits: url, title, snippet, meta description and score.
 
     An empty snippet falls back to the meta description. The hits are ``top_k`` per query;
     if few enough they are broadcast to the documents, so bodies are not shuffled, and
-    either way other documents are dropped before their bodies are worked on.
+    either way other documents are dropped before their bodies are worked on. With ``postings`` the place of a crop
+    is read from them, and not found by looking at every word of a body.
     """
     # The words to mark are those of the document's run; the dropped ones are not searched for.
     places = cut_lineage(ranked.select("qid", "place", "id", "rank_score", "words"))
-    terms = places.select("qid", "words").distinct().join(sized(answers), "qid").filter("slot < words").groupBy("qid", "words").agg(
-        F.array_sort(F.collect_set("term")).alias("terms")
-    )
-    hits = cut_lineage(places.join(terms, ["qid", "words"]).drop("words"))
+    marks = cut_lineage(places.select("qid", "words").distinct().join(sized(answers), "qid").filter("slot < words").select(
+        "qid", "words", "term"
+    ).distinct())
+    terms = marks.groupBy("qid", "words").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    hits = places.join(terms, ["qid", "words"])
+    if postings is not None:
+        asked = cut_lineage(places.select("qid", "id", "words").join(marks, ["qid", "words"]).select("qid", "id", "term"))
+        body = of_terms(postings, asked).filter(F.col("field") == FIELDS.index("body_text"))
+        first = body.join(asked, ["term", "id"]).groupBy("qid", "id").agg(F.min("pos").alias("hit_pos"))
+        hits = hits.join(first, ["qid", "id"], "left")
+    hits = cut_lineage(hits.drop("words"))
     found = documents.select("id", "url", "title", "meta_description", "body_text").join(sized(hits), "id")
     meta = F.coalesce("meta_description", F.lit(""))
-    shown = snippet(F.coalesce("body_text", F.lit("")), F.col("terms"))
-    return found.select(
+    crop = snippet(F.coalesce("body_text", F.lit("")), F.col("terms"), hit_pos=None if postings is None else F.col("hit_pos"))
+    shown = found.withColumn("crop", crop)
+    return shown.select(
         "qid", "place", "url", F.coalesce("title", F.lit("")).alias("title"),
-        F.when(shown != "", shown).otherwise(meta).alias("snippet"),
+        F.when(F.col("crop") != "", F.col("crop")).otherwise(meta).alias("snippet"),
         meta.alias("meta_description"), "rank_score",
     )
 
