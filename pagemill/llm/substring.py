@@ -17,15 +17,17 @@ What keeps it in proportion:
 
 Defined results: a null or empty text has no words and keeps none. A null doc_id neither removes words nor loses any. Repeated rows
 (same id and text) get the same result; words repeated inside one document stay. Extra columns are ignored by ``deduplicated``.
-Words are compared by 64-bit hashes, 13 in a row.
+Words are compared by XXH64 of their bytes, 13 in a row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,7 @@ PLACE = "doc_id long, k1 long, k2 long, start int, n int"
 
 #: Bytes of texts that are hashed together.
 CHUNK = 1 << 20
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,33 +49,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64, remembered up to a chunk's length."""
-    if not _powers or len(_powers[0]) < n:
-        bases = [_BASE, pow(_BASE, -1, 1 << 64)]
-        tables = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in bases]
-        if n > 4 * CHUNK:
-            return tables
-        _powers[:] = tables
-    return _powers
+def _word_hashes(data: bytes) -> np.ndarray:
+    """XXH64 of every word's bytes; a long text is split a chunk at a time."""
+    parts, at, digest = [], 0, xxhash.xxh64_intdigest
+    while at < len(data):
+        gap = _GAP.search(data, at + CHUNK) if at + CHUNK < len(data) else None
+        stop = gap.start() if gap else len(data)
+        words = data[at:stop].split()
+        parts.append(np.fromiter(map(digest, words), dtype=np.uint64, count=len(words)))
+        at = stop
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, the text of each word, and the first word of each text.
-
-    A word's hash is a polynomial over its bytes, taken from running sums over the joined texts, and its length.
-    """
-    raw = [x.encode() for x in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    space = _SPACE[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
-    begin, end = edges[::2], edges[1::2]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    ids = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    first_byte = np.cumsum([0] + [len(x) + 1 for x in raw])
-    of = np.searchsorted(first_byte, begin, side="right") - 1
-    return ids, of, np.searchsorted(of, np.arange(len(texts)))
+    """Hashes of all words of the texts, the text of each word, and the first word of each text."""
+    found = [_word_hashes(x.encode()) for x in texts]
+    counts = np.array([len(x) for x in found], dtype=np.int64)
+    ids = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+    return ids, np.repeat(np.arange(len(texts)), counts), np.cumsum(counts) - counts
 
 
 def chunks(texts: pd.Series) -> Iterator[tuple[int, int]]:
