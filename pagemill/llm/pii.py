@@ -234,19 +234,23 @@ class SemiMarkovField:
 
 
 def _variants(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """The snippet, and for one span each the spellings that the fixed patterns miss."""
+    """The snippet, and for one span each the spellings that the fixed patterns miss.
+
+    A card number with a wrong check digit is no card: such a number is a lesson without its span.
+    """
     yield text, spans
     for n, (start, end, kind) in enumerate(spans):
         span, other = text[start:end], []
         if kind == "phone":
-            other = [span[1:], re.sub(r"[ ().-]+", ".", span[1:])]
+            other = [(span[1:], True), (re.sub(r"[ ().-]+", ".", span[1:]), True)]
         elif kind == "card":
             digits = _digits(span)
-            other = ["-".join(re.findall(r".{1,4}", digits)), digits[:-1] + str((int(digits[-1]) + 3) % 10)]
-        for new in other:
+            wrong = digits[:-1] + str((int(digits[-1]) + 3) % 10)
+            other = [(".".join(re.findall(r".{1,4}", digits)), True), (wrong, False), ("-".join(re.findall(r".{1,4}", wrong)), False)]
+        for new, still in other:
             shift = len(new) - len(span)
             moved = [(s + shift * (s > start), e + shift * (e >= end), k) for s, e, k in spans]
-            yield text[:start] + new + text[end:], moved[:n] + [(start, start + len(new), kind)] + moved[n + 1:]
+            yield text[:start] + new + text[end:], moved[:n] + [(start, start + len(new), kind)] * still + moved[n + 1:]
 
 
 def fit(snippets: list[str], rounds: int = 12, rate: float = 0.6) -> SemiMarkovField | None:
