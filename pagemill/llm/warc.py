@@ -13,7 +13,7 @@ when read, the stored bytes must give the SHA-256 again. Anything else is an err
 Defined results: a null payload is the empty one. Records that repeat whole (id, url, payload) are archived
 once, or with ``repeats`` as often as they come: the repeats are numbered in their record ids, and the first of them alone can
 be the response that others revisit. Records that share an id but differ are records each. A null id counts as the smallest. A null url is
-the empty one. Extra columns are ignored. An empty table gives an empty archive.
+the empty one; characters that end a line are percent-encoded in it. Extra columns are ignored. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -35,9 +35,16 @@ def _record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cuts), F.lit(">"))
 
 
+# Characters at which some reader ends a line.
+LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+
+
 def _clean(value: Column) -> Column:
-    """A header value in one line."""
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
+    """A header value in one line: what could end a line is percent-encoded, so different values stay different."""
+    out = F.coalesce(value, F.lit(""))
+    for char in LINE_ENDS:
+        out = F.replace(out, F.lit(char), F.lit("".join(f"%{byte:02X}" for byte in char.encode())))
+    return out
 
 
 def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "url", payload: str = "html",
@@ -103,7 +110,8 @@ def fields(header: Column) -> dict[str, Column]:
     """What a header block says: id, url, type, sha1, refers_to and the block's length without headers."""
 
     def value(name: str) -> Column:
-        return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)", 1)
+        # Only "\n" ends a line, whatever else Unicode counts as one.
+        return F.regexp_extract(header, rf"(?md)^{name}: ([^\r\n]*)", 1)
 
     def number(name: str) -> Column:
         return F.nullif(value(name), F.lit("")).cast("long")
