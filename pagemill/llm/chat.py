@@ -10,7 +10,7 @@ control string (of this and of other common templates) gets one after its first
 
 Defined results: a null text or role is the empty one; a role's line ends are escaped as well. A record without a
 mapping for its fingerprint has null turns, and ``unmapped`` counts such layouts. A record that is not JSON, or null, has fingerprint
-null and null turns. Turns of one number go by role, then text; null numbers come first. A repeated row is a turn again. One conversation
+null and null turns; with ``strict`` both are an error, but for a null record. Turns of one number go by role, then text; null numbers come first. A repeated row is a turn again. One conversation
 is one training text, so its turns meet in one row. Extra columns are ignored.
 """
 
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.binding import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 # Control strings of common chat templates.
 CONTROL = [
@@ -65,16 +67,20 @@ MAPPINGS = [
 ]
 
 
+def _skeleton(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    return F.when(schema.startswith("OBJECT<"), F.regexp_replace(
+        schema, r"(: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?", "$1*"
+    ))
+
+
 def skeleton(record: Column) -> Column:
     """Nested field paths of a JSON object as one text; null if the record is not an object.
 
     That is its schema, names in order, with every scalar type as ``*``: a value of another type, or null,
     does not change the layout.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
-    return F.when(schema.startswith("OBJECT<"), F.regexp_replace(
-        schema, r"(: |ARRAY<)(?!OBJECT<|ARRAY<)[A-Z]+(\([0-9, ]*\))?", "$1*"
-    ))
+    return _skeleton(F.try_parse_json(record))
 
 
 def fingerprint(record: Column) -> Column:
@@ -104,8 +110,7 @@ def _json_path(path: str) -> str:
     return "$." + path
 
 
-def _turns(mapping: Mapping, record: Column) -> Column:
-    value = F.try_parse_json(record)
+def _turns(mapping: Mapping, value: Column) -> Column:
     if mapping.messages:
         items = F.try_variant_get(value, f"$.{mapping.messages}", "array<variant>")
 
@@ -128,13 +133,24 @@ def _turns(mapping: Mapping, record: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def canonical(record: Column, mappings: list[Mapping] | None = None, key: Column | None = None) -> Column:
-    """Canonical turns of a JSON record by the mapping of its fingerprint ``key``; null where none is registered."""
-    key, chosen = fingerprint(record) if key is None else key, F.lit(None).cast(TURNS)
-    for mapping in mappings or MAPPINGS:
-        known = hashlib.md5(layout(mapping.paths).encode()).hexdigest()
-        chosen = F.when(key == known, _turns(mapping, record)).otherwise(chosen)
-    return chosen
+def recognised(record: Column, mappings: list[Mapping] | None = None) -> Column:
+    """Struct of ``fingerprint`` and ``turns`` (by its mapping; null where none is registered); a record is parsed once."""
+
+    def by_mapping(value: Column, key: Column) -> Column:
+        chosen = F.lit(None).cast(TURNS)
+        for mapping in mappings or MAPPINGS:
+            known = hashlib.md5(layout(mapping.paths).encode()).hexdigest()
+            chosen = F.when(key == known, _turns(mapping, value)).otherwise(chosen)
+        return chosen
+
+    return let(F.try_parse_json(record), lambda value: let(F.md5(_skeleton(value)), lambda key: F.struct(
+        key.alias("fingerprint"), by_mapping(value, key).alias("turns")
+    )))
+
+
+def canonical(record: Column, mappings: list[Mapping] | None = None) -> Column:
+    """Canonical turns of a JSON record by the mapping of its fingerprint; null where none is registered."""
+    return recognised(record, mappings)["turns"]
 
 
 def unmapped(df: DataFrame, record: str, mappings: list[Mapping] | None = None) -> DataFrame:
@@ -143,12 +159,14 @@ def unmapped(df: DataFrame, record: str, mappings: list[Mapping] | None = None)
     return rows.groupBy(skeleton(F.col(record)).alias("layout")).agg(F.count("*").alias("records"))
 
 
-_CONTROL = "|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL)
+# The first character of a control string, where the rest follows: one pass that stops at two characters only.
+_CONTROL = "|".join(
+    re.escape(first) + "(?=" + "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == first) + ")" for first in sorted({c[0] for c in CONTROL})
+)
 
 
 def escaped(text: Column) -> Column:
-    doubled = F.regexp_replace(text, r"\\", r"\\\\")
-    return F.regexp_replace(doubled, _CONTROL, r"\\")
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), _CONTROL, r"$0\\")
 
 
 def unescaped(text: Column) -> Column:
@@ -203,8 +221,46 @@ def records_of(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
-def format_records(df: DataFrame, record: str = "record", mappings: list[Mapping] | None = None) -> DataFrame:
-    """``df`` with ``fingerprint``, and ``text`` and ``loss`` of the formatted turns (null where no mapping fits)."""
-    made = df.withColumn("fingerprint", fingerprint(F.col(record))).withColumn("turns", canonical(F.col(record), mappings, F.col("fingerprint")))
-    made = made.withColumn("made", formatted(F.col("turns")))
-    return made.withColumn("text", F.col("made.text")).withColumn("loss", F.col("made.loss")).drop("made", "turns")
+def layouts_of(rows: DataFrame) -> DataFrame:
+    """``conv_id`` and ``record``: turn rows as JSON in the plainest layout that holds the conversation.
+
+    A question with its answer is a prompt with its completion, with a system text before it a prompt with one; other talk of users and
+    assistants is a list in the sharegpt layout, and everything else a list of messages.
+    """
+    turn = F.struct(
+        F.col("turn").isNotNull().alias("has"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    text = lambda n: F.get("turns", F.lit(n))["text"]
+    said = lambda *names: (F.size("turns") == len(names)) & F.forall(
+        F.zip_with("turns", F.array(*map(F.lit, names)), lambda t, name: t["role"].eqNullSafe(name)), lambda same: same
+    )
+    pair = F.struct(text(0).alias("prompt"), text(1).alias("completion"))
+    led = F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("completion"))
+    talk = F.transform("turns", lambda t: F.struct(
+        F.when(t["role"] == "user", "human").otherwise("gpt").alias("from"), t["text"].alias("value")
+    ))
+    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    record = (
+        F.when(said("user", "assistant"), F.to_json(pair))
+        .when(said("system", "user", "assistant") & (text(0) != ""), F.to_json(led))
+        .when(F.forall("turns", lambda t: t["role"].isin("user", "assistant")), F.to_json(F.struct(talk.alias("conversations"))))
+        .otherwise(F.to_json(F.struct(messages.alias("messages"))))
+    )
+    return grouped.select("conv_id", record.alias("record"))
+
+
+def format_records(df: DataFrame, record: str = "record", mappings: list[Mapping] | None = None, strict: bool = False) -> DataFrame:
+    """``df`` with ``fingerprint``, and ``text`` and ``loss`` of the formatted turns (null where no mapping fits, or an error if ``strict``)."""
+
+    def made(found: Column) -> Column:
+        turns = found["turns"]
+        if strict:
+            lost = F.col(record).isNotNull() & turns.isNull()
+            turns = F.when(lost, F.raise_error(F.lit("a record that cannot be read, or of a layout without a mapping")).cast(TURNS)).otherwise(turns)
+        return let(turns, lambda t: F.struct(found["fingerprint"].alias("fingerprint"), formatted(t).alias("made")))
+
+    out = df.withColumn("found", let(recognised(F.col(record), mappings), made))
+    out = out.withColumn("fingerprint", F.col("found.fingerprint")).withColumn("text", F.col("found.made.text"))
+    return out.withColumn("loss", F.col("found.made.loss")).drop("found")

@@ -75,7 +75,7 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(said).alias("prompt"), F.lit(said).alias("completion"))).alias("record")
     )
-    made = chat.format_records(chat.records_of(table(spark, folder, "conversations")).unionByName(extra))
+    made = chat.format_records(chat.layouts_of(table(spark, folder, "conversations")).unionByName(extra), strict=True)
     read = made.withColumn("turns", chat.parsed(F.col("text"))).withColumn("learned", chat.under_loss(F.col("text"), F.col("loss")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
