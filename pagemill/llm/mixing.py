@@ -14,11 +14,12 @@
 Defined results: a null or empty text has size 0 and is never taken. A null source is a source of its
 own, the last one. Repeated rows, and rows that share an id, are documents each; equal rows are
 ordered after one another. Documents that straddle the end of a target are taken if more than half lies before it. An
-empty table gives an empty result. Extra columns are carried along in a struct, so none can clash.
+empty table gives an empty result. Extra columns, also of maps, are carried along in a struct, so none can clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +31,8 @@ from pagemill.llm.common import WORD, stored
 
 #: More sources than this are an error: their quotas are sent to every task.
 MAX_SOURCES = 100_000
+#: Above this numpy draws no hypergeometric numbers.
+LARGE = 10**9
 #: What tells a row from all others that differ.
 KEY = ["h", "h2"]
 #: Hex digits of the hash that make a bucket inside a source.
@@ -65,7 +68,13 @@ def targets(sizes: DataFrame, weights: list[float], max_repeats: int = 3) -> Dat
 def _keyed(df: DataFrame, seed: int) -> list[Column]:
     """Key of a row: ``h`` orders by id, ``h2`` is a hash of all columns. Equal rows have equal keys."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return [h.alias("h"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h2")]
+
+    def hashable(name: str, kind: str) -> Column:
+        # Spark hashes no maps; a column that holds one counts by its JSON.
+        column = F.col(f"`{name}`")
+        return F.to_json(F.struct(column)) if re.search(r"\b(map|variant)\b", kind) else column
+
+    return [h.alias("h"), F.xxhash64(*[hashable(*c) for c in df.dtypes]).alias("h2")]
 
 
 def rows_of(df: DataFrame, keep: list[str], *, text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
@@ -123,8 +132,26 @@ def leaf(quotas: list[int], shards: int, shard: int, seed: int) -> list[tuple[in
     return list(zip(left_at.tolist(), counts.tolist()))
 
 
+def hypergeometric(rng, good: int, bad: int, want: int) -> int:
+    """How many of ``want`` draws without replacement are good; exact at any size.
+
+    Of large urns every block is taken alone with one chance, until as many as wanted are taken: given their number, that is
+    the same law. The number of trials grows with the root of the blocks, about 90,000 for five billion.
+    """
+    import numpy as np
+
+    if max(good, bad) < LARGE:
+        return int(rng.hypergeometric(good, bad, want))
+    chance = want / (good + bad)
+    while True:
+        taken = rng.binomial(good, chance, size=1 << 18)
+        hit = np.flatnonzero(taken + rng.binomial(bad, chance, size=1 << 18) == want)
+        if len(hit):
+            return int(taken[hit[0]])
+
+
 def draw(rng, counts, want: int):
-    """One multivariate hypergeometric draw of ``want`` blocks, source by source; above a billion blocks by its normal limit."""
+    """One multivariate hypergeometric draw of ``want`` blocks, source by source."""
     import numpy as np
 
     out, total = np.zeros_like(counts), int(counts.sum())
@@ -134,16 +161,8 @@ def draw(rng, counts, want: int):
             break
         if good == 0:
             continue
-        if total == 0:
-            take = want
-        elif max(good, total) < 10**9:
-            take = int(rng.hypergeometric(good, total, want))
-        else:
-            mean, n = want * good / (good + total), good + total
-            spread = (mean * (total / n) * ((n - want) / max(1, n - 1))) ** 0.5
-            take = round(rng.normal(mean, spread))
-        out[place] = min(max(take, want - total, 0), good, want)
-        want -= int(out[place])
+        out[place] = take = want if total == 0 else hypergeometric(rng, good, total, want)
+        want -= take
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagemill.llm import chat, mixing, packing, queries, warc
+from pagemill.session import work_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, bucket int"
 
@@ -36,7 +38,7 @@ def test_archive_keeps_bytes_once_and_gives_every_record_back(spark, tmp_path):
     assert len(records) == len(rows)
     by = {(r.id, r.url): r for r in records}
     for i, u, h in rows:
-        r = by[i, (u or "").replace("\r\n", " ")]
+        r = by[i, (u or "").replace("\r\n", "%0D%0A")]
         body = (h or "").encode()
         assert r.payload == body and r.sha1 == hashlib.sha1(body).hexdigest()
         head, _, block = bytes(r.record).partition(b"\r\n\r\n")
@@ -44,7 +46,7 @@ def test_archive_keeps_bytes_once_and_gives_every_record_back(spark, tmp_path):
         assert block.endswith(body if r.type == "response" else b"\r\n\r\n")
     kinds = {(r.id, r.url): (r.type, r.refers_to) for r in records}
     assert kinds[5, "http://a/5"] == ("response", None)
-    assert kinds[1, "http://a/1"] == kinds[3, "http://a/3 X: y"] == kinds[None, "n"] == ("revisit", 5)
+    assert kinds[1, "http://a/1"] == kinds[3, "http://a/3%0D%0AX: y"] == kinds[None, "n"] == ("revisit", 5)
     assert kinds[2, "u"] == kinds[4, "u"] == kinds[8, "z"] == ("response", None)
     assert sorted([kinds[9, "q"], kinds[9, "r"]], key=str) == [("response", None), ("revisit", 9)]
     # A plain reader finds the same records in the files.
@@ -93,6 +95,16 @@ def test_archive_query_rebuilds_records_and_checks_their_length(spark, tmp_path,
         queries.op3_warc_archive(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("char", list(warc.LINE_ENDS) + ["\u200b", " "])
+def test_an_address_cannot_end_its_header_line(spark, char):
+    rows = [(1, f"http://a/{char}X-Source-Id: 77{char}Content-Length: 5", "<p>x</p>"), (2, "http://a/ X-Source-Id: 77 Content-Length: 5", "<p>x</p>")]
+    place = work_path(spark, "archive")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), place)
+    found = {r.id: r for r in warc.read(spark, place).collect()}
+    assert set(found) == {1, 2} and all(bytes(r.payload) == b"<p>x</p>" for r in found.values())
+    assert len(found[1].record.splitlines()) == len(found[2].record.splitlines())
+
+
 def test_damaged_payload_is_an_error_and_nothing_is_an_empty_archive(spark, tmp_path):
     place = str(tmp_path / "bad")
     df = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
@@ -151,6 +163,26 @@ def test_layouts_are_told_by_their_field_paths(spark):
     assert {r.layout: r.records for r in chat.unmapped(df, "record").collect()}[None] == 3
 
 
+def test_every_shape_of_talk_has_its_layout_and_comes_back(spark):
+    talks = {
+        1: [("user", "q"), ("assistant", "a")], 2: [("system", "s"), ("user", "q"), ("assistant", "")], 3: [("system", ""), ("user", "q"), ("assistant", "a")],
+        4: [("user", "q"), ("assistant", "a"), ("user", "r<s>[INST]")], 5: [("user", None)], 6: [("tool", "t"), (None, "n")], 7: [("human", "h"), ("gpt", "g")],
+        8: [("assistant", "a"), ("user", "u")], 9: [("system", "only")],
+    }
+    rows = [(c, n, r, t) for c, turns in talks.items() for n, (r, t) in enumerate(turns)]
+    records = chat.layouts_of(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    keys = {r.conv_id: set(json.loads(r.record)) for r in records.collect()}
+    assert keys[1] == {"prompt", "completion"} and keys[2] == {"system", "prompt", "completion"} and keys[4] == keys[5] == keys[8] == {"conversations"}
+    assert keys[3] == keys[6] == keys[7] == keys[9] == {"messages"}
+    made = chat.format_records(records, strict=True).withColumn("turns", chat.parsed(F.col("text")))
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in made.collect()} == {c: [(r or "", t or "") for r, t in turns] for c, turns in talks.items()}
+    for bad in ("not json", '{"unknown": 1}'):
+        rows = spark.createDataFrame([(1, bad)], "conv_id long, record string")
+        assert chat.format_records(rows).first().text is None
+        with pytest.raises(Exception, match="without a mapping"):
+            chat.format_records(rows, strict=True).collect()
+
+
 def test_turn_rows_become_records_in_order(spark):
     rows = [(1, 1, "assistant", None, 9), (1, 0, "user", "hi", 9), (1, None, None, "first", 9), (1, 1, "assistant", None, 9), (2, 0, "user", "x", 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record int")
@@ -216,6 +248,23 @@ def test_splitting_tree_deals_exact_quotas_without_overlap():
     assert [sum(leaf[s][1] for leaf in big) for s in range(2)] == [3 * 10**9, 2 * 10**9]
 
 
+def test_mix_carries_columns_of_maps(spark):
+    rows = [(i, f"{i} word " * 30, "ab"[i % 2], {"k": i}) for i in range(40)] + [(3, "3 word " * 30, "b", {"k": 3})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, about map<string,int>")
+    mixed = mixing.mixed_rows(df, [5.0, 2.0], max_repeats=3).collect()
+    assert mixed and all(r.about == {"k": r.doc_id} for r in mixed)
+
+
+def test_draws_from_large_urns_have_the_same_law(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(3))
+    left = mixing.draw(rng, np.array([4 * 10**9, 5 * 10**9, 7]), 10**9)
+    assert left.sum() == 10**9 and (left >= 0).all() and abs(left[0] / 10**9 - 4 / 9) < 1e-3
+    monkeypatch.setattr(mixing, "LARGE", 0)
+    small = np.bincount([mixing.hypergeometric(rng, 6, 5, 4) for _ in range(300)], minlength=5) / 300
+    want = [math.comb(6, k) * math.comb(5, 4 - k) / math.comb(11, 4) for k in range(5)]
+    assert np.abs(small - want).max() < 0.1
+
+
 def test_mix_of_nothing(spark):
     df = docs(spark, [(1, None, None), (2, "", "a")])
     assert [r.repeats for r in mixing.placed(mixing.rows_of(df, ["doc_id"]), [1.0]).collect()] == [0, 0]
