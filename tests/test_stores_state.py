@@ -148,3 +148,15 @@ def test_recent_retries_over_batches_and_the_state_they_leave(spark, tmp_path):
                                    ("c", 1, "requeue"), ("c", 2, "requeue"), ("a", 1, "requeue")])
     held = spark.read.format("statestore").option("path", state).option("stateVarName", "run").load()
     assert {r["key"][0]: r["value"]["n"] for r in held.collect()} == {"a": 1, "c": 2}
+
+
+def test_a_compacted_log_reads_the_same(spark, tmp_path):
+    log, new = str(tmp_path / "log"), str(tmp_path / "new")
+    for n in range(3):
+        tables.append_batch(spark.createDataFrame([doc(n, "x", n), doc(9, f"version {n}", n)], DOCS).select(*index_sync.LOG.fieldNames()), log, n)
+    folded = index_sync.current_index(tables.read_log(spark, log, index_sync.LOG))
+    tables.compact(folded, new, 2)
+    again = tables.read_log(spark, new, index_sync.LOG)
+    assert {r.batch for r in again.collect()} == {2}
+    want = sorted(tuple(r) for r in folded.collect())
+    assert sorted(tuple(r) for r in index_sync.current_index(again).collect()) == want and len(want) == 4
