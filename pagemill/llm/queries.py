@@ -58,14 +58,15 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Toxicity of every document, learned from the labels of three of four ids."""
+    """Toxicity of every document and its offending spans (start:end), learned from the labels of three of four ids."""
     remainder = F.crc32(F.col("doc_id").cast("string")) % 4
     seen = F.coalesce(remainder != 2, F.lit(True))
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = toxicity.scored(docs, table(spark, folder, "labels").select("doc_id", "toxic"), seen)
-    score = F.col("score")
-    return found.select("doc.doc_id", "score").select(
-        "doc_id", (~seen).alias("held_out"), "score", (score >= 0.3).cast("int").alias("predicted")
+    score, span = F.col("score"), lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))
+    return found.select("doc.doc_id", "score", "spans").select(
+        "doc_id", (~seen).alias("held_out"), "score", (score >= 0.3).cast("int").alias("predicted"),
+        F.array_join(F.transform("spans", span), ",").alias("spans"),
     )
 
 
