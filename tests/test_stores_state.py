@@ -153,7 +153,7 @@ def test_recent_retries_over_batches_and_the_state_they_leave(spark, tmp_path):
 def test_a_compacted_log_reads_the_same(spark, tmp_path):
     log, new = str(tmp_path / "log"), str(tmp_path / "new")
     for n in range(3):
-        tables.append_batch(spark.createDataFrame([doc(n, "x", n), doc(9, f"version {n}", n)], DOCS).select(*index_sync.LOG.fieldNames()), log, n)
+        tables.append_batch(spark.createDataFrame([doc(n, "x", float(n)), doc(9, f"version {n}", float(n))], DOCS).select(*index_sync.LOG.fieldNames()), log, n)
     folded = index_sync.current_index(tables.read_log(spark, log, index_sync.LOG))
     tables.compact(folded, new, 2)
     again = tables.read_log(spark, new, index_sync.LOG)
