@@ -43,6 +43,18 @@ def test_ingest_equals_batch_and_survives_replay(spark, split_pages, tmp_path):
         assert got == {tuple(r) for r in pairs.collect()}
 
 
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    rows = spark.range(20).withColumn("word", F.lit("w"))
+    rows.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "other"))
+    next((tmp_path / "other").glob("part-*")).rename(tmp_path / "events.parquet")
+    for name in ("pages.parquet", "events.parquet"):
+        source, seen = read_files(spark, str(tmp_path), rows.schema, name), []
+        source.writeStream.foreachBatch(lambda batch, number: seen.extend(r.id for r in batch.collect())).option(
+            "checkpointLocation", str(tmp_path / f"state-{name}")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(seen) == list(range(20)), name
+
+
 def test_retry_stream_equals_batch(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet").select(
         F.col("user_id").cast("string").alias("url"),
