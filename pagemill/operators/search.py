@@ -36,6 +36,12 @@ ONE_TYPO_CHARS, TWO_TYPO_CHARS = 5, 9
 # Words that find the documents of a query, and the most terms that are sent to the scan of the postings.
 FIRST_WORDS, PUSHED_TERMS = 4, 2_000
 
+# Words of a later block, and the most answers of words that are sent to all tasks.
+LATER_WORDS, SENT_ANSWERS = 56, 500_000
+
+# What a document has of a word: seven bits, three for its typos, three for its fields and one for the whole word; words in a long.
+WORD_BITS, WORDS_IN_LONG = 7, 8
+
 # Fixed value: distance that counts for neighbouring words that are far apart or not both found.
 MAX_GAP = 8
 
@@ -83,6 +89,13 @@ def typo_distance(word: Column, term: Column, budget: int) -> Column:
     def near(a: Column, b: Column) -> Column:
         return F.levenshtein(a, b, 1) >= 0
 
+    def letters(w: Column) -> Column:
+        return F.array_join(F.array_sort(F.split(w, "")), "")
+
+    # A swap leaves the letters as they are and one more error changes two of them, one out and one in. What is four letters off is two
+    # swaps or nothing.
+    same_letters = F.levenshtein(letters(word), letters(term), 2)
+
     def decided(plain: Column) -> Column:
         swapped = (F.length(word) == F.length(term)) & (F.length(word) > 1) & F.array_contains(swaps(word), term)
         out = F.when(plain.between(0, 1), plain).when(swapped, F.lit(1))
@@ -92,7 +105,8 @@ def typo_distance(word: Column, term: Column, budget: int) -> Column:
                 | F.arrays_overlap(swaps(word), swaps(term))
             )
             long_enough = (F.length(word) > 1) & (F.length(term) > 1)
-            out = out.when(plain == 2, F.lit(2)).when((plain >= 3) & long_enough & twice, F.lit(2))
+            out = out.when(plain == 2, F.lit(2)).when((plain == 3) & (same_letters < 0), None).when((plain == 4) & (same_letters != 0), None)
+            out = out.when((plain >= 3) & long_enough & twice, F.lit(2))
         return out
 
     # Two swaps are four replaced letters at most.
@@ -143,7 +157,8 @@ def match_terms(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
             .select("term", "size_of_term", "piece", F.substr("term", F.col("start"), F.col("size")).alias("part"))
         )
         close = (
-            terms.join(sized(cut_lineage(keys)), ["size_of_term", "piece", "part"]).select("word", "term").distinct()
+            terms.join(sized(cut_lineage(keys)), ["size_of_term", "piece", "part"]).select("word", "term")
+            .filter(F.levenshtein("word", "term", 2 * budget) >= 0).distinct()  # most pairs with a piece in common are far apart
             .withColumn("typos", typo_distance(F.col("word"), F.col("term"), budget))
             .filter(F.col("typos").between(1, budget))
         )
@@ -186,24 +201,71 @@ def _admitted(documents: DataFrame, queries: DataFrame, found: DataFrame) -> Dat
     wanted = queries.select("qid", F.col("domain").alias("want_domain"), F.col("language").alias("want_language"))
     passes = lambda want, have: F.coalesce(F.col(want), F.lit("")).isin("") | (F.col(want) == F.col(have))
     return (
-        found.join(documents.select("id", "domain", "language"), "id").join(sized(wanted), "qid")
+        found.join(documents.select("id", "domain", "language").hint("shuffle_hash"), "id").join(sized(wanted), "qid")
         .filter(passes("want_domain", "domain") & passes("want_language", "language"))
         .drop("want_domain", "want_language", "domain", "language")
     )
 
 
-def _runs(per_slot: DataFrame, first: int) -> DataFrame:
-    """Per query and document, the run of its slots from ``first`` on: ``words``, ``typos``, ``attribute``, ``exact``.
+def _word_hits(postings: DataFrame, meant: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Postings with the ``word`` that their term answers, by ``meant(word, term, ...)``, of the documents ``ids`` if given.
+
+    Both are stored tables. Words meet documents here and queries only afterwards, so a term that answers a word of many
+    queries is one row.
+    """
+    few = meant.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+    rows = postings.filter(F.col("term").isin([r["term"] for r in few])) if len(few) <= PUSHED_TERMS else postings
+    if ids is not None:
+        rows = rows.join(sized(ids), "id", "left_semi")
+    return rows.join(sized(meant, SENT_ANSWERS), "term")
+
+
+def _held(hits: DataFrame, slots: DataFrame, first: int, last: int, asked: DataFrame | None = None) -> DataFrame:
+    """Per document and query, what the document has of the query's words from ``first`` to ``last``: seven bits each in longs ``m0`` ...
+
+    ``hits`` are dealt by document, once; what follows stays in that place. ``slots(qid, slot, word)`` are distinct. With the stored
+    pairs ``asked(qid, id)`` others are left out.
+    """
+    bits = (
+        F.when(F.col("typos") == 0, 1).when(F.col("typos") == 1, 2).otherwise(4)
+        + F.when(F.col("field") == 0, 8).when(F.col("field") == 1, 16).otherwise(32) + F.when(F.col("whole"), 64).otherwise(0)
+    )
+    per_word = hits.select("id", "word", bits.alias("bits")).repartition("id").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    pairs = per_word.join(sized(slots), "word")
+    if asked is not None:
+        pairs = pairs.join(sized(asked), ["qid", "id"], "left_semi")
+    at = F.col("slot") - first
+    moved = F.call_function("shiftleft", F.col("bits").cast("long"), (at % WORDS_IN_LONG * WORD_BITS).cast("int"))
+    longs = range(-(-(last - first) // WORDS_IN_LONG))
+    return pairs.groupBy("id", "qid").agg(*[
+        F.coalesce(F.bit_or(F.when(F.floor(at / WORDS_IN_LONG) == i, moved)), F.lit(0).cast("long")).alias(f"m{i}") for i in longs],
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))).alias("there"),
+    )
+
+
+def _runs(held: DataFrame, width: int) -> DataFrame:
+    """Per query and document, the run of its words from the first of ``width`` on: ``words``, ``typos``, ``attribute``, ``exact``.
 
-    ``per_slot`` has at most one row per query, document and slot of a block, so a group is as short as a query's block.
+    A word is in the run if as many words as should be are before it, each counted ``times``, as often as the pair came.
     """
-    slots = F.array_sort(F.collect_list(F.struct("slot", "typos", "field", "whole")))
-    run = F.filter("slots", lambda x, i: x["slot"] == i + first)
-    total = lambda c: F.aggregate("run", F.lit(0).cast("long"), lambda s, x: s + c(x))
-    return per_slot.groupBy("qid", "id").agg(slots.alias("slots")).withColumn("run", run).select(
-        "qid", "id", F.size("run").cast("long").alias("words"), total(lambda x: x["typos"]).alias("typos"),
-        F.array_min(F.transform("run", lambda x: x["field"])).alias("attribute"),
-        total(lambda x: F.when(x["whole"], 1).otherwise(0)).alias("exact"),
+    shift = lambda name, value, by: F.call_function(name, value, by.cast("int"))
+    longs = F.array(*[f"m{i}" for i in range(-(-width // WORDS_IN_LONG))])
+    one = F.lit(1).cast("long")
+
+    def inside(s: Column) -> Column:
+        before = F.bit_count(F.col("there").bitwiseAND(shift("shiftleft", one, s) - 1)) * F.col("times")
+        return (F.col("there").bitwiseAND(shift("shiftleft", one, s)) != 0) & (before <= s) & (before + F.col("times") > s)
+
+    def part(s: Column) -> Column:
+        bits = shift("shiftright", F.get(longs, F.floor(s / WORDS_IN_LONG).cast("int")), s % WORDS_IN_LONG * WORD_BITS)
+        return bits.bitwiseAND(F.lit((1 << WORD_BITS) - 1).cast("long"))
+
+    lowest = lambda p, at: F.when(F.shiftright(p, at).bitwiseAND(one) != 0, 0).when(F.shiftright(p, at + 1).bitwiseAND(one) != 0, 1).otherwise(2)
+    total = lambda c: F.aggregate("run", F.lit(0).cast("long"), lambda n, p: n + c(p))
+    slots = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), inside)
+    return held.withColumn("run", F.transform(slots, part)).filter(F.size("run") > 0).select(
+        "qid", "id", F.size("run").cast("long").alias("words"), total(lambda p: lowest(p, 0)).alias("typos"),
+        F.array_min(F.transform("run", lambda p: lowest(p, 3))).alias("attribute"), total(lambda p: F.shiftright(p, 6)).alias("exact"),
     )
 
 
@@ -224,61 +286,66 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
                     typos: bool = True, top_k: int = TOP_K, prefix: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(answers, matches)``: index terms per query word, and the matching documents per query.
 
-    ``answers`` is ``(qid, slot, term, typos, whole)``. With ``prefix`` a last word that the query ends with is also answered
+    ``answers`` is ``(qid, slot, word, term, typos, whole)``; ``word`` names the terms that answer it, in every query. With ``prefix`` a last word that the query ends with is also answered
     by every term that starts with it, without a typo but not as a ``whole`` word, which is what ``exact`` counts. ``matches`` has one row per query and
     document with every rule but proximity, which needs positions. Both are stored, since ranking, facets and
     snippets read them again.
 
-    The first words of a query find its documents in the postings. Words come in blocks of growing size, and later
-    blocks are looked up only for documents that have all earlier words; what cannot reach the answer is never stored.
+    The first words of a query find its documents in the postings. Later words come in blocks that are looked up only for
+    documents that have all earlier words. A pair of query and document is a few numbers whatever the number of terms.
     """
-    slots = query_terms(queries)
+    slots = query_terms(queries).distinct()
     words = slots.select("word").distinct()
     vocabulary = cut_lineage(postings.select("term").distinct()) if typos or prefix else None
     if typos:
         terms = match_terms(cut_lineage(words), vocabulary)
     else:
         terms = words.select("word", F.col("word").alias("term"), F.lit(0).alias("typos"))
-    whole = (F.col("typos") == 0).alias("whole")
-    answers = slots.join(terms, "word").select("qid", "slot", "term", "typos", whole)
+    meant = terms.select("word", "term", "typos", (F.col("typos") == 0).alias("whole"))
     if prefix:
-        ends = slots.join(last_words(queries), ["qid", "word"])
-        longer = match_prefixes(cut_lineage(ends.select("word").distinct()), vocabulary)
-        begun = ends.join(longer, "word").select("qid", "slot", "term", "typos", F.lit(False).alias("whole"))
+        # The word that a query ends with is a word of its own, with a star.
+        meant, ends = cut_lineage(meant), last_words(queries).distinct().withColumn("ends", F.lit("*"))
+        slots = cut_lineage(slots.join(ends, ["qid", "word"], "left").withColumn("said", F.concat("word", F.coalesce("ends", F.lit("")))))
+        begins = cut_lineage(slots.filter("ends is not null").select("word", "said").distinct())
+        longer = match_prefixes(cut_lineage(begins.select("word")), vocabulary).withColumn("whole", F.lit(False))
         # A term within a typo that also starts with the word counts as its start.
-        answers = answers.unionByName(begun).groupBy("qid", "slot", "term").agg(
+        begun = meant.unionByName(longer).join(sized(begins), "word").groupBy("said", "term").agg(
             F.min("typos").alias("typos"), F.max("whole").alias("whole")
         )
-    answers = cut_lineage(answers)
-    lengths = cut_lineage(slots.groupBy("qid").agg(F.count("*").alias("asked")))
-    longest = lengths.agg(F.max("asked")).first()[0] or 0
+        meant = meant.unionByName(begun.withColumnRenamed("said", "word"))
+        slots = slots.select("qid", "slot", F.col("said").alias("word"))
+    meant, slots = cut_lineage(meant), cut_lineage(slots)
+    answers = cut_lineage(slots.join(meant, "word").select("qid", "slot", "word", "term", "typos", "whole"))
+    longest = slots.agg(F.max("slot") + 1).first()[0] or 0
 
-    def per_slot(hits: DataFrame) -> DataFrame:
-        return hits.groupBy("qid", "id", "slot").agg(
-            F.min("typos").alias("typos"), F.min("field").alias("field"), F.max("whole").alias("whole")
-        )
+    def block(first: int, last: int) -> tuple[DataFrame, DataFrame]:
+        some = cut_lineage(slots.filter((F.col("slot") >= first) & (F.col("slot") < last)))
+        return some, cut_lineage(meant.join(sized(some.select("word").distinct()), "word", "left_semi"))
 
     # The postings stay where they are: a checked number of answers is sent to them.
-    opening = answers.filter(F.col("slot") < FIRST_WORDS)
-    hits = of_terms(postings, opening).select("term", "id", "field").join(sized(opening), "term")
-    found = _runs(_admitted(documents, queries, per_slot(hits)), 0).filter("words > 0")
-    found = cut_lineage(_kept(found, top_k))
-    first, last = FIRST_WORDS, 2 * FIRST_WORDS
+    asked, said = block(0, FIRST_WORDS)
+    hits = _word_hits(postings, said).select("id", "word", "field", "typos", "whole")
+    held = _admitted(documents, queries, _held(hits, asked, 0, FIRST_WORDS)).groupBy("id", "qid").agg(
+        F.max("m0").alias("m0"), F.max("there").alias("there"), F.count("*").alias("times")
+    )
+    found = _kept(cut_lineage(_runs(held, FIRST_WORDS)), top_k)
+    first = FIRST_WORDS
     while first < longest:
-        going = found.filter(F.col("words") == first).join(sized(lengths.filter(F.col("asked") > first)), "qid").drop("asked")
-        block = answers.filter((F.col("slot") >= first) & (F.col("slot") < last))
-        asked = going.select("qid", "id").join(sized(block), "qid")
-        more = per_slot(of_terms(postings, block).select("term", "id", "field").join(asked, ["term", "id"]))
-        more = _runs(more, first).toDF("qid", "id", "more_words", "more_typos", "more_attribute", "more_exact")
+        last = first + LATER_WORDS
+        going = cut_lineage(found.filter(F.col("words") == first).select("qid", "id"))
+        if going.isEmpty():
+            break
+        asked, said = block(first, last)
+        hits = _word_hits(postings, said, cut_lineage(going.select("id").distinct())).select("id", "word", "field", "typos", "whole")
+        more = _runs(_held(hits, asked, first, last, going).withColumn("times", F.lit(1)), LATER_WORDS)
+        more = more.toDF("qid", "id", "more_words", "more_typos", "more_attribute", "more_exact")
         plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
         found = _kept(cut_lineage(found.join(more, ["qid", "id"], "left").select(
             "qid", "id", plus("words"), plus("typos"), F.least("attribute", "more_attribute").alias("attribute"), plus("exact")
         )), top_k)
-        if found.filter(F.col("words") >= last).isEmpty():
-            break
-        first, last = last, 2 * last
+        first = last
     shown = documents.select("id", "url", "domain", "language", "rank_score")
-    return answers, cut_lineage(shown.join(sized(found), "id").select(
+    return answers, cut_lineage(shown.join(found, "id").select(
         "qid", "id", "words", "typos", "attribute", "exact", "url", "domain", "language", "rank_score"
     ))
 
@@ -289,9 +356,13 @@ def _proximity(candidates: DataFrame, answers: DataFrame, postings: DataFrame) -
     The nearest occurrences of two words are next to each other when the occurrences of
     both are put in order, so one sort per document finds them and no pairs are formed.
     """
-    asked = candidates.select("qid", "id", "words").join(sized(answers), "qid").filter("slot < words").drop("words", "typos", "whole")
+    slots = cut_lineage(answers.select("qid", "slot", "word").distinct())
+    asked = candidates.select("qid", "id", "words").join(sized(slots), "qid").filter("slot < words").drop("words")
     asked = cut_lineage(asked)
-    places = of_terms(postings, asked).join(asked, ["term", "id"]).select("qid", "id", "field", "slot", "pos")
+    meant = cut_lineage(answers.join(sized(cut_lineage(asked.select("word").distinct())), "word", "left_semi").select("word", "term").distinct())
+    # Words, not their terms, meet the candidates: the start of a word may have very many terms.
+    hits = _word_hits(postings, meant, cut_lineage(asked.select("id").distinct())).select("id", "word", "field", "pos")
+    places = hits.join(sized(asked), ["id", "word"]).select("qid", "id", "field", "slot", "pos")
     # Word number s takes part in the pair (s - 1, s) and in the pair (s, s + 1).
     sides = places.select(
         "qid", "id", "field", "pos", "slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"))).alias("pair")
@@ -424,8 +495,8 @@ def results(ranked: DataFrame, answers: DataFrame, documents: DataFrame, posting
     hits = places.join(terms, ["qid", "words"])
     if postings is not None:
         asked = cut_lineage(places.select("qid", "id", "words").join(marks, ["qid", "words"]).select("qid", "id", "term"))
-        body = of_terms(postings, asked).filter(F.col("field") == FIELDS.index("body_text"))
-        first = body.join(asked, ["term", "id"]).groupBy("qid", "id").agg(F.min("pos").alias("hit_pos"))
+        body = postings.filter(F.col("field") == FIELDS.index("body_text")).join(sized(cut_lineage(asked.select("id").distinct())), "id", "left_semi")
+        first = of_terms(body, asked).join(sized(asked), ["term", "id"]).groupBy("qid", "id").agg(F.min("pos").alias("hit_pos"))
         hits = hits.join(first, ["qid", "id"], "left")
     hits = cut_lineage(hits.drop("words"))
     found = documents.select("id", "url", "title", "meta_description", "body_text").join(sized(hits), "id")

@@ -161,6 +161,22 @@ def test_a_search_sends_its_terms_to_the_scan(spark, tmp_path):
     assert many.count() == 500
 
 
+def test_words_of_many_queries_and_many_terms_meet_a_document_once(spark):
+    docs = spark.createDataFrame(
+        [(i, f"u{i}", "", " ".join(f"abc{n}" for n in range(i + 1)) + " end", "", "d", "en", 0.5) for i in range(30)],
+        "id long, url string, title string, body_text string, meta_description string, domain string, language string, rank_score double")
+    queries = spark.createDataFrame([(q, "end abc", None, None) for q in range(10)], "qid long, q string, domain string, language string")
+    posts = indexing.postings(docs)
+    found, matches = search.match_documents(queries, posts, docs, prefix=True)
+    asked = found.filter("word = 'abc*'")
+    meant = asked.select("word", "term").distinct()
+    assert meant.count() == 30 and asked.count() == 300
+    # A posting is one row, though ten queries ask for its word.
+    assert search._word_hits(posts, meant).count() == posts.filter("term like 'abc%'").count()
+    ranked = search.rank(queries, found, matches, posts).collect()
+    assert {(r.qid, r.words, r.proximity) for r in ranked} == {(q, 2, 1) for q in range(10)}
+
+
 def test_crop(spark):
     body = " ".join(f"w{i}" for i in range(400))
     crop = lambda *terms: spark.range(1).select(
