@@ -71,6 +71,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(text), accented, plain)
 
 
+def fold_body(text: Column) -> Column:
+    """``fold`` of a long text, a column: one without accents is not looked through letter by letter."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(fold(text))
+
+
 def words(text: Column) -> Column:
     """All words of a text in order."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

@@ -120,7 +120,7 @@ def postings(docs: DataFrame, key: str = "id") -> DataFrame:
         for i, name in enumerate(FIELDS)
     ])
     tokens = docs.select(key, F.inline(fields)).select(
-        key, "field", F.posexplode(text.words(text.fold(F.col("content")))).alias("pos", "term")
+        key, "field", F.posexplode(text.words(text.fold_body(F.col("content")))).alias("pos", "term")
     )
     return tokens.select("term", key, "field", (F.col("pos") + 1).alias("pos"))
 

@@ -36,6 +36,9 @@ ONE_TYPO_CHARS, TWO_TYPO_CHARS = 5, 9
 # Words that find the documents of a query, and the most terms that are sent to the scan of the postings.
 FIRST_WORDS, PUSHED_TERMS = 4, 2_000
 
+# Hits of words that one task deals with, about: what a task holds does not grow with the index.
+TASK_HITS = 250_000
+
 # Words of a later block, and the most answers of words that are sent to all tasks.
 LATER_WORDS, SENT_ANSWERS = 56, 500_000
 
@@ -97,7 +100,8 @@ def typo_distance(word: Column, term: Column, budget: int) -> Column:
     same_letters = F.levenshtein(letters(word), letters(term), 2)
 
     def decided(plain: Column) -> Column:
-        swapped = (F.length(word) == F.length(term)) & (F.length(word) > 1) & F.array_contains(swaps(word), term)
+        # One swap is two replaced letters, so words that are farther apart are not put through their swaps for it.
+        swapped = (plain == 2) & (F.length(word) == F.length(term)) & (F.length(word) > 1) & F.array_contains(swaps(word), term)
         out = F.when(plain.between(0, 1), plain).when(swapped, F.lit(1))
         if budget == 2:
             twice = (
@@ -220,20 +224,23 @@ def _word_hits(postings: DataFrame, meant: DataFrame, ids: DataFrame | None = No
     return rows.join(sized(meant, SENT_ANSWERS), "term")
 
 
-def _held(hits: DataFrame, slots: DataFrame, first: int, last: int, asked: DataFrame | None = None) -> DataFrame:
+def _held(hits: DataFrame, slots: DataFrame, first: int, last: int, tasks: int, asked: DataFrame | None = None) -> DataFrame:
     """Per document and query, what the document has of the query's words from ``first`` to ``last``: seven bits each in longs ``m0`` ...
 
-    ``hits`` are dealt by document, once; what follows stays in that place. ``slots(qid, slot, word)`` are distinct. With the stored
-    pairs ``asked(qid, id)`` others are left out.
+    ``hits`` are dealt by document, once, to as many ``tasks``; what follows stays in that place. ``slots(qid, slot, word)`` are distinct.
+    With the stored pairs ``asked(qid, id)`` hits are dealt by document and word, and meet the words of these pairs alone.
     """
     bits = (
         F.when(F.col("typos") == 0, 1).when(F.col("typos") == 1, 2).otherwise(4)
         + F.when(F.col("field") == 0, 8).when(F.col("field") == 1, 16).otherwise(32) + F.when(F.col("whole"), 64).otherwise(0)
     )
-    per_word = hits.select("id", "word", bits.alias("bits")).repartition("id").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
-    pairs = per_word.join(sized(slots), "word")
-    if asked is not None:
-        pairs = pairs.join(sized(asked), ["qid", "id"], "left_semi")
+    place = ["id"] if asked is None else ["id", "word"]
+    per_word = hits.select("id", "word", bits.alias("bits")).repartition(tasks, *place).groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    if asked is None:
+        pairs = per_word.join(sized(slots), "word")
+    else:
+        wanted = asked.distinct().join(sized(slots), "qid").repartition(tasks, *place)
+        pairs = per_word.join(wanted.hint("shuffle_hash"), ["id", "word"])
     at = F.col("slot") - first
     moved = F.call_function("shiftleft", F.col("bits").cast("long"), (at % WORDS_IN_LONG * WORD_BITS).cast("int"))
     longs = range(-(-(last - first) // WORDS_IN_LONG))
@@ -296,7 +303,9 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
     """
     slots = query_terms(queries).distinct()
     words = slots.select("word").distinct()
-    vocabulary = cut_lineage(postings.select("term").distinct()) if typos or prefix else None
+    looked_up = postings if typos or prefix else of_terms(postings, words.select(F.col("word").alias("term")))
+    counts = cut_lineage(looked_up.groupBy("term").agg(F.count("*").alias("n")))
+    vocabulary = counts.select("term")
     if typos:
         terms = match_terms(cut_lineage(words), vocabulary)
     else:
@@ -317,15 +326,19 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
     meant, slots = cut_lineage(meant), cut_lineage(slots)
     answers = cut_lineage(slots.join(meant, "word").select("qid", "slot", "word", "term", "typos", "whole"))
     longest = slots.agg(F.max("slot") + 1).first()[0] or 0
+    counts = cut_lineage(counts.join(sized(meant.select("term").distinct()), "term", "left_semi"))
+    least = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def block(first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    def block(first: int, last: int) -> tuple[DataFrame, DataFrame, int]:
         some = cut_lineage(slots.filter((F.col("slot") >= first) & (F.col("slot") < last)))
-        return some, cut_lineage(meant.join(sized(some.select("word").distinct()), "word", "left_semi"))
+        said = cut_lineage(meant.join(sized(some.select("word").distinct()), "word", "left_semi"))
+        n_hits = said.join(sized(counts), "term").agg(F.sum("n")).first()[0] or 0
+        return some, said, max(least, -(-n_hits // TASK_HITS))
 
     # The postings stay where they are: a checked number of answers is sent to them.
-    asked, said = block(0, FIRST_WORDS)
+    asked, said, tasks = block(0, FIRST_WORDS)
     hits = _word_hits(postings, said).select("id", "word", "field", "typos", "whole")
-    held = _admitted(documents, queries, _held(hits, asked, 0, FIRST_WORDS)).groupBy("id", "qid").agg(
+    held = _admitted(documents, queries, _held(hits, asked, 0, FIRST_WORDS, tasks)).groupBy("id", "qid").agg(
         F.max("m0").alias("m0"), F.max("there").alias("there"), F.count("*").alias("times")
     )
     found = _kept(cut_lineage(_runs(held, FIRST_WORDS)), top_k)
@@ -335,9 +348,9 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
         going = cut_lineage(found.filter(F.col("words") == first).select("qid", "id"))
         if going.isEmpty():
             break
-        asked, said = block(first, last)
+        asked, said, tasks = block(first, last)
         hits = _word_hits(postings, said, cut_lineage(going.select("id").distinct())).select("id", "word", "field", "typos", "whole")
-        more = _runs(_held(hits, asked, first, last, going).withColumn("times", F.lit(1)), LATER_WORDS)
+        more = _runs(_held(hits, asked, first, last, tasks, going).withColumn("times", F.lit(1)), LATER_WORDS)
         more = more.toDF("qid", "id", "more_words", "more_typos", "more_attribute", "more_exact")
         plus = lambda c: (F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c)
         found = _kept(cut_lineage(found.join(more, ["qid", "id"], "left").select(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -97,6 +98,15 @@ def answers(spark, *queries, top_k=20):
     return docs, found, matches, ranked
 
 
+def index_docs(spark, n):
+    """``n`` documents of one body, each word twice."""
+    return spark.range(n).select(
+        "id", F.concat(F.lit("http://d/"), F.col("id").cast("string")).alias("url"), F.lit(None).cast("string").alias("title"),
+        F.lit("one two three four five one two three four five").alias("body_text"), F.lit(None).cast("string").alias("meta_description"),
+        F.lit("d").alias("domain"), F.lit("en").alias("language"), F.lit(1.0).alias("rank_score"),
+    )
+
+
 def test_search_order_filters_and_limits(spark):
     docs, found, matches, ranked = answers(
         spark, (1, "apple banana", None, None), (7, "banana apple", None, None), (2, "apple", None, "de"), (3, "apple", "d", "en"), (4, "", None, None),
@@ -177,6 +187,33 @@ def test_words_of_many_queries_and_many_terms_meet_a_document_once(spark):
     assert {(r.qid, r.words, r.proximity) for r in ranked} == {(q, 2, 1) for q in range(10)}
 
 
+def test_tasks_of_a_search_grow_with_its_hits(spark, monkeypatch):
+    # Every document has the five words twice: 1,200 hits of the first four, 300 of the fifth.
+    docs = index_docs(spark, 150)
+    queries = spark.createDataFrame([(1, "one two three four five", None, None)], "qid long, q string, domain string, language string")
+    seen, held = [], search._held
+
+    def watched(*args):
+        out = held(*args)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        seen.append({n for n in (60, 15) if f", {n})" in plan or f", {n}), REPARTITION_BY_NUM" in plan})
+        return out
+
+    monkeypatch.setattr(search, "TASK_HITS", 20)
+    monkeypatch.setattr(search, "_held", watched)
+    for typos in (True, False):
+        _, matches = search.match_documents(queries, indexing.postings(docs), docs, typos=typos)
+        assert {(r.id, r.words) for r in matches.collect()} == {(i, 5) for i in range(150)}
+    assert seen == [{60}, {15}] * 2
+
+
+def test_far_words_are_not_put_through_their_swaps(spark):
+    # The swaps of a word are made for a term that is two replaced letters away, as one swap is, or may be two errors with a swap.
+    condition = search.typo_distance(F.col("w"), F.col("t"), 2)._jc.toString()
+    first_swap = condition.index("array_contains")
+    assert re.search(r"=\(x_\d+, 2\)", condition[first_swap - 120:first_swap]), condition[:first_swap]
+
+
 def test_crop(spark):
     body = " ".join(f"w{i}" for i in range(400))
     crop = lambda *terms: spark.range(1).select(
