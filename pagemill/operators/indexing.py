@@ -14,6 +14,9 @@ from pagemill.session import cut_lineage
 # Searchable fields, most important first.
 FIELDS = ["title", "body_text", "meta_description"]
 
+# Frequent words whose stems are made once and sent to all tasks.
+FREQUENT_WORDS = 100_000
+
 
 def is_stale() -> Column:
     """Never indexed, or crawled again since; deleted pages count in the queue depth."""
@@ -91,21 +94,24 @@ def delete_documents(index: DataFrame, gone: DataFrame) -> DataFrame:
 def term_vectors(docs: DataFrame, key: str) -> DataFrame:
     """English term vector of ``title`` and ``body``: ``(key, term, positions)``.
 
-    Positions count every word, stop words included; stop words are then left out and the
-    other words stemmed. Each distinct word is stemmed once; the stems are sent to the words if
-    they are few, else words are shuffled to them.
+    Positions count every word, stop words included; stop words are then left out and the other words stemmed. Most words of
+    texts are few different ones: the most frequent are stemmed once and sent to the words, a rare one is stemmed where it stands.
+    Texts are spread by key before they are cut, so their words are never shuffled.
     """
-    stop = F.lit(text.STOP_WORDS)
-    whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
+    whole = docs.select(key, F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))).alias("whole"))
 
-    def found(content: Column) -> Column:
-        words = F.transform(text.words(F.lower(content)), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
-        return F.filter(words, lambda x: ~F.array_contains(stop, x["word"]))
+    def tokens(texts: DataFrame) -> DataFrame:
+        found = texts.select(key, F.posexplode(text.words(F.col("whole"))).alias("place", "word"))
+        return found.filter(~F.col("word").isin(text.STOP_WORDS))
 
-    # The texts are spread by key before they are cut, which is less to shuffle than their words.
-    tokens = cut_lineage(docs.select(key, whole.alias("whole")).repartition(key).select(key, F.inline(found(F.col("whole")))))
-    stems = cut_lineage(tokens.select("word").distinct().select("word", text.stem(F.col("word")).alias("term")))
-    return tokens.join(sized(stems), "word").groupBy(key, "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    frequent = cut_lineage(
+        tokens(whole).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
+    )
+    stems = cut_lineage(frequent.select("word", text.stem(F.col("word")).alias("known")))
+    stemmed = tokens(whole.repartition(key)).join(sized(stems), "word", "left").select(
+        key, F.coalesce("known", text.stem(F.col("word"))).alias("term"), (F.col("place") + 1).alias("pos")
+    )
+    return stemmed.groupBy(key, "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def postings(docs: DataFrame, key: str = "id") -> DataFrame:

@@ -303,6 +303,20 @@ def exchanged(frame, column):
     return [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and column in line]
 
 
+def test_term_vectors_do_not_shuffle_words(spark, monkeypatch):
+    # Rows of one key are one document's; with one frequent word the others are stemmed where they stand.
+    monkeypatch.setattr(indexing, "FREQUENT_WORDS", 1)
+    rows = [(1, "running dogs", "dogs ran and runs"), (2, None, "dogs"), (1, "runs", None), (None, "flies", "flying")]
+    docs = spark.createDataFrame(rows, "id long, title string, body string")
+    vectors = indexing.term_vectors(docs, "id")
+    assert sorted((r.id or 0, r.term, r.positions) for r in vectors.collect()) == [
+        (0, "fli", [1]), (0, "fly", [2]), (1, "dog", [2, 3]), (1, "ran", [4]), (1, "run", [1, 1, 6]), (2, "dog", [1]),
+    ]
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1, final  # the texts, by key
+
+
 def test_a_small_batch_leaves_the_large_side_where_it_is(spark, tmp_path):
     names = schemas.PAGES.fieldNames()
     given = {"id": F.col("id"), "url": F.concat(F.lit("u"), F.col("id")), "domain": F.lit("d"), "depth": F.lit(0), "body_text": F.lit("big")}
