@@ -186,6 +186,16 @@ def test_schedule_spaces_hosts_and_caps_minutes(spark):
     assert max(per_minute.values()) <= 4
 
 
+def test_pagerank_makes_its_edges_once(spark):
+    # What the edges are made from is in no later plan, the last round's included; sums go by target in order.
+    edges = spark.range(40).select(F.col("id").alias("source_id"), ((F.col("id") * 7 + 3) % 40).alias("target_id")).filter("source_id <> 987654")
+    made = []
+    ranks = graph._pagerank(spark.range(40), edges, graph.DAMPING, 4, 5, graph.HOT_DEGREE, False, made)
+    assert "987654" not in ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert all(abs(r.score - 1 / 40) < 1e-12 for r in ranks.collect())
+    drop_tables(spark, made)
+
+
 def test_pagerank_leaves_no_table(spark):
     nodes, edges = spark.range(4), spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 0)], "source_id long, target_id long")
     ranks = graph.pagerank(nodes, edges, iterations=8, checkpoint_every=2)
