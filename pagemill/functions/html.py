@@ -237,7 +237,7 @@ def meta_description(html: Column) -> Column:
     """Content of the first ``<meta name="description">``, stripped."""
     tags = F.regexp_extract_all(cut_elements(html, CODE_SKIP), F.lit(META_TAG), F.lit(0))
     wanted = F.filter(tags, lambda t: attribute(t, "name") == "description")
-    return F.coalesce(strip(attribute(F.get(wanted, F.lit(0)), "content")), F.lit(""))
+    return let(F.get(wanted, F.lit(0)), lambda t: F.coalesce(strip(attribute(t, "content")), F.lit("")))
 
 
 def hrefs(html: Column, skip: list[str] = BODY_SKIP) -> Column:

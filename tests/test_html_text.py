@@ -193,3 +193,12 @@ def test_hostile_pages_are_linear(spark):
 def test_reading_ease_of_consonants_is_linear(spark):
     got, seconds = timed(spark, "b" * 100_000 + " a", text.reading_ease(F.col("h")))
     assert seconds < 2 and abs(got - (206.835 - 1.015 * 2 - 84.6)) < 1e-9
+
+
+def test_meta_tags_are_looked_for_once(spark, capsys):
+    page = spark.createDataFrame([("<meta name='description' content=' a &amp; b '><meta name=description content=c>",), ("<p>",), (None,)], "html string")
+    found = page.select(html.meta_description(F.col("html")).alias("meta"))
+    assert [r.meta for r in found.collect()] == ["a & b", "", ""]
+    found.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("regexp_extract_all") == 1

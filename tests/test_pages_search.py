@@ -3,7 +3,11 @@
 import datetime as dt
 import random
 import re
+import unicodedata
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagemill import schemas
@@ -291,6 +295,85 @@ def test_language_accuracy_on_pages(spark, data):
     assert {r.language for r in language.identify(short, "page_id", model).collect()} == {"unknown"}
 
 
+LANGUAGE_DOCS = [
+    ("el", "\u039f\u0394\u039f\u03a3 \u03a3\u0391\u03a3, \u03a3 x\u03a3y"), ("tr", "\u0130stanbul\u0130 I ab1cd_ef"), ("zh", "\u4e2d\u6587\u5b57 \u4e2d\U00020000\u6587"),
+    ("en", "The cat, the CAT; it's"), ("en", ""), ("en", None), (None, "the cat"), ("tr", "ab\ncd\tef\u0301g"), ("de", "Stra\u00dfe \u00c4\u00d6\u00dc"),
+] + [("zh", "".join(map(chr, range(0x4E00, 0x4E00 + 600))))]
+
+
+def trigrams_of(text):
+    words = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()
+    return Counter(f" {w} "[i:i + 3] for w in words for i in range(len(w)))
+
+
+def test_language_trigrams_are_counted_where_the_text_is_read(spark):
+    docs = spark.createDataFrame(LANGUAGE_DOCS, "language string, text string")
+    want = Counter()
+    for lang, text in LANGUAGE_DOCS:
+        want.update({(lang, gram): n for gram, n in trigrams_of(text or "").items()})
+    got = language._grams(docs, "language").groupBy("language", "gram").sum("n").collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want
+    # A task sends trigrams, not words: a thousand texts of the same words make as many rows as one.
+    many = spark.range(1000).coalesce(1).select(F.lit("en").alias("language"), F.lit("one two three two one").alias("text"))
+    assert language._grams(many, "language").count() == len(trigrams_of("one two three"))
+
+
+def test_language_of_repeated_null_and_short_texts(spark, monkeypatch):
+    docs = spark.createDataFrame(LANGUAGE_DOCS, "language string, text string")
+    model = language.train(docs)
+    languages = [r.language for r in model[1].orderBy("language").collect()]
+    floors = {r.language: r.floor for r in model[1].collect()}
+    weights = {(r.language, r.gram): r.weight for r in model[0].collect()}
+    known = {gram for _, gram in weights}
+    rows = [(1, "The cat " * 9), (2, "the cat"), (2, "Stra\u00dfe " * 9), (2, None), (3, None), (None, "The cat " * 9), (4, "\u4e2d\u6587 " * 20),
+            (5, "\u03a3\u0391\u03a3 " * 20), (6, "qqq " * 30), (7, "123 " * 30), (8, "\u0130stanbul \U00020000" * 9), (8, "\u0130stanbul \U00020000" * 9)]
+
+    def wanted(key, text):
+        grams = Counter()
+        for k, t in rows:
+            if k == key and key is not None and t and len(t) > language.MIN_CHARS:
+                grams.update(trigrams_of(t))
+        if not any(g in known for g in grams):
+            return "unknown"
+        if text is None:
+            return languages[0] or "unknown"
+        letters = sum(trigrams_of(text).values())
+        sums = [(-(sum(weights.get((lang, g), 0) * n for g, n in grams.items()) + letters * floors[lang]), i) for i, lang in enumerate(languages)]
+        return languages[min(sums)[1]] or "unknown"
+
+    texts = spark.createDataFrame(rows, "id long, text string")
+    want = sorted([(key or 0, wanted(key, text)) for key, text in rows])
+    assert len({lang for _, lang in want}) >= 4
+    assert sorted((r.id or 0, r.language) for r in language.identify(texts, "id", model).collect()) == want
+    # A model that is too large to be sent is joined, with the same result.
+    monkeypatch.setattr(language, "small", lambda df: False)
+    assert sorted((r.id or 0, r.language) for r in language.identify(texts, "id", model).collect()) == want
+
+
+def test_language_blocks_and_large_alphabets(monkeypatch):
+    texts = ["ab cd", "", "\u4e2d\u6587 ab", "x" * 50, None, "cd"]
+    bounds = [ord("a"), ord("z") + 1, 0x4E00, 0x9FFD]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, None, 2, 3]), pa.array(texts), pa.array([True] * 6)], names=["id", "text", "counts"])
+    grams, weights = [" ab", "cd ", " \u4e2d\u6587"], np.array([[0, 5, 7, 11], [0, 1, 0, 2]])
+
+    def both():
+        counted = Counter()
+        for part in language._counter("id", bounds)(iter([batch])):
+            for row in part.to_pylist():
+                counted[row["id"], row["gram"]] += row["n"]
+        scored = [r for part in language._scorer("id", grams, weights, ["w0", "w1"], bounds)(iter([batch])) for r in part.to_pylist()]
+        return counted, scored
+
+    counted, scored = both()
+    assert counted[1, " ab"] == 1 and counted[2, "\u4e2d\u6587 "] == 1 and counted[None, "xxx"] == 48 and counted[3, "cd "] == 1
+    assert [(r["letters"], r["matched"], r["w0"], r["w1"]) for r in scored] == [
+        (4, 2, 12, 1), (0, 0, 0, 0), (4, 2, 16, 3), (50, 0, 0, 0), (None, 0, 0, 0), (2, 1, 7, 0)]
+    monkeypatch.setattr(language, "BLOCK_CHARS", 8)
+    assert both() == (counted, scored)
+    monkeypatch.setattr(language, "MAX_CELLS", 0)
+    assert both() == (counted, scored)
+
+
 def test_term_vectors(spark):
     docs = spark.createDataFrame([(1, "The cats", "sat on cats, sitting")], "id long, title string, body string")
     got = {r.term: r.positions for r in indexing.term_vectors(docs, "id").collect()}
