@@ -134,11 +134,9 @@ def _cut_closed(page: Column, tag: str, mark: str) -> Column:
     closing = rf"</{tag}\s*+>"
 
     def cut(p: Column) -> Column:
-        closed = F.regexp_extract(p, rf"(?is)^.*{closing}", 0)
-        rest = F.substr(p, F.length(closed) + 1)
-        return F.when(p.rlike(f"(?i){closing}"), F.concat(
-            F.regexp_replace(closed, rf"(?is){_opening(tag)}.*?{closing}", mark), rest
-        )).otherwise(p)
+        return F.when(p.rlike(f"(?i){closing}"), let(F.regexp_extract(p, rf"(?is)^.*{closing}", 0), lambda closed: F.concat(
+            F.regexp_replace(closed, rf"(?is){_opening(tag)}.*?{closing}", mark), F.substr(p, F.length(closed) + 1)
+        ))).otherwise(p)
 
     return let(page, cut)
 

@@ -47,10 +47,13 @@ def load_corpus(
         found = found.withColumn("readability_score", text.reading_ease(F.col("main_text")))
         extra.append("readability_score")
     extracted = cut_lineage(page_table.page_record(found, depth if depth is not None else F.lit(0), crawled_at, extra=extra))
+    writes = extracted.drop(*extra)
     if model is not None:
         found = languages.identify(extracted.select("url", F.col("body_text").alias("text")), "url", model)
-        extracted = extracted.drop("language").join(found, "url").select(*extracted.columns)
-    pages = page_table.upsert(existing, extracted.drop(*extra))
+        # Only the writes need the language; a page without a url meets none.
+        writes = writes.drop("language").join(found, "url").select(*writes.columns)
+        extracted = extracted.filter(F.col("url").isNotNull())
+    pages = page_table.upsert(existing, writes)
     if readable:
         ease = pages.select("id", "url").join(extracted.select("url", "readability_score"), "url").drop("url")
         pages = page_table.set_columns_by_id(pages, ease, ["readability_score"])
