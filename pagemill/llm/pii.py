@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagemill.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<start:int,end:int,kind:string>>"
@@ -322,7 +323,8 @@ def train(df: DataFrame, text: str = "text", per_kind: int = SAMPLE_PER_KIND) ->
     found = df.filter(F.col(text).rlike("[0-9@]")).select(F.explode(snippets(F.col(text))).alias("x")).select("x.*")
     order = Window.partitionBy("kind").orderBy("h", "snippet")
     sample = found.distinct().withColumn("h", F.xxhash64("snippet")).withColumn("n", F.row_number().over(order))
-    rows = sample.filter(F.col("n") <= per_kind).orderBy("h", "snippet").select("snippet").collect()
+    with small_batches(df.sparkSession):
+        rows = sample.filter(F.col("n") <= per_kind).orderBy("h", "snippet").select("snippet").collect()
     return fit([r[0] for r in rows])
 
 
@@ -375,6 +377,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.map(mask)
 
-    changed = F.when(F.col(text).rlike("[0-9@]"), masked(F.col(text))).otherwise(F.col(text))
+    # A Python column is computed for every row: only texts that may change are handed over.
+    seeded = F.col(text).rlike("[0-9@]")
+    changed = F.when(seeded, masked(F.when(seeded, F.col(text)))).otherwise(F.col(text))
     out = df.withColumn(text, changed)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in df.columns else out

@@ -5,15 +5,18 @@ import json
 import math
 import random
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import chat, mixing, packing, queries, warc
+from pagemill.llm import chat, common, mixing, packing, queries, warc
 from pagemill.session import work_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, bucket int"
@@ -382,3 +385,35 @@ def test_pipeline_of_odd_documents(spark, tmp_path):
 def test_every_operator_has_one_query():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op"))
     assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    before = spark.conf.get(common.BATCH)
+    rows = spark.range(0, 6000, 1, 1).withColumn("text", F.repeat(F.lit("word "), 400 + F.col("id").cast("int") % 2))
+    rows = rows.unionByName(spark.range(-1, 0, 1, 1).withColumn("text", F.repeat(F.lit("word "), 1_000_000))).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(map(len, batch.column("text").to_pylist()))], "rows": [batch.num_rows]})
+
+    @F.pandas_udf("long")
+    def total(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.str.len() * 0 + int(batch.str.len().sum())
+
+    whole = {r[0]: r[1] for r in rows.select("id", F.length("text")).collect()}
+    mapped = common.stored(rows.mapInArrow(sizes, "n long, rows long"), "sizes").collect()
+    assert sum(r.rows for r in mapped) == 6001 and sum(r.n for r in mapped) == sum(whole.values())
+    most = common.BATCH_BYTES + 4096
+    assert all(r.n <= most or r.n <= most + whole[-1] for r in mapped) and sum(r.n > most for r in mapped) <= 1
+    asked = {r.id: r.n for r in common.stored(rows.select("id", total("text").alias("n")), "totals").collect()}
+    assert asked.keys() == whole.keys() and asked[0] <= most
+    assert spark.conf.get(common.BATCH) == before
+
+
+def test_pipeline_hands_no_text_to_python_later(spark, data):
+    """What a stage leaves to its caller's job, with the caller's batches, holds no Python step on texts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plan = stage(spark, docs, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "masked" not in plan and "ArrowEvalPython" not in plan, name
