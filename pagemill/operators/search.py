@@ -432,21 +432,17 @@ def facets(matches: DataFrame) -> DataFrame:
     )
 
 
-def facet_maps(counts: DataFrame, max_values: int = 100_000) -> DataFrame:
-    """One row per query with a map per facet, for display: of all values, or null.
+def facet_maps(counts: DataFrame) -> DataFrame:
+    """One row per query with a map per facet, for display: of all values, however many; null for a facet without one.
 
-    ``facets`` has the complete counts as rows. A map is in one row, so a facet of more than ``max_values``
-    values has none; no value is ever left out of a map.
+    ``counts`` is what ``facets`` returns. A map is in one row, so one task holds the values of a query; a reader of rows takes ``facets``.
     """
-    n_values = counts.groupBy("qid", "facet").agg(F.count("*").alias("n_values"))
-    whole = n_values.filter(F.col("n_values") <= max_values).drop("n_values")
-    kept = counts.join(whole, ["qid", "facet"])
     entry = F.struct("value", "n")
     one = lambda facet: let(
         F.array_sort(F.collect_list(F.when(F.col("facet") == facet, entry))),
         lambda entries: F.when(F.size(entries) > 0, F.map_from_entries(entries)),
     ).alias(facet)
-    return counts.select("qid").distinct().join(kept.groupBy("qid").agg(one("domain"), one("language")), "qid", "left")
+    return counts.groupBy("qid").agg(one("domain"), one("language"))
 
 
 def escape_html(content: Column) -> Column:

@@ -144,6 +144,21 @@ def test_facets_snippets_and_display(spark):
     assert shown["http://e/3"].heading == "http://e/3" and shown["http://d/2"].heading == "fruit"
 
 
+def test_a_facet_map_has_every_value(spark):
+    n = 100_001
+    counts = spark.range(n).select(
+        F.lit(1).cast("long").alias("qid"), F.lit("domain").alias("facet"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("value"),
+        (F.col("id") + 1).alias("n"),
+    ).union(spark.createDataFrame([(1, "language", "en", 7), (2, "language", "de", 3)], "qid long, facet string, value string, n long"))
+    rows = search.facet_maps(counts).select(
+        "qid", F.size("domain").alias("size"), F.element_at("domain", f"d{n - 1}").alias("last"),
+        F.aggregate(F.map_values("domain"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), "language",
+    )
+    found = {r.qid: r for r in rows.collect()}
+    assert (found[1]["size"], found[1]["last"], found[1]["total"], found[1]["language"]) == (n, n, n * (n + 1) // 2, {"en": 7})
+    assert found[2]["total"] is None and found[2]["language"] == {"de": 3} and len(found) == 2
+
+
 def test_long_queries_are_answered_from_their_first_words(spark):
     rng = random.Random(3)
     words = [f"word{chr(97 + i)}" for i in range(20)]
