@@ -94,7 +94,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     # With a wildcard: 0 against 1. Without: each with each other, the smaller on the left.
     left = index.filter("bit is null or bit = 0").select(F.col("f").alias("a"), "key", F.col("bit").alias("bit_a"))
     right = index.filter("bit is null or bit = 1").select(F.col("f").alias("b"), F.col("key"), F.col("bit").alias("bit_b"))
-    pairs = left.join(right, "key").filter(
+    # Merge join: Spark takes the entries for as few bytes as the fingerprints they are made of, and would send them to all tasks.
+    pairs = left.hint("merge").join(right.hint("merge"), "key").filter(
         (F.col("bit_a").isNull() == F.col("bit_b").isNull())
         & (F.col("bit_a").isNotNull() | (F.col("a") < F.col("b")))
         & F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, max_bits)
