@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.llm.common import WORD, stored
+from pagemill.operators.sizing import BROADCAST_ROWS
 
 #: More sources than this are an error: their quotas are sent to every task.
 MAX_SOURCES = 100_000
@@ -205,6 +206,8 @@ def dealt(taken: DataFrame, *, block_words: int, shard_words: int, seed: int = 0
         F.col("source").alias("of"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("of_block")
     )
     order = F.xxhash64("h", "h2", "copy", F.lit(seed))
+    # A few ranges become a row per block, which Spark does not see when it sizes the side; their number is known.
+    blocks = F.broadcast(blocks) if sum(quotas) <= BROADCAST_ROWS else blocks.hint("merge")
     joined = copies.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
     return joined.select("row", "size", "copy", "shard", order.alias("place"))
 

@@ -240,6 +240,20 @@ def test_mix_meets_its_targets_and_deals_every_copy_once(spark):
     assert mixing.mixed_rows(df, weights, **options).columns == df.columns
 
 
+def test_blocks_of_the_mix_are_sent_to_all_tasks_only_if_few(spark, monkeypatch):
+    df = docs(spark, [(i, "w " * 20, "ab"[i % 2] if i % 7 else None) for i in range(200)])
+    taken = mixing.placed(mixing.rows_of(df, ["doc_id"]), [5.0, 2.0])
+    seen = {}
+    for most in (200_000, 3):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        copies = mixing.dealt(taken, block_words=40, shard_words=400)
+        # What Spark sizes on its own is no part of this test.
+        joins = [x for x in copies._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "of_block" in x]
+        seen[most] = (sorted(map(tuple, copies.collect())), "strategy=broadcast" in joins[0], "strategy=merge" in joins[0])
+    assert seen[200_000][0] == seen[3][0] and len(seen[3][0]) > 100
+    assert seen[200_000][1:] == (True, False) and seen[3][1:] == (False, True)
+
+
 def test_splitting_tree_deals_exact_quotas_without_overlap():
     quotas, shards = [100, 0, 7, 33], 9
     leaves = [mixing.leaf(quotas, shards, k, 1) for k in range(shards)]
