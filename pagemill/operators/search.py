@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text
 from pagemill.functions.binding import let
 from pagemill.operators.indexing import FIELDS
-from pagemill.operators.sizing import sized
+from pagemill.operators.sizing import sized, small
 from pagemill.session import cut_lineage
 
 # Hits returned, words of a snippet, marks around a found word.
@@ -45,6 +45,9 @@ LATER_WORDS, SENT_ANSWERS = 56, 500_000
 # What a document has of a word: seven bits, three for its typos, three for its fields and one for the whole word; words in a long.
 WORD_BITS, WORDS_IN_LONG = 7, 8
 
+# A place in a document: the field above 32 bits of the position. The number of its word stands above.
+PLACE_BITS = 34
+
 # Fixed value: distance that counts for neighbouring words that are far apart or not both found.
 MAX_GAP = 8
 
@@ -366,28 +369,49 @@ def match_documents(queries: DataFrame, postings: DataFrame, documents: DataFram
 def _proximity(candidates: DataFrame, answers: DataFrame, postings: DataFrame) -> DataFrame:
     """``(qid, id, saved)``: what the smallest distances of neighbouring words save against the full distance.
 
-    The nearest occurrences of two words are next to each other when the occurrences of
-    both are put in order, so one sort per document finds them and no pairs are formed.
+    Hits are dealt by document, once and as two numbers each: the document, and a word's number with its place. What a document has of
+    the words of all queries is then one row, which meets the queries in that place; nothing is kept per query and hit. The nearest
+    places of two words are next to each other when the places of both are put in order, so no pairs are formed.
     """
-    slots = cut_lineage(answers.select("qid", "slot", "word").distinct())
-    asked = candidates.select("qid", "id", "words").join(sized(slots), "qid").filter("slot < words").drop("words")
-    asked = cut_lineage(asked)
-    meant = cut_lineage(answers.join(sized(cut_lineage(asked.select("word").distinct())), "word", "left_semi").select("word", "term").distinct())
-    # Words, not their terms, meet the candidates: the start of a word may have very many terms.
-    hits = _word_hits(postings, meant, cut_lineage(asked.select("id").distinct())).select("id", "word", "field", "pos")
-    places = hits.join(sized(asked), ["id", "word"]).select("qid", "id", "field", "slot", "pos")
-    # Word number s takes part in the pair (s - 1, s) and in the pair (s, s + 1).
-    sides = places.select(
-        "qid", "id", "field", "pos", "slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"))).alias("pair")
-    ).distinct()
-    # A group is the found words of one pair in one field of one document.
-    near = Window.partitionBy("qid", "id", "field", "pair").orderBy("pos", "slot")
-    gaps = sides.withColumn(
-        "gap", F.when(F.lag("slot").over(near) != F.col("slot"), F.col("pos") - F.lag("pos").over(near))
+    # A single word has no neighbour.
+    asked = cut_lineage(candidates.filter("words > 1").select("qid", "id", "words").distinct())
+    reach = cut_lineage(asked.groupBy("qid").agg(F.max("words").alias("words")))
+    slots = cut_lineage(answers.select("qid", "slot", "word").distinct().join(sized(reach), "qid").filter("slot < words").drop("words"))
+    # One task numbers the different words of the queries.
+    numbers = cut_lineage(slots.select("word").distinct().withColumn("n", F.row_number().over(Window.orderBy("word")).cast("long")))
+    said = cut_lineage(slots.join(sized(numbers), "word").groupBy("qid").agg(F.collect_list(F.struct("slot", "n")).alias("said")))
+    meant = cut_lineage(answers.select("word", "term").distinct().join(sized(numbers), "word").select("n", "term"))
+    # Many documents are not looked up one by one: that would move the postings to them, and their hits are moved anyway.
+    ids = cut_lineage(asked.select("id").distinct())
+    hits = _word_hits(postings, meant, ids if small(ids) else None)
+    least = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-hits.count() // TASK_HITS))
+    place = F.shiftleft(F.col("field").cast("long"), 32) + F.col("pos")
+    dealt = hits.select("id", (F.shiftleft("n", PLACE_BITS) + place).alias("hit")).repartition(tasks, "id")
+    per_word = dealt.groupBy("id", F.shiftright("hit", PLACE_BITS).alias("n")).agg(
+        F.collect_list(F.col("hit").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).alias("places")
     )
-    # ``least`` skips nulls, so a pair that was not found together has the full distance.
-    smallest = gaps.groupBy("qid", "id", "pair").agg(F.least(F.min("gap"), F.lit(MAX_GAP)).alias("gap"))
-    return smallest.groupBy("qid", "id").agg((F.sum("gap") - F.count("*") * MAX_GAP).alias("saved"))
+    held = per_word.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("n", "places"))).alias("held"))
+    wanted = asked.join(sized(said), "qid").repartition(tasks, "id")
+
+    def places_of(slot: Column) -> Column:
+        """Places of a slot; a repeated query id may have several words in it."""
+        found = F.transform(F.filter("said", lambda x: x["slot"] == slot), lambda x: F.try_element_at("held", x["n"]))
+        return F.flatten(F.filter(found, lambda places: places.isNotNull()))
+
+    def gap(one: Column, other: Column) -> Column:
+        # The side is the last bit.
+        both = F.sort_array(F.concat(F.transform(one, lambda p: p * 2), F.transform(other, lambda p: p * 2 + 1)))
+        bit = F.lit(1).cast("long")
+        steps = lambda m: F.transform(m, lambda x, i: F.when(
+            x.bitwiseAND(bit) != F.get(m, i - 1).bitwiseAND(bit), F.shiftright(x, 1) - F.shiftright(F.get(m, i - 1), 1)
+        ))
+        return let(both, lambda m: F.least(F.array_min(steps(m)), F.lit(MAX_GAP).cast("long")))
+
+    slots_of = F.transform(F.sequence(F.lit(0), (F.col("words") - 1).cast("int")), places_of)
+    gaps = lambda s: F.transform(F.slice(s, 2, F.size(s) - 1), lambda places, i: gap(F.get(s, i), places))
+    saved = F.aggregate(let(slots_of, gaps), F.lit(0).cast("long"), lambda n, g: n + g - MAX_GAP)
+    return held.join(wanted.hint("shuffle_hash"), "id").select("qid", "id", saved.alias("saved"))
 
 
 def rank(queries: DataFrame, answers: DataFrame, matches: DataFrame, postings: DataFrame,

@@ -206,6 +206,32 @@ def test_words_of_many_queries_and_many_terms_meet_a_document_once(spark):
     assert {(r.qid, r.words, r.proximity) for r in ranked} == {(q, 2, 1) for q in range(10)}
 
 
+def test_proximity_deals_two_numbers_a_hit_and_is_the_smallest_distance(spark):
+    rng = random.Random(8)
+    words = ["one", "two", "three", "four", "tw"]
+    texts = {i: [[rng.choice([*words, "x", "y", "z", "twig"]) for _ in range(rng.randint(0, 40))] for _ in range(2)] for i in range(60)}
+    docs = spark.createDataFrame([(i, " ".join(t), " ".join(b), None) for i, (t, b) in texts.items()],
+                                 "id long, title string, body_text string, meta_description string")
+    # A query's id may come again with other words; "tw" has a longer term, and one term may answer two words.
+    asked = {1: [["one"], ["two"], ["three"]], 2: [["one", "four"], ["two"]], 3: [["four"]], 4: [["tw"], ["two"], ["one"], ["three"], ["four"]]}
+    answers = spark.createDataFrame(
+        [(q, s, w, t) for q, slots in asked.items() for s, group in enumerate(slots) for w in group for t in ([w, "two", "twig"] if w == "tw" else [w])],
+        "qid long, slot int, word string, term string")
+    level = {(q, i): rng.randint(1, len(slots)) for q, slots in asked.items() for i in texts if rng.random() < 0.8}
+    candidates = spark.createDataFrame([(q, i, n) for (q, i), n in level.items()] * 2, "qid long, id long, words long")
+    found = search._proximity(candidates, answers, indexing.postings(docs))
+    got = {(r.qid, r.id): r.saved for r in found.collect()}
+    want = {}
+    for (q, i), n in level.items():
+        at = [{(f, p) for f in range(2) for p, x in enumerate(texts[i][f]) if x in group or (x in ("two", "twig") and "tw" in group)} for group in asked[q][:n]]
+        want[q, i] = sum(min([8, *(abs(a - b) for f, a in one for g, b in other if f == g)]) - 8 for one, other in zip(at, at[1:]))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and len(set(want.values())) > 8
+    assert len(got) == len(set(got)) == found.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    moved = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert len(moved) == 2 and "Window" not in plan and "pos" not in plan.split("RepartitionByExpression")[0]
+
+
 def test_tasks_of_a_search_grow_with_its_hits(spark, monkeypatch):
     # Every document has the five words twice: 1,200 hits of the first four, 300 of the fifth.
     docs = index_docs(spark, 150)
